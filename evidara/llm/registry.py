@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("linededup", "packing", "ann", "toxicity", "langid", "tokencounts")
+MODULES = ("decontaminate", "substrings", "suffixes", "linededup", "packing", "ann", "toxicity", "langid", "tokencounts")
 
 
 def queries() -> dict:
