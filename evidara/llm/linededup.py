@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import BYTE_CODES, BYTES, IS_SPACE, LOWER, chunks, mix, signed, splitmix
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 MIN_CHARS, MIN_DOCS, SHARDS = 20, 3, 64
 FILTERS = "shard int, blob binary, overflow array<long>"
@@ -122,7 +122,7 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for part in chunks(pdf):
+            for part in chunks(pdf, most=500_000):
                 rows = []
                 for doc_id, (h1, h2, n) in zip(part["doc_id"], line_keys(part["text"].tolist()), strict=True):
                     long = n >= min_chars
@@ -132,6 +132,7 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(dict(zip(["h1", "h2", "doc_id", "n_lines"], map(np.concatenate, zip(*rows, strict=True)), strict=True)))
 
+    small_batches(docs.sparkSession)
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, REFS)
 
 
@@ -278,7 +279,7 @@ def clean(docs: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS, text: boo
 
     def run(batches):
         for pdf in batches:
-            for part in chunks(pdf):
+            for part in chunks(pdf, most=500_000):
                 rows = []
                 hit = [i for i, x in enumerate(part["lost"]) if x is not None]
                 keys = dict(zip(hit, line_keys([part["text"].iloc[i] for i in hit]), strict=True)) if hit else {}

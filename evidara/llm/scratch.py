@@ -42,6 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts can be long: hold the rows of an Arrow batch, and with them a Python worker's memory, down."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def mark() -> set[str]:
     """The paths written so far, for ``release``."""
     return set(_written)
