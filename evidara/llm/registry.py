@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "substrings", "suffixes", "linededup", "packing", "ann", "toxicity", "langid", "tokencounts")
+MODULES = ("decontaminate", "substrings", "jaccard", "packing", "ann", "suffixes", "toxicity", "langid", "tokencounts", "linededup")
 
 
 def queries() -> dict:

@@ -54,6 +54,11 @@ def mark() -> set[str]:
     return set(_written)
 
 
+def last() -> str:
+    """The path written last."""
+    return next(reversed(_written))
+
+
 def release(keep: set[str]) -> None:
     """Delete what was written since ``keep = mark()``; nothing may still read it."""
     for path in [p for p in _written if p not in keep]:
