@@ -27,25 +27,43 @@ MASKS = [tuple(b * BLOCK + k for b in pair for k in range(BLOCK)) for pair in co
 
 def words(text: str) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def hashes(text: str) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: str, at: str, spans: list[tuple[int, tuple[int, ...]]]) -> Column:
-    """The hashes of all masks at a place, null for those that reach beyond the end; spans: (words, kept offsets)."""
-    one = lambda k, n, keep: F.when(F.col(at) + n <= F.size(h), F.xxhash64(F.lit(k), *(F.get(h, F.col(at) + o) for o in keep)))
-    return F.array(*(one(k, n, keep) for k, (n, keep) in enumerate(spans)))
+def _block(h: str, at: Column) -> Column:
+    """Hash of the block of words at a place; a mask's seed is made of its two blocks' hashes."""
+    return F.xxhash64(*(F.get(h, at + k) for k in range(BLOCK)))
+
+
+class Seeds:
+    """The seeds of a place: one per mask whose first kept block stands there, one per length of short items."""
+
+    def __init__(self, short: list[int]):
+        self.masks = [(SPAN, a * BLOCK, (b - a) * BLOCK) for a, b in combinations(range(SPAN // BLOCK), 2)] + [(n, 0, 0) for n in short]
+        self.least = min(n for n, _, _ in self.masks)
+
+    def at(self, h: str, place: str) -> Column:
+        """(seed, from, width) of every mask, the window starting ``from`` words after the start of h; null seeds where it would not fit."""
+        p = F.col(place)
+
+        def one(k: int, n: int, before: int, gap: int) -> Column:
+            kept = [_block(h, p + gap)] if n == SPAN else [F.get(h, p + j) for j in range(BLOCK, n)]
+            seed = F.when((p >= before) & (p - before + n <= F.size(h)), F.xxhash64(F.lit(k), _block(h, p), *kept))
+            return F.struct(seed.alias("seed"), (p - before).alias("from"), F.lit(n).alias("width"))
+
+        return F.array(*(one(k, *m) for k, m in enumerate(self.masks)))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, at, width and the hashes of an item's windows."""
+    """item_id, width and the hashes g of an item's windows."""
     h = items.filter(F.col("item_id").isNotNull()).select("item_id", hashes("text").alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= LEAST)
     width = F.least("n", F.lit(SPAN))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("n") - width, F.lit(STRIDE)), F.array(F.col("n") - width)))
-    return h.select("item_id", "h", width.alias("width"), F.explode(starts).alias("at")).select("item_id", "at", "width", F.slice("h", F.col("at") + 1, F.col("width")).alias("g"))
+    return h.select("item_id", "h", width.alias("width"), F.explode(starts).alias("at")).select("item_id", "width", F.slice("h", F.col("at") + 1, F.col("width")).alias("g"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -58,27 +76,26 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ignored. Nothing is sent to the driver but the distinct lengths of short items, at most SPAN - LEAST numbers.
     """
     windows = item_windows(items.select("item_id", "text"))
-    short = sorted(r["width"] for r in windows.filter(F.col("width") < SPAN).select("width").distinct().collect())
-    spans = [(SPAN, m) for m in MASKS] + [(n, tuple(range(n))) for n in short]
-    seeds = windows.select("*", F.lit(0).alias("zero")).select("item_id", "width", "g", F.posexplode(_seeds("g", "zero", spans)).alias("mask", "seed"))
-    fit = F.element_at(F.array(*(F.lit(n) for n, _ in spans)), F.col("mask") + 1)
-    # Each window is found by its own width's masks alone.
-    seeds = seeds.filter(F.col("seed").isNotNull() & (F.col("width") == fit)).select("seed", "item_id", "width", "g")
-    least = min(n for n, _ in spans)
-    most = max(n for n, _ in spans)
-    h = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", hashes("text").alias("all")).filter(F.size("all") >= least)
-    # Long documents go in blocks that overlap by a window, so a row stays small whatever the document.
-    blocks = h.select("doc_id", "all", F.explode(F.sequence(F.lit(0), F.size("all") - least, F.lit(PLACES))).alias("base"))
-    blocks = blocks.select("doc_id", "base", F.slice("all", F.col("base") + 1, F.lit(PLACES + most - 1)).alias("h"))
-    last = F.least(F.size("h") - least, F.lit(PLACES - 1))
-    probes = blocks.select("doc_id", "base", "h", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    probes = probes.select("doc_id", "base", "h", "i", F.explode(_seeds("h", "i", spans)).alias("seed"))
-    if seeds.count() <= SENT_SEEDS:
+    masks = Seeds(sorted(r["width"] for r in windows.filter(F.col("width") < SPAN).select("width").distinct().collect()))
+    places = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 2 * BLOCK), F.lit(BLOCK))).alias("p"))
+    seeds = places.select("item_id", "g", _block("g", F.col("p")).alias("block"), F.explode(masks.at("g", "p")).alias("s"))
+    seeds = seeds.select("item_id", "g", "block", "s.*").filter(F.col("seed").isNotNull() & (F.col("from") == 0) & (F.col("width") == F.size("g"))).drop("from")
+    few = seeds.count() <= SENT_SEEDS
+    h = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", hashes("text").alias("all")).filter(F.size("all") >= masks.least)
+    # Long documents go in pieces that overlap by a window, so a row stays small whatever the document.
+    pieces = h.select("doc_id", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PLACES))).alias("base"))
+    before = F.least("base", F.lit(SPAN))
+    pieces = pieces.select("doc_id", (F.col("base") - before).alias("base"), before.alias("skip"), F.slice("all", F.col("base") - before + 1, F.lit(PLACES + 2 * SPAN)).alias("h"))
+    probes = pieces.filter(F.size("h") - BLOCK >= F.col("skip")).select("doc_id", "base", "h", F.explode(F.sequence("skip", F.least(F.size("h") - BLOCK, F.col("skip") + PLACES - 1))).alias("p"))
+    if few:  # most places are passed over at the first block
+        probes = probes.withColumn("block", _block("h", F.col("p"))).join(F.broadcast(seeds.select("block").distinct()), "block", "left_semi")
+    probes = probes.select("doc_id", "base", "h", F.explode(masks.at("h", "p")).alias("s")).select("doc_id", "base", "h", "s.seed", "s.from").filter(F.col("seed").isNotNull())
+    if few:
         seeds = F.broadcast(seeds)
     else:  # only the window itself is shuffled
-        probes = probes.filter(F.col("seed").isNotNull()).select("doc_id", F.slice("h", F.col("i") + 1, F.lit(SPAN)).alias("h"), (F.col("base") + F.col("i")).alias("base"), F.lit(0).alias("i"), "seed")
-    equal = sum((F.coalesce((F.get("h", F.col("i") + k) == F.get("g", F.lit(k))).cast("int"), F.lit(0)) for k in range(SPAN)), F.lit(0))
-    hits = probes.join(seeds, "seed").select("doc_id", "item_id", (F.col("base") + F.col("i")).alias("i"), "width", equal.alias("n_equal"))
+        probes = probes.select("doc_id", "seed", F.slice("h", F.col("from") + 1, F.lit(SPAN)).alias("h"), (F.col("base") + F.col("from")).alias("base"), F.lit(0).alias("from"))
+    equal = sum((F.coalesce((F.get("h", F.col("from") + k) == F.get("g", F.lit(k))).cast("int"), F.lit(0)) for k in range(SPAN)), F.lit(0))
+    hits = probes.join(seeds, "seed").select("doc_id", "item_id", (F.col("base") + F.col("from")).alias("i"), "width", equal.alias("n_equal"))
     kept = hits.filter(F.col("n_equal") >= F.when(F.col("width") == SPAN, F.lit(SPAN - ALLOWED)).otherwise(F.col("width")))
     return kept.groupBy("doc_id", "item_id").agg(F.min("i").cast("long").alias("first_word"), F.max("n_equal").cast("long").alias("n_equal"))
 
