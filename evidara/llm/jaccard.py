@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard join by a token-group matrix (operator 3).
 
 Documents are sets of hashed word shingles. Under one order of all shingles, widespread ones last, two sets
-with Jaccard similarity of at least 0.8 share a shingle among the first fifth of each. Documents are
-partitioned into groups of likely kin: all that reach the same smallest document by such a shingle. The
-matrix holds each group's union of those shingles. A join with the matrix bounds what a document shares with
+with Jaccard similarity of at least 0.8 share some of the first quarter of each. Documents that share too few with
+all others are done with. The rest are partitioned into groups of likely kin: all that reach the same
+smallest document by such a shingle. The matrix holds each group's union of those shingles. A join with the matrix bounds what a document shares with
 a group, and only groups whose overlap and sizes qualify are opened, to be compared with exactly.
 """
 
@@ -23,6 +23,10 @@ WIDTH, PERCENT = 5, 80
 GROUP_MEMBERS = 1000
 #: Shingles that are known to be widespread: at most so many are sent to the tasks.
 WIDESPREAD = 200_000
+#: Of n shingles, n // EXTRA more than the prefix principle needs are looked at, which as many more must then be shared.
+EXTRA = 20
+#: Ids that are sent to all tasks at most; more are joined by a shuffle.
+SENT_IDS = 1_000_000
 _BLOCK, _LEAST = 4_000_000, 4
 
 
@@ -90,7 +94,7 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         ranked = s[np.lexsort((s, np.where(known[at] == s, place[at], 0)))]
                     else:
                         ranked = s
-                    first = n - -(-percent * n // 100) + 1 if n else 0
+                    first = n - -(-percent * n // 100) + 1 + n // EXTRA if n else 0
                     with np.errstate(over="ignore"):
                         ids = int(signed(mix(s).sum(keepdims=True))[0]), int(signed(mix(mix(s) ^ U(77)).sum(keepdims=True))[0])
                     rows.append((doc_id, n, *(ids if n else (0, 0)), signed(ranked[:first])))
@@ -148,45 +152,56 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_memb
     sets = materialize(profiles(docs, width, percent), "sets")
     classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     first = sets.filter("n > 0").join(classes, ["k1", "k2"]).filter(F.col("doc_id") == F.col("rep"))
-    entries = first.dropDuplicates(["k1", "k2"]).select("doc_id", "n", "k1", F.explode("tokens").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    kin = materialize(entries.join(shared.select("token", "leader"), "token"), "kin")
-    member = kin.groupBy("doc_id", "k1").agg(F.min("leader").alias("g"), F.first("n").alias("n"))
+    entries = first.select("doc_id", F.explode("tokens").alias("token"))
+    # Sets that link share at least so many of the shingles looked at, by the prefix principle.
+    need = F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA) + 1
+
+    def shared(rows: DataFrame) -> DataFrame:
+        tokens = rows.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
+        return rows.join(tokens.select("token", "leader"), "token")
+
+    kin = materialize(shared(entries), "kin")
+    alive = kin.groupBy("doc_id").agg(F.countDistinct("token").alias("common")).join(first.select("doc_id", "n"), "doc_id").filter(F.col("common") >= need)
+    alive = materialize(alive.groupBy("doc_id").agg(F.min("n").alias("n")), "alive")
+    kin = materialize(shared(kin.select("doc_id", "token").join(alive, "doc_id")), "kin")
+    member = kin.groupBy("doc_id").agg(F.min("leader").alias("g"), F.first("n").alias("n"))
     groups = member.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
     member = materialize(member.join(groups, "g"), "members")
-    placed = materialize(kin.select("doc_id", "k1", "token").join(member, ["doc_id", "k1"]), "placed")
+    placed = materialize(kin.select("doc_id", "token").join(member, "doc_id"), "placed")
     matrix = placed.select("token", F.col("g").alias("other"), F.col("size").alias("other_size"), "low", "high").distinct()
-    # By the prefix principle, a group that shares nothing of a set's first shingles holds no set that links with it.
-    met = placed.select("token", "doc_id", "k1", "n", "g").join(matrix, "token").filter(F.col("other") < F.col("g"))
+    met = placed.select("token", "doc_id", "n", "g").join(matrix, "token").filter(F.col("other") < F.col("g"))
     met = met.filter((F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100))
-    opened = met.select("doc_id", "k1", "other", "other_size").distinct()
+    # A group whose union shares fewer than a link needs holds nothing that links with the set.
+    opened = met.groupBy("doc_id", "n", "other", "other_size").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= need)
     parts = lambda size: F.ceil(F.col(size) / group_members).cast("int")
-    own_part = F.pmod(F.xxhash64("doc_id", "k1"), parts("size").cast("long")).cast("int")
+    own_part = F.pmod(F.xxhash64("doc_id"), parts("size").cast("long")).cast("int")
     every_part = lambda size: F.explode(F.sequence(F.lit(0), parts(size) - 1))
-    opened = materialize(opened.select("doc_id", "k1", F.col("other").alias("g"), every_part("other_size").alias("part"), F.lit(1).alias("role")), "opened")
+    opened = materialize(opened.select("doc_id", F.col("other").alias("g"), every_part("other_size").alias("part"), F.lit(1).alias("role")), "opened")
     needed = opened.select("g").distinct()
     members = member.join(needed.withColumn("wanted", F.lit(True)), "g", "left").filter((F.col("size") > 1) | F.col("wanted"))
     # A group's smallest document stands in every part of it, so what links to it is tied together.
     leads = members.filter((F.col("doc_id") == F.col("head")) & (F.col("size") > group_members))
-    inside = members.select("doc_id", "k1", "g", own_part.alias("part"), F.lit(0).alias("role"))
-    inside = inside.unionByName(leads.select("doc_id", "k1", "g", every_part("size").alias("part"), F.lit(0).alias("role"))).distinct()
+    inside = members.select("doc_id", "g", own_part.alias("part"), F.lit(0).alias("role"))
+    inside = inside.unionByName(leads.select("doc_id", "g", every_part("size").alias("part"), F.lit(0).alias("role"))).distinct()
 
     def link(among: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["role", "doc_id", "k1"], ignore_index=True)
+            pdf = pdf.sort_values(["role", "doc_id"], ignore_index=True)
             sets_ = [s for part in chunks(pdf) for s in shingle_sets(part["text"].tolist(), width)]
             m = int((pdf["role"] == 0).sum())
             roots = _roots(len(pdf), compare(sets_[:m], sets_[m:], percent, among))
             ids = pdf["doc_id"].to_numpy()
             tied = roots == roots[0]
-            return pd.DataFrame({"u": ids, "v": ids[roots], "k1": pdf["k1"], "g": pdf["g"], "part": pdf["part"], "role": pdf["role"], "tied": tied})
+            return pd.DataFrame({"u": ids, "v": ids[roots], "g": pdf["g"], "part": pdf["part"], "role": pdf["role"], "tied": tied})
 
         return run
 
-    found_schema = "u long, v long, k1 long, g long, part int, role int, tied boolean"
+    found_schema = "u long, v long, g long, part int, role int, tied boolean"
 
     def compared(rows: DataFrame, among: bool) -> DataFrame:
-        with_text = rows.join(docs, "doc_id").select("doc_id", "k1", "g", "part", "role", "text")
+        ids = rows.select("doc_id").distinct()
+        ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+        with_text = rows.join(docs.join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "g", "part", "role", "text")
         return with_text.groupBy("g", "part").applyInPandas(link(among), found_schema)
 
     found = materialize(compared(inside.unionByName(opened), True), "found")
@@ -194,8 +209,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_memb
     large = member.filter(F.col("size") > group_members).select("g", "size").distinct()
     if not large.isEmpty():
         # In split groups, members that their part does not tie to it are compared with the other parts.
-        loose = found.filter("role = 0 and not tied").join(large, "g").select(F.col("u").alias("doc_id"), "k1", "g", F.col("part").alias("home"), every_part("size").alias("part"))
-        loose = loose.filter("part <> home").select("doc_id", "k1", "g", "part", F.lit(1).alias("role"))
+        loose = found.filter("role = 0 and not tied").join(large, "g").select(F.col("u").alias("doc_id"), "g", F.col("part").alias("home"), every_part("size").alias("part"))
+        loose = loose.filter("part <> home").select("doc_id", "g", "part", F.lit(1).alias("role"))
         again = inside.join(loose.select("g", "part").distinct(), ["g", "part"], "left_semi").unionByName(loose)
         links = links.unionByName(compared(again, False).select("u", "v"))
     reached = components(links)
