@@ -22,13 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, chunks, mix
-from .scratch import materialize
-
-BUCKET_BYTES = 4 << 20
-ENTRIES = "kind int, bucket int, a binary, u binary, doc binary, pos binary"
-VERDICTS = "what int, bucket int, doc binary, pos binary"
+from .scratch import materialize, small_batches
+
+BUCKET_BYTES, CHUNK = 4 << 20, 1_000_000
+#: Keys are sent with so many bytes; two of them make an identity of 96 bits.
+KEY_BYTES = 6
+#: A mark holds the position above SHIFT bits, whether the stretch recurs in its document (bit AGAIN), how far before the position its windows start (5 bits), and their number less one (5 bits).
+SHIFT, AGAIN = 11, 10
+ENTRIES = "kind int, bucket int, a binary, u binary, doc binary, mark binary"
+VERDICTS = "what int, bucket int, doc binary, mark binary"
 ANCHOR, WINDOW, SETTLED_SEEN, SETTLED_ASK, SETTLED_WINDOW = range(5)  # kinds of entries; settled ones go through as they are
-SEEN, ASK, SEEN_WINDOW = 0, 1, 2  # what a verdict says of (doc, pos)
+SEEN, ASK, SEEN_WINDOW = 0, 1, 2  # what a verdict says of a place
 
 
 class Anchors(NamedTuple):
@@ -57,21 +61,43 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _later(first: np.ndarray, doc: np.ndarray, pos: np.ndarray, within: bool) -> np.ndarray:
-    """Whether each (doc, pos) comes after the first of its run; within: also inside that one document."""
+def _later(first: np.ndarray, doc: np.ndarray, mark: np.ndarray, within: bool) -> np.ndarray:
+    """Whether each place comes after the first of its run; within: also inside that one document."""
     own = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return (doc > doc[own]) | (within & (doc == doc[own]) & (pos > pos[own]))
+    return (doc > doc[own]) | (within & (doc == doc[own]) & (mark >> SHIFT > mark[own] >> SHIFT))
+
+
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte planes one after another, so that empty planes compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpack(blobs, width: int, dtype) -> np.ndarray:
+    out = []
+    for blob in blobs:
+        full = np.zeros((len(blob) // width, 8), dtype=np.uint8)
+        full[:, :width] = np.frombuffer(blob, dtype=np.uint8).reshape(width, -1).T
+        out.append(full.view(dtype).ravel())
+    return np.concatenate(out) if out else np.zeros(0, dtype=dtype)
+
 
+def _doc_blob(doc: np.ndarray) -> bytes:
+    return _pack(np.diff(doc, prepend=np.int64(0)), 8)
 
-def _dealt(bucket: np.ndarray, *arrays: np.ndarray):
-    """The arrays' values as bytes, for each bucket that has any."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, arrays = bucket[order], [x[order] for x in arrays]
+
+def _docs(blobs) -> np.ndarray:
+    return np.concatenate([np.cumsum(_unpack([b], 8, np.int64)) for b in blobs]) if len(blobs) else np.zeros(0, dtype=np.int64)
+
+
+def _dealt(bucket: np.ndarray, doc: np.ndarray, mark: np.ndarray, *keys: np.ndarray):
+    """For each bucket that has any: bucket, packed keys, documents and marks, in the order of documents."""
+    order = np.lexsort((doc, bucket))
+    bucket, doc, mark, keys = bucket[order], doc[order], mark[order], [x[order] for x in keys]
     cuts = np.flatnonzero(_runs(bucket))
     if not len(cuts):
         return
     for s, e in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-        yield int(bucket[s]), *(x[s:e].tobytes() for x in arrays)
+        yield int(bucket[s]), *(_pack(x[s:e], KEY_BYTES) for x in keys), _doc_blob(doc[s:e]), _pack(mark[s:e], 8)
 
 
 class Dealer:
@@ -80,74 +106,91 @@ class Dealer:
     def __init__(self, n: int, within: bool):
         self.n, self.within = prime_at_least(n), within
 
-    def settle(self, kind: int, a: np.ndarray, u: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+    def settle(self, kind: int, a: np.ndarray, u: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> pd.DataFrame:
         """Entries of one chunk: the first of each (a, u); what is later is settled here."""
-        order = np.lexsort((pos, doc, u, a))
-        a, u, doc, pos = a[order], u[order], doc[order], pos[order]
+        low = U((1 << 8 * KEY_BYTES) - 1)
+        a, u = a & low, u & low
+        order = np.lexsort((mark, doc, u, a))
+        a, u, doc, mark = a[order], u[order], doc[order], mark[order]
         first = _runs(a, u)
-        later = _later(first, doc, pos, self.within)
-        rows = [(SETTLED_SEEN if kind == ANCHOR else SETTLED_WINDOW, b, b"", b"", d, p) for b, d, p in self.by_doc(doc[later], pos[later])]
-        a, u, doc, pos = a[first], u[first], doc[first], pos[first]
+        later = _later(first, doc, mark, self.within)
+        rows = [(SETTLED_SEEN if kind == ANCHOR else SETTLED_WINDOW, b, b"", b"", *x) for b, *x in self.by_doc(doc[later], mark[later])]
+        own = np.flatnonzero(first)
+        again = np.add.reduceat(~later, own) > 1 if len(own) else first
+        a, u, doc, mark = a[first], u[first], doc[first], mark[first] | again.astype(np.int64) << AGAIN
         send = np.ones(len(a), dtype=bool)
         if kind == ANCHOR and len(a):
             new = _runs(a)
             size = np.diff(np.append(np.flatnonzero(new), len(a)))
             several = np.repeat(size > 1, size)
-            rows += [(SETTLED_ASK, b, b"", b"", d, p) for b, d, p in self.by_doc(doc[several], pos[several])]
+            rows += [(SETTLED_ASK, b, b"", b"", *x) for b, *x in self.by_doc(doc[several], mark[several])]
             send = ~several | new  # one entry tells the bucket that the key has several stretches
-            pos = np.where(several, -1, pos)
+            mark = np.where(several, -1, mark)
         bucket = (mix(a[send]) % U(self.n)).astype(np.int64)
-        rows += [(kind, b, *x) for b, *x in _dealt(bucket, a[send], u[send], doc[send], pos[send].astype(np.int32))]
+        rows += [(kind, b, *x) for b, *x in _dealt(bucket, doc[send], mark[send], a[send], u[send])]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRIES.split(", ")])
 
-    def by_doc(self, doc: np.ndarray, pos: np.ndarray):
-        return _dealt(np.mod(doc, self.n), doc, pos.astype(np.int32))
+    def by_doc(self, doc: np.ndarray, mark: np.ndarray):
+        return _dealt(np.mod(doc, self.n), doc, mark)
 
     def judge(self, pdf: pd.DataFrame) -> pd.DataFrame:
         """Verdicts of one bucket."""
         kind = int(pdf["kind"].iloc[0])
         if kind not in (ANCHOR, WINDOW):
             what = {SETTLED_SEEN: SEEN, SETTLED_ASK: ASK, SETTLED_WINDOW: SEEN_WINDOW}[kind]
-            return pd.DataFrame({"what": what, "bucket": pdf["bucket"], "doc": pdf["doc"], "pos": pdf["pos"]})
-        a, u, doc, pos = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in (("a", U), ("u", U), ("doc", np.int64), ("pos", np.int32)))
-        order = np.lexsort((pos, doc, u, a))
-        a, u, doc, pos = a[order], u[order], doc[order], pos[order]
+            return pd.DataFrame({"what": what, "bucket": pdf["bucket"], "doc": pdf["doc"], "mark": pdf["mark"]})
+        a, u = (_unpack(pdf[c], KEY_BYTES, U) for c in ("a", "u"))
+        doc, mark = _docs(pdf["doc"]), _unpack(pdf["mark"], 8, np.int64)
+        order = np.lexsort((mark, doc, u, a))
+        a, u, doc, mark = a[order], u[order], doc[order], mark[order]
         if kind == WINDOW:
-            later = _later(_runs(a, u), doc, pos, self.within)
-            out = [(SEEN_WINDOW, *x) for x in self.by_doc(doc[later], pos[later])]
+            later = _later(_runs(a, u), doc, mark, self.within)
+            out = [(SEEN_WINDOW, *x) for x in self.by_doc(doc[later], mark[later])]
         else:
-            told, real = pos < 0, pos >= 0
-            marked = np.unique(a[told])
-            a, u, doc, pos = a[real], u[real], doc[real], pos[real]
+            marked, real = np.unique(a[mark < 0]), mark >= 0
+            a, u, doc, mark = a[real], u[real], doc[real], mark[real]
             first = _runs(a, u)
-            later = _later(first, doc, pos, self.within)
-            out = [(SEEN, *x) for x in self.by_doc(doc[later], pos[later])]
-            a, doc, pos = a[first], doc[first], pos[first]
+            later = _later(first, doc, mark, self.within)
+            out = [(SEEN, *x) for x in self.by_doc(doc[later], mark[later])]
+            a, doc, mark = a[first], doc[first], mark[first]
             new = _runs(a)
             size = np.diff(np.append(np.flatnonzero(new), len(a)))
             ask = np.repeat(size > 1, size) | np.isin(a, marked)
-            out += [(ASK, *x) for x in self.by_doc(doc[ask], pos[ask])]
+            out += [(ASK, *x) for x in self.by_doc(doc[ask], mark[ask])]
         return pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
 
 
-def _pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(rows["doc"]), dtype=np.int64), np.frombuffer(b"".join(rows["pos"]), dtype=np.int32)
+class Marks:
+    """The marks of a home's documents, by document."""
+
+    def __init__(self, rows: pd.DataFrame):
+        doc, mark = _docs(rows["doc"]), _unpack(rows["mark"], 8, np.int64)
+        order = np.argsort(doc, kind="stable")
+        self.doc, self.mark = doc[order], mark[order]
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, mark) of every mark of the documents ids, by row."""
+        lo, hi = np.searchsorted(self.doc, ids, "left"), np.searchsorted(self.doc, ids, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(ids)), n), self.mark[at]
 
 
-def _member(doc: np.ndarray, pos: np.ndarray, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which (doc, pos) are among the given pairs."""
-    ids, at = np.unique(np.concatenate([doc, of[0]]), return_inverse=True)
-    key = at.astype(np.int64) << 32 | np.concatenate([pos, of[1]]).astype(np.int64)
-    return np.isin(key[: len(doc)], key[len(doc) :])
+def _spread(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of all the starts lo..hi."""
+    n = hi - lo + 1
+    return np.repeat(row, n), np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
 
 def seen_windows(docs: DataFrame, mode, finish, schema: str) -> DataFrame:
     """Run both steps, then ``finish(pdf, starts)`` over chunks of (doc_id, text).
 
     starts: for each row, the starts of its windows that were seen before, ascending. ``mode`` has anchors(texts),
-    windows(texts, anchors) -> (anchor, start, key, second key) with equal windows of one document given once or
-    more, and ``within``: whether earlier places in the same document count. Rows without doc_id are left out.
+    windows(texts, row, pos, lo, hi) -> (index into row, start, key, second key) of the windows lo..hi, alike(texts, starts) -> (row,
+    start) of all windows equal to some of a text's own, and ``within``: whether earlier places in the same document
+    count. Rows without doc_id are left out.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealer = Dealer(int(total // BUCKET_BYTES) + 8, mode.within)
@@ -155,10 +198,11 @@ def seen_windows(docs: DataFrame, mode, finish, schema: str) -> DataFrame:
 
     def find(batches):
         for pdf in batches:
-            for part in chunks(pdf):
+            for part in chunks(pdf, most=CHUNK):
                 x = mode.anchors(part["text"].tolist())
                 if len(x.doc):
-                    yield dealer.settle(ANCHOR, x.a, x.u, part["doc_id"].to_numpy()[x.doc], x.pos)
+                    mark = x.pos.astype(np.int64) << SHIFT | (x.pos - x.lo) << 5 | (x.hi - x.lo)
+                    yield dealer.settle(ANCHOR, x.a, x.u, part["doc_id"].to_numpy()[x.doc], mark)
 
     judge = lambda entries: entries.groupBy("kind", "bucket").applyInPandas(lambda pdf: dealer.judge(pdf), VERDICTS)
     verdicts = materialize(judge(docs.mapInPandas(find, ENTRIES)), "verdicts")
@@ -166,54 +210,44 @@ def seen_windows(docs: DataFrame, mode, finish, schema: str) -> DataFrame:
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        asked = _pairs(right)
-        for part in chunks(left[np.isin(left["doc_id"], asked[0])]) if len(right) else []:
-            texts = part["text"].tolist()
-            x = mode.anchors(texts)
+        asked = Marks(right)
+        for part in chunks(left[np.isin(left["doc_id"], asked.doc)], most=CHUNK) if len(right) else []:
             ids = part["doc_id"].to_numpy()
-            chosen = _member(ids[x.doc], x.pos, asked)
-            x = Anchors(*(v[chosen] for v in x))
-            if len(x.doc):
-                row, start, a, u = mode.windows(texts, x)
-                out.append(dealer.settle(WINDOW, a, u, ids[row], start))
+            row, mark = asked.of(ids)
+            pos = mark >> SHIFT
+            lo = pos - (mark >> 5 & 31)
+            at, start, a, u = mode.windows(part["text"].tolist(), row, pos, lo, lo + (mark & 31))
+            out.append(dealer.settle(WINDOW, a, u, ids[row[at]], start.astype(np.int64) << SHIFT | mark[at] & 1 << AGAIN))
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in ENTRIES.split(", ")})
 
-    asked = verdicts.filter(F.col("what") == ASK).select("bucket", "doc", "pos")
+    asked = verdicts.filter(F.col("what") == ASK).select("bucket", "doc", "mark")
     windows = homes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(ask, ENTRIES)
     single = materialize(judge(windows), "windows")
 
     def end(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        whole, alone = (_pairs(right[right["what"] == k]) for k in (SEEN, SEEN_WINDOW))
+        whole, alone = (Marks(right[right["what"] == k]) for k in (SEEN, SEEN_WINDOW))
         out = []
-        for part in chunks(left):
+        for part in chunks(left, most=CHUNK):
             ids = part["doc_id"].to_numpy()
-            starts: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(part)
-            hit = np.flatnonzero(np.isin(ids, whole[0]) | np.isin(ids, alone[0]))
-            if len(hit):
-                texts = [part["text"].iloc[i] for i in hit]
-                x = mode.anchors(texts)
-                doc = ids[hit][x.doc]
-                seen = _member(doc, x.pos, whole)
-                if not mode.within:  # a stretch that recurs in its document was sent once
-                    key = mix(x.u ^ mix(x.doc.astype(U)))
-                    seen = np.isin(key, key[seen])
-                row = [np.repeat(x.doc[seen], (x.hi - x.lo + 1)[seen])]
-                lo, n = x.lo[seen], (x.hi - x.lo + 1)[seen]
-                start = [np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-                keyed = np.isin(ids[hit], alone[0])
-                if keyed.any():
-                    r, s = mode.alike(texts, [alone[1][alone[0] == i].astype(np.int64) if k else np.zeros(0, np.int64) for i, k in zip(ids[hit], keyed, strict=True)])
-                    row.append(r)
-                    start.append(s)
-                row, start = np.concatenate(row), np.concatenate(start)
-                key = np.unique(row.astype(np.int64) << 32 | start)
-                cut = np.searchsorted(key >> 32, np.arange(len(hit) + 1))
-                for k, i in enumerate(hit):
-                    starts[i] = key[cut[k] : cut[k + 1]] & 0xFFFFFFFF
-            out.append(finish(part, starts))
+            row, mark = whole.of(ids)
+            lo = (mark >> SHIFT) - (mark >> 5 & 31)
+            found = [_spread(row, lo, lo + (mark & 31))]
+            row2, mark2 = alone.of(ids)
+            found.append((row2, mark2 >> SHIFT))
+            # A stretch or window that recurs in its own document was sent once.
+            recurs = np.unique(np.concatenate([row[mark >> AGAIN & 1 > 0], row2[mark2 >> AGAIN & 1 > 0]])) if not mode.within else []
+            if len(recurs):
+                r, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                own = [np.unique(s[r == k]) for k in recurs]
+                r, s = mode.alike([part["text"].iloc[k] for k in recurs], own)
+                found.append((recurs[r], s))
+            r, s = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+            key = np.unique(r << 32 | s)
+            cut = np.searchsorted(key >> 32, np.arange(len(part) + 1))
+            out.append(finish(part, [key[a:b] & 0xFFFFFFFF for a, b in zip(cut[:-1], cut[1:], strict=True)]))
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    seen = verdicts.filter(F.col("what") == SEEN).unionByName(single).select("bucket", "what", "doc", "pos")
+    seen = verdicts.filter(F.col("what") == SEEN).unionByName(single).select("bucket", "what", "doc", "mark")
     return homes.groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInPandas(end, schema)
 
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .hashing import Batch, chunks
 
-DIM = 1 << 14
+DIM = 1 << 13
 #: Bound on the rows that the classifier is fitted on, shared evenly by the languages.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1500
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -130,9 +130,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5, fold:
                 yield pd.DataFrame({"x": [v.astype(np.float16).tobytes() for v in features(part["text"].tolist())], "lang": part["lang"].to_numpy()})
 
     got = rows.mapInPandas(run, "x binary, lang string").collect() if rows is not None else []
-    x = np.array([np.frombuffer(r["x"], dtype=np.float16) for r in got], dtype=np.float32).reshape(len(got), DIM)
-    order = np.lexsort((x[:, 1], x[:, 0])) if len(got) else []
-    return Model(x[order], [got[i]["lang"] for i in order])
+    got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
+    x = np.zeros((len(got), DIM), dtype=np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["x"], dtype=np.float16)
+    return Model(x, [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -40,10 +40,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    schema = df.schema
+    del df
     # Shuffle files go when nothing refers to their plans any more, and a small driver seldom collects by itself.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchored import Anchors, removed_runs, seen_windows
+from .anchored import Anchors, _spread, removed_runs, seen_windows
 from .hashing import BYTES, WORDS, WORDS2, Batch
 
 WINDOW = 20
@@ -55,16 +55,14 @@ class WordMode:
         u = WORDS.span(prefix, at + lo, at + hi + self.window) + (pos - lo).astype(np.uint64)
         return Anchors(doc, pos, a, u, lo, hi)
 
-    def windows(self, texts, x: Anchors):
+    def windows(self, texts, row, pos, lo, hi):
         h, first = self._words(texts)
-        n = x.hi - x.lo + 1
-        row = np.repeat(x.doc, n)
-        start = np.repeat(x.lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        key = np.unique(row.astype(np.int64) << 32 | start)
-        row, start = key >> 32, key & 0xFFFFFFFF
-        at = first[row] + start
-        one, two = (r.span(r.prefix(h), at, at + self.window) for r in (WORDS, WORDS2))
-        return row, start, one, two
+        at, start = _spread(np.arange(len(row)), lo, hi)
+        key, one = np.unique(row[at].astype(np.int64) << 32 | start, return_index=True)
+        at, start = at[one], key & 0xFFFFFFFF
+        place = first[row[at]] + start
+        one, two = (r.span(r.prefix(h), place, place + self.window) for r in (WORDS, WORDS2))
+        return at, start, one, two
 
     def alike(self, texts, starts):
         """Windows that share the fate of those at starts: just these, as each place is judged by itself."""

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchored import Anchors, removed_runs, seen_windows
+from .anchored import Anchors, _spread, removed_runs, seen_windows
 from .hashing import BYTE_CODES, BYTES, Batch, Rolling, splitmix
 
 WIDTH, TRIGGER = 50, 20
@@ -66,24 +66,25 @@ class ByteMode:
         base = batch.base[doc]
         return Anchors(doc, t - base, a, u, lo - base, hi - base)
 
-    def windows(self, texts, x: Anchors):
+    def windows(self, texts, row, pos, lo, hi):
         batch = Batch(texts)
-        lo, hi = batch.base[x.doc] + x.lo, batch.base[x.doc] + x.hi
-        _, phrase, parse = np.unique(x.u, return_index=True, return_inverse=True)  # dictionary and parse
-        n = (hi - lo + 1)[phrase]
-        suffix = np.repeat(lo[phrase] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        prefix = batch.prefix()
+        lo, hi = batch.base[row] + lo, batch.base[row] + hi
+        _, phrase, parse = np.unique(BYTES.span(prefix, lo, hi + self.width), return_index=True, return_inverse=True)
+        _, suffix = _spread(phrase, lo[phrase], hi[phrase])  # all suffixes of the dictionary that are long enough
         order, same = self.sorted_suffixes(batch.bytes, suffix)
         head = np.empty(len(suffix), dtype=np.int64)
         head[order] = suffix[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(suffix))))]
+        one = BYTES.span(prefix, suffix, suffix + self.width)
+        two = _BYTES2.span(_BYTES2.prefix(_CODES2[batch.bytes]), suffix, suffix + self.width)
+        own = np.searchsorted(np.sort(suffix), head)
+        own = np.argsort(suffix, kind="stable")[own]  # each class is keyed by one of its suffixes
+        one, two = one[own], two[own]
+        n = (hi - lo + 1)[phrase]
         first = np.append(0, np.cumsum(n)[:-1])[parse]
-        many = (hi - lo + 1)[np.arange(len(parse))]
-        within = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
-        place = np.repeat(lo, many) + within
-        head = head[np.repeat(first, many) + within]
-        row = np.repeat(x.doc, many)
-        one = BYTES.span(batch.prefix(), head, head + self.width)
-        two = _BYTES2.span(_BYTES2.prefix(_CODES2[batch.bytes]), head, head + self.width)
-        return row, place - batch.base[row], one, two
+        at, place = _spread(np.arange(len(parse)), lo, hi)
+        inside = first[at] + place - lo[at]
+        return at, place - batch.base[row[at]], one[inside], two[inside]
 
     def sorted_suffixes(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of the suffixes at starts by their first ``width`` bytes, and whether each shares them with the one before."""
