@@ -105,7 +105,7 @@ def calibrate(results: DataFrame, budget: float | None = None) -> DataFrame:
     ends = results.agg(F.min(F.when(a, F.col("top_score"))).alias("floor"), F.max(F.when(~a, F.col("top_score"))).alias("ceiling"), F.array_sort(F.collect_list(F.when(a, F.col("top_score")))).alias("tops"))
     n = F.size("tops")
     cut = (F.col("floor") + F.col("ceiling")) / 2 if budget is None else F.element_at("tops", F.least(F.floor(budget * n).cast("int") + 1, n))
-    t = ends.select(F.round(cut, 6).alias("threshold"), F.round(F.col("floor") - F.col("ceiling"), 6).alias("margin"), "floor", "ceiling")
+    t = ends.select(F.round(cut, 7).alias("threshold"), F.round(F.col("floor") - F.col("ceiling"), 6).alias("margin"), "floor", "ceiling")
     below = (F.col("top_score") < F.col("threshold")).cast("int")
     rows = results.select("answerable", "top_score").crossJoin(F.broadcast(t))
     return rows.groupBy("threshold", "margin", "floor", "ceiling").agg(

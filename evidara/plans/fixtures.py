@@ -6,7 +6,9 @@ import json
 
 import pandas as pd
 
-SYMBOLS = [(1, "a  b  c"), (2, "x  2, y  z"), (3, " and  stay "), (4, "plain"), (5, ""), (6, None)]
+#: The characters ()+= as a symbol font has them.
+IN_FONT = "\uf028\uf029\uf02b\uf03d"
+SYMBOLS = [(1, "a \uf02b b \uf03d c"), (2, "x \uf0b3 2, y \uf0b9 z \uf0b1 \uf061"), (3, "\uf0ff and \ue001 stay \uf0ff"), (4, "plain"), (5, ""), (6, None)]
 _NODE = {"type": "paragraph", "page number": 1, "bounding box": [72.0, 600.0, 540.0, 640.0]}
 TREES = [
     ("t1", json.dumps({"number of pages": 2, "kids": [

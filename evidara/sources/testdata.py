@@ -17,7 +17,7 @@ from . import vocabulary as V
 from .stage import cut
 
 TENANT, VERSION = "tenant-pilot", "pilot-0"
-LICENSED = ["src16"]
+LICENSED = ["src16", "src17"]
 OPENERS = ["the", "und", "la", "el"]
 
 
@@ -85,15 +85,15 @@ class Corpus:
         at = docs.join(items, F.expr("contains(text, query)")).select("item_id", "doc_id", "lang", (F.expr("instr(text, query)") - 1).alias("start"), F.length("query").alias("n"))
         b = self.blocks.select("doc_id", "block_id", "char_start", "n_chars")
         inside = (F.col("char_start") < F.col("start") + F.col("n")) & (F.col("char_start") + F.col("n_chars") > F.col("start"))
-        return cut(at.join(b, "doc_id").filter(inside).select(F.concat(F.lit("c"), "item_id").alias("case_id"), "block_id", "lang"))
+        return cut(at.join(b, "doc_id").filter(inside).select(F.concat(F.lit("c"), "item_id").alias("case_id"), "block_id", "lang", F.when(F.col("doc_id") % 5 == 0, "7").otherwise("10").alias("grade")))
 
     @cached_property
     def cases(self) -> DataFrame:
-        gold = self.gold.groupBy("case_id").agg(F.min("lang").alias("lang"), F.count_distinct("block_id").alias("n_gold"))
+        gold = self.gold.groupBy("case_id").agg(F.min("lang").alias("lang"), F.min("grade").alias("gold_grade"), F.count_distinct("block_id").alias("n_gold"))
         i = F.col("item_id")
         d = self.table("benchmark").withColumn("case_id", F.concat(F.lit("c"), i)).join(gold, "case_id", "left")
         return cut(d.select(
-            "case_id", "item_id", F.col("text").alias("query"), F.when(i % 3 == 0, "7").otherwise("10").alias("grade"), F.coalesce("lang", F.lit("en")).alias("subject"),
+            "case_id", "item_id", F.col("text").alias("query"), F.coalesce("gold_grade", F.when(i % 3 == 0, "7").otherwise("10")).alias("grade"), F.coalesce("lang", F.lit("en")).alias("subject"),
             F.coalesce("lang", F.lit("en")).alias("language"), pick(["factual", "procedural", "conceptual"], i).alias("question_type"), pick(list(V.ROLES), i).alias("teaching_action"),
             pick(["cold_start", "progressing"], i).alias("learner_state"), pick(list(V.CEILING), i).alias("assessment_state"), pick(["text", "equation", "table", "diagram"], i).alias("modality"),
             F.coalesce(F.col("n_gold") > 0, F.lit(False)).alias("answerable"), (i % 4 == 3).alias("holdout"), (i % 3).alias("n_adjudicators"),
