@@ -205,13 +205,13 @@ def seen_windows(docs: DataFrame, mode, finish, schema: str) -> DataFrame:
                     yield dealer.settle(ANCHOR, x.a, x.u, part["doc_id"].to_numpy()[x.doc], mark)
 
     judge = lambda entries: entries.groupBy("kind", "bucket").applyInPandas(lambda pdf: dealer.judge(pdf), VERDICTS)
-    verdicts = materialize(judge(docs.mapInPandas(find, ENTRIES)), "verdicts")
+    verdicts = materialize(judge(docs.mapInPandas(find, ENTRIES)), "verdicts", free=True)
     homes = docs.select(home, "doc_id", "text")
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         asked = Marks(right)
-        for part in chunks(left[np.isin(left["doc_id"], asked.doc)], most=CHUNK) if len(right) else []:
+        for part in chunks(left[np.isin(left["doc_id"], asked.doc)], most=CHUNK // 4) if len(right) else []:
             ids = part["doc_id"].to_numpy()
             row, mark = asked.of(ids)
             pos = mark >> SHIFT
@@ -222,7 +222,7 @@ def seen_windows(docs: DataFrame, mode, finish, schema: str) -> DataFrame:
 
     asked = verdicts.filter(F.col("what") == ASK).select("bucket", "doc", "mark")
     windows = homes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(ask, ENTRIES)
-    single = materialize(judge(windows), "windows")
+    single = materialize(judge(windows), "windows", free=True)
 
     def end(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         whole, alone = (Marks(right[right["what"] == k]) for k in (SEEN, SEEN_WINDOW))

@@ -160,7 +160,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_memb
         tokens = rows.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
         return rows.join(tokens.select("token", "leader"), "token")
 
-    kin = materialize(shared(entries), "kin")
+    kin = materialize(shared(entries), "kin", free=True)
     alive = kin.groupBy("doc_id").agg(F.countDistinct("token").alias("common")).join(first.select("doc_id", "n"), "doc_id").filter(F.col("common") >= need)
     alive = materialize(alive.groupBy("doc_id").agg(F.min("n").alias("n")), "alive")
     kin = materialize(shared(kin.select("doc_id", "token").join(alive, "doc_id")), "kin")
@@ -204,7 +204,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_memb
         with_text = rows.join(docs.join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "g", "part", "role", "text")
         return with_text.groupBy("g", "part").applyInPandas(link(among), found_schema)
 
-    found = materialize(compared(inside.unionByName(opened), True), "found")
+    found = materialize(compared(inside.unionByName(opened), True), "found", free=True)
     links = found.select("u", "v")
     large = member.filter(F.col("size") > group_members).select("g", "size").distinct()
     if not large.isEmpty():
