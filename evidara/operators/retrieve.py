@@ -175,10 +175,15 @@ def broken_topk(plans: DataFrame, objects: DataFrame, kind: str, k: int = K) ->
         wide = base.join(objects.select("object_id", "grade"), "object_id").join(p, "plan_id")
         rows = wide.withColumn("score", F.col("base") + F.when(F.col("grade") != F.col("plan_grade"), 1).otherwise(0))
     else:
-        bonus = F.when(F.col("object_type").isin("solution", "rubric", "answer"), 2).otherwise(0) if kind == "answer_only" else F.when(F.col("tenant_scope").isNotNull() & (F.col("tenant_scope") != F.col("tenant")), 2).otherwise(0)
-        # Objects with a bonus are kept without overlap too; both sides are joined by equality.
-        liked = objects.select("object_id", "object_type", "tenant_scope", F.lit(1).alias("one")).join(p.withColumn("one", F.lit(1)), "one").withColumn("bonus", bonus)
-        liked = liked.filter("bonus > 0").select("plan_id", "object_id", "bonus")
-        rows = base.join(liked, ["plan_id", "object_id"], "full_outer").withColumn("score", F.coalesce("base", F.lit(0.0)) + F.coalesce("bonus", F.lit(0)))
+        # Liked objects without overlap all score alike, so of each scope only the k smallest ids can be among the k best.
+        if kind == "answer_only":
+            liked = objects.filter(F.col("object_type").isin("solution", "rubric", "answer")).select("object_id", F.lit("").alias("scope"))
+        else:
+            liked = objects.filter(F.col("tenant_scope").isNotNull()).select("object_id", F.col("tenant_scope").alias("scope"))
+        first = top(liked, ["scope"], k, F.asc("object_id")).drop("rank")
+        extra = p.join(F.broadcast(first), F.col("scope") != F.col("tenant")).select("plan_id", "object_id")
+        seen = base.join(liked.withColumnRenamed("object_id", "o"), F.col("object_id") == F.col("o")).join(p, "plan_id").filter(F.col("scope") != F.col("tenant")).select("plan_id", "object_id")
+        bonus = extra.unionByName(seen).distinct().withColumn("bonus", F.lit(2))
+        rows = base.join(bonus, ["plan_id", "object_id"], "full_outer").withColumn("score", F.coalesce("base", F.lit(0.0)) + F.coalesce("bonus", F.lit(0)))
     rows = rows.select("plan_id", "object_id", F.round("score", PLACES).alias("score"))
     return top(rows, ["plan_id"], k, *by_score("object_id"))
