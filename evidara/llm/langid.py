@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import Batch, chunks
+from .scratch import small_batches
 
 DIM = 1 << 13
 #: Bound on the rows that the classifier is fitted on, shared evenly by the languages.
@@ -141,8 +142,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs, from its whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when nothing was
-    learned. Repeated rows are predicted each; an empty table gives no rows; other columns are ignored.
+    learned. Rows without doc_id are left out, repeated rows are predicted each; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                         lang[at], score[at] = name, p
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": lang, "score": score})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
 def op8_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,11 +270,11 @@ def clean(docs: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS, text: boo
     Lines end at \\n alone; a null or empty text is one empty line. A line whose key has at least
     min_chars code points and stands in at least ``min_docs`` documents goes, except from the largest
     doc_id that has it, which keeps all of them. Rows that repeat a doc_id count as one document each
-    and keep alike; rows without doc_id have no part in counts and lose nothing. Other columns are
+    and keep alike; rows without doc_id are left out. Other columns are
     ignored; an empty table gives no rows.
     """
     lost = index.decide(min_docs).withColumnRenamed("doc_id", "_owner")
-    joined = docs.select("doc_id", "text").join(lost, F.col("doc_id") == F.col("_owner"), "left").select("doc_id", "text", "lost")
+    joined = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(lost, F.col("doc_id") == F.col("_owner"), "left").select("doc_id", "text", "lost")
     min_chars = index.min_chars
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, nth))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, PIECES)
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -194,11 +194,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """Pack whole documents into sequences of at most ``capacity`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is the
-    end id alone; repeated rows are packed as often as they occur; an empty table gives no rows; other
+    end id alone; rows without doc_id are left out; repeated rows are packed as often as they occur; an empty table gives no rows; other
     columns are ignored. Sent to the driver: the histogram, at most ``capacity`` rows. Sent to the
     executors: the slots, at most three patterns a length, each with fewer than 64 distinct lengths.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     rows = materialize(pieces(docs, capacity, tokenizer, end_id), "pieces")
     by_part = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     # The table has one row a length and partition, so a length's window holds at most one row a partition.

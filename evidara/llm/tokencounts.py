@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import default_tokenizer, encoding
-from .scratch import new_path
+from .scratch import new_path, small_batches
 
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 18
@@ -34,6 +34,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         for pdf in batches:
             yield pd.DataFrame({"ids": [np.array(enc.encode_ordinary(t or ""), dtype="<u2").tobytes() + bytes([low]) for t in pdf["text"]]})
 
+    small_batches(docs.sparkSession)
     raw = docs.select("text").mapInPandas(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
     raw.write.option("encoding", "ISO-8859-1").option("lineSep", chr(high)).option("compression", "none").text(path)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .hashing import BYTES, Batch, chunks
 from .langid import held_out
+from .scratch import small_batches
 
 ROWS = 1 << 16
 EMBED, FILTERS, WIDTHS = 16, 12, (1, 2, 3)
@@ -201,9 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted for every row, from its whole text alone; flagged by the language's own threshold.
 
-    A null or empty text is scored as a text without words. Repeated rows are scored each; an empty
+    A null or empty text is scored as a text without words. Rows without doc_id are left out, repeated rows are scored each; an empty
     table gives no rows. ``flagged`` reads lang only to choose a threshold (THRESHOLD if it has none).
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -214,7 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cut = np.array([m.thresholds.get(x or "", THRESHOLD) for x in part["lang"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": p, "predicted": (p >= THRESHOLD).astype(np.int32), "flagged": p >= cut})
 
-    return docs.select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, score double, predicted int, flagged boolean")
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, score double, predicted int, flagged boolean")
 
 
 def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
