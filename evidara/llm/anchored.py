@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .hashing import U, chunks, mix
 from .scratch import materialize, small_batches
 
-BUCKET_BYTES, CHUNK = 4 << 20, 1_000_000
+BUCKET_BYTES, CHUNK = 4 << 20, 500_000
 #: Keys are sent with so many bytes; two of them make an identity of 96 bits.
 KEY_BYTES = 6
 #: A mark holds the position above SHIFT bits, whether the stretch recurs in its document (bit AGAIN), how far before the position its windows start (5 bits), and their number less one (5 bits).
