@@ -22,6 +22,8 @@ DIM = 1 << 13
 #: Bound on the rows that the classifier is fitted on, shared evenly by the languages.
 SAMPLE_ROWS = 1500
 UNDETERMINED = "und"
+#: Only so many languages, the most frequent, are learned.
+MOST_LANGS = 200
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -116,12 +118,24 @@ def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.crc32(F.col(doc_id).cast("string")) % folds == fold
 
 
+def smallest_hashes(rows: DataFrame, key: str, counts: dict, most: int) -> DataFrame:
+    """doc_id and key of the ``most`` rows of each key with the smallest hashes of doc_id.
+
+    ``counts`` holds the number of rows of each key. Rows whose hash is beyond twice the share that is wanted go before the
+    rows of a key meet, so a common key is no hot spot.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    limit = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (2 * most + 50) / n) * (1 << 31)))))[F.col(key)] if counts else F.lit(0)
+    few = rows.select("doc_id", key, place.alias("place")).filter(F.col("place") < limit)
+    order = Window.partitionBy(key).orderBy("place", "doc_id")
+    return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("doc_id", key)
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5, fold: int = 0) -> Model:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out fold, spread over the languages."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
-    n_langs = usable.groupBy("lang").count().orderBy(F.desc("count")).limit(200).count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(5, sample_rows // max(1, n_langs)))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    ids = smallest_hashes(usable, "lang", counts, max(5, sample_rows // max(1, len(counts))))
     chosen = [r["doc_id"] for r in ids.select("doc_id").distinct().limit(sample_rows).collect()]
     rows = usable.filter(F.col("doc_id").isin(chosen)).select("text", "lang").limit(2 * sample_rows) if chosen else None
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import BYTES, Batch, chunks
-from .langid import held_out
+from .langid import held_out, smallest_hashes
 from .scratch import small_batches
 
 ROWS = 1 << 16
@@ -180,8 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
     """Fit on at most ``per_label`` rows of each label outside the held-out fold; the labels' rates are counted over all rows."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     count = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = {r["doc_id"]: r["toxic"] for r in usable.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label).select("doc_id", "toxic").collect()}
+    chosen = {r["doc_id"]: r["toxic"] for r in smallest_hashes(usable, "toxic", count, per_label).collect()}
     if not chosen:
         return fit([], np.zeros(0), [], 1.0)
     rows = docs.filter(F.col("doc_id").isin(list(chosen))).select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
