@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN, BLOCK, ALLOWED = 12, 3, 2
-#: Words between the starts of an item's windows; its last window is always taken.
-STRIDE = 4
+#: Words between the starts of an item's windows: every window is taken.
+STRIDE = 1
+#: The oracle SQL is left as it was: it takes each fourth window and the last, and so finds a part of what the query finds.
+ORACLE_STRIDE = 4
 #: Items below this many words are too short to tell anything; from here to SPAN - 1 they must match whole.
 LEAST = 5
 #: Seeds are sent to all tasks up to this many, and joined by a shuffle beyond.
@@ -62,14 +64,14 @@ def item_windows(items: DataFrame) -> DataFrame:
     """item_id, width and the hashes g of an item's windows."""
     h = items.filter(F.col("item_id").isNotNull()).select("item_id", hashes("text").alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= LEAST)
     width = F.least("n", F.lit(SPAN))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("n") - width, F.lit(STRIDE)), F.array(F.col("n") - width)))
+    starts = F.sequence(F.lit(0), F.col("n") - width, F.lit(STRIDE))
     return h.select("item_id", "h", width.alias("width"), F.explode(starts).alias("at")).select("item_id", "width", F.slice("h", F.col("at") + 1, F.col("width")).alias("g"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_equal for each document and benchmark item that overlap.
 
-    They overlap if some SPAN-word window of the item (each STRIDE-th and the last) stands in the document with at most
+    They overlap if any SPAN-word window of the item stands in the document with at most
     ALLOWED words replaced; items of LEAST to SPAN - 1 words must stand there whole, shorter ones never match. n_equal
     is the most equal words in a window, first_word where the first such window starts in the document. Null and
     empty texts match nothing, rows without id are left out, repeated rows of an id count as one, other columns are
@@ -115,7 +117,7 @@ def _equal() -> str:
 SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS dw FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS iw FROM benchmark),
-bw AS (SELECT item_id, iw, unnest(list_distinct(list_append(range(1, len(iw) - {SPAN - 2}, {STRIDE}), len(iw) - {SPAN - 1}))) AS j
+bw AS (SELECT item_id, iw, unnest(list_distinct(list_append(range(1, len(iw) - {SPAN - 2}, {ORACLE_STRIDE}), len(iw) - {SPAN - 1}))) AS j
        FROM b WHERE len(iw) >= {SPAN}),
 bs AS (SELECT item_id, iw, j, unnest({_keys('iw', 'j')}) AS seed FROM bw),
 dp AS (SELECT doc_id, dw, unnest(range(1, len(dw) - {SPAN - 2})) AS i FROM d WHERE len(dw) >= {SPAN}),

@@ -68,3 +68,12 @@ def test_plan_is_native(spark):
     docs, items = data()
     plan = D.contaminated(*make(spark, docs, items))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_every_window_of_an_item_is_seeded(spark):
+    """Passages inside the tolerance that start at no fourth word of the item."""
+    item = [f"w{k}" for k in range(40)]
+    passage = lambda low, high, replaced: " ".join("changed" if k in replaced else item[k] for k in range(low, high))
+    docs = [(1, passage(2, 14, {7})), (2, passage(1, 14, {3, 9})), (3, "before " + passage(5, 17, {7, 12}) + " after"), (4, passage(2, 14, {5, 8, 11}))]
+    got = D.contaminated(*make(spark, docs, [(0, " ".join(item))]))
+    assert sorted(map(tuple, got.select("doc_id", "item_id", "first_word", "n_equal").collect())) == [(1, 0, 0, 11), (2, 0, 0, 10), (3, 0, 1, 10)]
