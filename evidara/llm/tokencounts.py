@@ -17,8 +17,10 @@ from .scratch import new_path, small_batches
 
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 18
-#: Files are read whole by the scan, so writers keep them far below this size.
+#: Files up to this size are read whole by the scan, larger ones in ranges.
 MOST_FILE_BYTES = 1 << 30
+#: Bytes of a range of a larger file, an even number.
+RANGE_BYTES = 1 << 26
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, separator: int = SEPARATOR) -> None:
@@ -39,25 +41,52 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     raw.write.option("encoding", "ISO-8859-1").option("lineSep", chr(high)).option("compression", "none").text(path)
 
 
+def ranges(spark: SparkSession, files: list[tuple[str, int]]) -> tuple[str, dict[str, tuple[str, int]]]:
+    """Copy files, given as (path, length), to the shared folder in ranges; its path, and for each range's folder and name the file and the first token.
+
+    The driver passes the bytes from stream to stream and holds none of them.
+    """
+    jvm, hadoop, folder, origin = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), new_path(spark, "ranges"), {}
+    for k, (name, length) in enumerate(files):
+        source = jvm.org.apache.hadoop.fs.Path(name)
+        content = source.getFileSystem(hadoop).open(source)
+        for start in range(0, length, RANGE_BYTES):
+            target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}-{start}.bin")
+            out = target.getFileSystem(hadoop).create(target)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(content, out, 0, min(RANGE_BYTES, length - start))
+            out.close()
+            origin[f"{folder.rsplit('/', 1)[-1]}/{k}-{start}.bin"] = (name, start // 2)
+        content.close()
+    return folder, origin
+
+
 def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file, doc_no, first_token, n_tokens (without the separator) of every document in the token files at path.
 
     doc_no counts from 0 in a file. Tokens after the last separator are a last document without an end;
-    files without tokens give no rows. Each task holds one file; what passes between blocks is a summary.
+    files without tokens give no rows. Each task holds one file, or one range of a file above MOST_FILE_BYTES, whose
+    path and length are sent to the driver; what passes between blocks is a summary.
     """
+    source = spark.read.format("binaryFile")
+    found = source.load(path)
+    large = [(r["path"], r["length"]) for r in found.filter(F.col("length") > MOST_FILE_BYTES).select("path", "length").collect()]
+    files, origin = found.filter(F.col("length").between(2, MOST_FILE_BYTES)).select("path", "content"), {}
+    if large:
+        folder, origin = ranges(spark, large)
+        files = files.unionByName(source.load(folder).select("path", "content"))
 
     def blocks(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 ids = np.frombuffer(content, dtype="<u2", count=len(content) // 2)
-                for k, start in enumerate(range(0, len(ids), block_tokens)):
+                name, base = origin.get("/".join(name.rsplit("/", 2)[-2:]), (name, 0))
+                for start in range(0, len(ids), block_tokens):
                     ends = np.flatnonzero(ids[start : start + block_tokens] == separator).astype("<i4")
-                    yield pd.DataFrame({"file": [name], "block": [k], "start": [start], "size": [min(block_tokens, len(ids) - start)], "n_ends": [len(ends)], "last_end": [start + int(ends[-1]) if len(ends) else None], "ends": [ends.tobytes()]})
+                    yield pd.DataFrame({"file": [name], "start": [base + start], "size": [min(block_tokens, len(ids) - start)], "n_ends": [len(ends)], "last_end": [base + start + int(ends[-1]) if len(ends) else None], "ends": [ends.tobytes()]})
 
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length").between(2, MOST_FILE_BYTES)).select("path", "content")
-    found = files.mapInPandas(blocks, "file string, block int, start long, size long, n_ends long, last_end long, ends binary")
-    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("file").orderBy("block").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = files.mapInPandas(blocks, "file string, start long, size long, n_ends long, last_end long, ends binary")
+    order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("file").orderBy("start").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     stitched = found.select(
         "*",
         F.coalesce(F.sum("n_ends").over(order), F.lit(0)).alias("docs_before"),

@@ -37,3 +37,24 @@ def test_counts_match_tokenizer(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     none.write.parquet(str(tmp_path / "e"))
     assert T.count_documents(spark.read.parquet(str(tmp_path / "e"))).count() == 0
+
+
+def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    rng, want = random.Random(3), []
+    for f, lengths in enumerate([[3, 0, 50, 1, 200, 7], [4, 4], [90]]):
+        ids = [x for n in lengths for x in [*(rng.randint(0, 50255) for _ in range(n)), T.SEPARATOR]][: -1 if f == 2 else None]
+        np.array(ids, dtype="<u2").tofile(tmp_path / f"part {f}.bin")
+        at = 0
+        for k, n in enumerate(lengths):
+            want.append((f"part {f}.bin", k, at, n))
+            at += n + 1
+    with open(tmp_path / "part 2.bin", "ab") as out:
+        out.write(b"x")  # half a token is none
+    monkeypatch.setattr(T, "MOST_FILE_BYTES", 40)
+    monkeypatch.setattr(T, "RANGE_BYTES", 36, raising=False)
+    for block in (5, 1000):
+        got = T.scan(spark, f"file://{tmp_path}", block_tokens=block).collect()
+        assert sorted((os.path.basename(r.file), r.doc_no, r.first_token, r.n_tokens) for r in got) == sorted(want)
+    folder, origin = T.ranges(spark, [(f"file:{tmp_path}/part 0.bin", os.path.getsize(tmp_path / "part 0.bin"))])
+    sizes = [os.path.getsize(f"{folder.removeprefix('file://')}/{name.split('/')[1]}") for name in origin]
+    assert len(sizes) > 10 and max(sizes) == 36 and sum(sizes) == os.path.getsize(tmp_path / "part 0.bin")
