@@ -36,7 +36,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("decontamination", benchmark), ("best_fit_packing", sequences)]

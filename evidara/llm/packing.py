@@ -25,6 +25,8 @@ from .scratch import materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
+#: The added token of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 Pattern = tuple[int, list[tuple[int, int]]]  # copies of the sequence, then (length, how many) in order
 
@@ -36,15 +38,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str):
-    """A byte-level BPE encoder over a ranks file; special tokens in a text are ordinary text."""
+@lru_cache(maxsize=4)
+def encoding(path: str, added: bool = False):
+    """A byte-level BPE encoder over a ranks file that knows ADDED on demand; ``encode_ordinary`` takes them as ordinary text in any case."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -53,16 +55,16 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """One row per piece, with its rank ``nth`` among pieces of its length in its input partition ``part``."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        enc, seen, part = encoding(path), {}, TaskContext.get().partitionId()
+        enc, seen, part = encoding(path, added), {}, TaskContext.get().partitionId()
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), end_id], dtype="<u4")
+                ids = np.array([*(enc.encode(text or "", allowed_special="all") if added else enc.encode_ordinary(text or "")), end_id], dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     nth = seen.get(length, 0)
                     seen[length] = nth + 1
@@ -190,17 +192,18 @@ def slots(patterns: list[Pattern]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "low", "per", "sequence", "offset"]).sort_values(["length", "low"], ignore_index=True)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Pack whole documents into sequences of at most ``capacity`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is the
     end id alone; rows without doc_id are left out; repeated rows are packed as often as they occur; an empty table gives no rows; other
     columns are ignored. Sent to the driver: the histogram, at most ``capacity`` rows. Sent to the
     executors: the slots, at most three patterns a length, each with fewer than 64 distinct lengths.
+    added: a literal of ADDED in a text is that one token, as ``tokenizers`` has it by default, and no ordinary text.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    rows = materialize(pieces(docs, capacity, tokenizer, end_id), "pieces")
+    rows = materialize(pieces(docs, capacity, tokenizer, end_id, added), "pieces")
     by_part = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     # The table has one row a length and partition, so a length's window holds at most one row a partition.
     before = materialize(by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")), "ranks")
@@ -225,7 +228,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=True)
 
 
 QUERIES = {"op4_best_fit_packing": op4_best_fit_packing}

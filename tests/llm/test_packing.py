@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -104,3 +105,18 @@ def test_pack_round_trip(spark):
 
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_and_stage_encode_added_tokens_as_tokenizers_does(spark, tmp_path):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>\n", "<|endoftext|", "<|endoftext|><|endoftext|>x " * 900, "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert tok.encode(texts[2], add_special_tokens=False).ids == [64, 50256, 65]
+    for out in (packing.op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.sequences(spark, docs, str(tmp_path))):
+        got = defaultdict(list)
+        for r in out.collect():
+            got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        for i, t in enumerate(texts):
+            ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+            assert sorted(got[i]) == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.cut(len(ids))]
