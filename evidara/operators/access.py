@@ -54,11 +54,57 @@ def source_rules() -> dict[str, Column]:
 
 
 def block_rules() -> dict[str, Column]:
-    """V2, V5."""
+    """V2, and of V5 what page and order must obey."""
     nothing = (F.coalesce(F.col("text"), F.lit("")) == "") & (F.coalesce(F.col("latex"), F.lit("")) == "")
     return {"block_without_content": nothing, "page_below_one": F.col("page") < 1, "negative_order": F.col("pos") < 0}
 
 
+def region_rules() -> dict[str, Column]:
+    """The rest of V5, for blocks with a region (x, y, width, height) and a confidence, which alone may be null."""
+    inside = lambda x: F.coalesce(F.col(x).between(0, 1), F.lit(False))
+    return {
+        "origin_outside_page": ~(inside("x") & inside("y")),
+        "size_outside_page": ~(inside("width") & inside("height")) | (F.col("width") == 0) | (F.col("height") == 0),
+        "confidence_outside_bounds": ~F.col("confidence").between(0, 1),
+    }
+
+
+def fallback_rules() -> dict[str, Column]:
+    """V8, for plans with on_exhausted and max_corrective_retrievals."""
+    return {
+        "fallback_not_terminal": ~F.coalesce(F.lower("on_exhausted").isin("clarify", "abstain", "escalate"), F.lit(False)),
+        "corrective_retrievals_outside_bounds": ~F.coalesce(F.col("max_corrective_retrievals").between(0, 1), F.lit(False)),
+    }
+
+
+#: The gates of a verification result.
+GATES = ("evidence_sufficient", "citations_resolve", "claims_supported", "math_proof_ok", "child_safe", "accessible", "no_answer_leakage", "policy_compliant")
+
+
+def verification_rules() -> dict[str, Column]:
+    """No pass with a failing gate."""
+    all_passed = F.lit(True)
+    for g in GATES:
+        all_passed = all_passed & F.coalesce(F.col(g), F.lit(False))
+    return {"pass_with_failing_gate": (F.col("action_taken") == "pass") & ~all_passed}
+
+
+def repeated_cases(cases: DataFrame) -> DataFrame:
+    """Case ids that stand in a gold set more than once."""
+    return violations(cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")), "case", "case_id", {"repeated_case_id": F.col("n") > 1})
+
+
+def licence_rules() -> dict[str, Column]:
+    """V15, for licences with source_ids, reason and granted_by."""
+    blank = lambda x: F.coalesce(F.col(x).rlike(r"^\s*$"), F.lit(True))
+    return {"licence_without_source": F.coalesce(F.size("source_ids") < 1, F.lit(True)), "licence_without_reason_or_grantor": blank("reason") | blank("granted_by")}
+
+
+def gate_config_rules() -> dict[str, Column]:
+    """V16, for gate configurations; high_confidence may be null, which is no ceiling."""
+    return {"corroboration_below_one": F.col("min_corroboration") < 1, "depth_below_one": F.col("depth") < 1, "ceiling_not_above_floor": F.col("high_confidence") <= F.col("threshold")}
+
+
 def object_rules() -> dict[str, Column]:
     """V3."""
     return {"solution_made_public": F.col("object_type").isin("solution", "rubric", "answer") & (F.col("disclosure") == "public")}

@@ -388,7 +388,7 @@ def dangling_citations(c):
 def gold_violations(c):
     n = c.gold.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     rows = c.cases.join(n, "case_id", "left").withColumn("claimed", F.when(F.col("item_id") % 9 == 4, ~F.col("answerable")).otherwise(F.col("answerable")))
-    return A.violations(rows, "case", "case_id", {"answerable_unlike_gold": F.col("claimed") != (F.coalesce("n", F.lit(0)) > 0)})
+    return A.violations(rows, "case", "case_id", {"answerable_unlike_gold": F.col("claimed") != (F.coalesce("n", F.lit(0)) > 0)}).unionByName(A.repeated_cases(c.cases))
 
 
 @query

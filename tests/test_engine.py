@@ -192,3 +192,23 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() >= 40 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rules_of_regions_fallbacks_verifications_cases_licences_and_gates(spark):
+    def broken(rows, schema, rules):
+        df = spark.createDataFrame(rows, schema)
+        return sorted((r.id, r.rule) for r in A.violations(df, "e", "id", rules).collect())
+
+    regions = [("ok", 0.0, 1.0, 1.0, 0.1, None), ("x", -0.1, 0.5, 0.5, 0.5, 1.0), ("w", 0.5, 0.5, 0.0, 0.5, 0.0), ("h", 0.5, 0.5, 0.5, 1.1, 0.5), ("c", 0.5, 0.5, 0.5, 0.5, 1.5), ("n", 0.5, float("nan"), 0.5, 0.5, 0.5), ("u", None, 0.5, 0.5, 0.5, 0.5)]
+    assert broken(regions, "id string, x double, y double, width double, height double, confidence double", A.region_rules()) == [("c", "confidence_outside_bounds"), ("h", "size_outside_page"), ("n", "origin_outside_page"), ("u", "origin_outside_page"), ("w", "size_outside_page"), ("x", "origin_outside_page")]
+    fallbacks = [("a", "ABSTAIN", 1), ("b", "SUFFICIENT", 0), ("c", "CLARIFY", 2), ("d", "INSUFFICIENT", 1), ("e", "ESCALATE", 0)]
+    assert broken(fallbacks, "id string, on_exhausted string, max_corrective_retrievals int", A.fallback_rules()) == [("b", "fallback_not_terminal"), ("c", "corrective_retrievals_outside_bounds"), ("d", "fallback_not_terminal")]
+    results = [("all", "pass", *[True] * 8), *((f"g{k}", "pass", *(j != k for j in range(8))) for k in range(8)), ("held", "abstain", *[False] * 8)]
+    schema = "id string, action_taken string, " + ", ".join(f"{g} boolean" for g in A.GATES)
+    assert broken(results, schema, A.verification_rules()) == [(f"g{k}", "pass_with_failing_gate") for k in range(8)]
+    cases = spark.createDataFrame([("a",), ("b",), ("a",), ("a",)], "case_id string")
+    assert [tuple(r) for r in A.repeated_cases(cases).collect()] == [("case", "a", "repeated_case_id")]
+    licences = [("ok", ["s"], "why", "who"), ("none", [], "why", "who"), ("blank", ["s"], " \t", "who"), ("null", ["s"], "why", None)]
+    assert broken(licences, "id string, source_ids array<string>, reason string, granted_by string", A.licence_rules()) == [("blank", "licence_without_reason_or_grantor"), ("none", "licence_without_source"), ("null", "licence_without_reason_or_grantor")]
+    gates = [("ok", 1, 1, 0.5, 0.8), ("open", 1, 1, 0.5, None), ("m", 0, 1, 0.5, 0.8), ("d", 1, 0, 0.5, 0.8), ("eq", 1, 1, 0.5, 0.5)]
+    assert broken(gates, "id string, min_corroboration int, depth int, threshold double, high_confidence double", A.gate_config_rules()) == [("d", "depth_below_one"), ("eq", "ceiling_not_above_floor"), ("m", "corroboration_below_one")]
