@@ -1,7 +1,8 @@
 """Vectorised hashing of words and byte spans of many texts at once, in numpy.
 
-A prefix sum of ``byte_code * BASE**i`` modulo 2**64 gives the hash of any span by
-one subtraction and one multiplication; a final mixing step spreads the bits.
+A family holds two polynomial hashes modulo the prime 2**31 - 1 with unrelated bases and codes, together 62 bits.
+Prefix sums of ``code * base**i`` give the hash of any span by one subtraction and one multiplication. The modulus is
+a prime, since modulo a power of two some strings (Thue-Morse words) collide for every base.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ import numpy as np
 
 U = np.uint64
 _MASK = (1 << 64) - 1
+PRIME = (1 << 31) - 1
+#: Spans are hashed over about so many bytes at a time.
+BLOCK, STEP = 1 << 21, 1 << 14
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -24,41 +28,104 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Rolling:
-    """Span hashes over one sequence family: powers of an odd base and of its inverse."""
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Change x, in place, into a smaller number with the same residue: below 2**33 from any x, below 2**32 + 4 from x < 2**63."""
+    high = x >> U(31)
+    x &= U(PRIME)
+    x += high
+    return x
 
-    def __init__(self, seed: int):
-        self.base = int(splitmix(1, seed)[0]) & ~7 | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U)
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place."""
+    x = _fold(_fold(x))
+    x -= (x >= U(PRIME)).astype(U) * U(PRIME)
+    return x
+
+
+class Family:
+    """Span hashes of bytes, or of 64-bit values when ``codes`` is None."""
+
+    def __init__(self, seed: int, codes: bool = True):
+        self.bases = [int(x) % (PRIME - 2) + 2 for x in splitmix(2, seed)]
+        self.inverses = [pow(b, PRIME - 2, PRIME) for b in self.bases]
+        self.codes = [splitmix(256, seed * 100 + k) % U(PRIME - 1) + U(1) for k in range(2)] if codes else None
+        self.up = [np.ones(1, dtype=U) for _ in range(2)]
+        self.down = [np.ones(1, dtype=U) for _ in range(2)]
 
     def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, step in (("up", self.base), ("down", self.inverse)):
-                power = np.full(n, step, dtype=U)
-                power[0] = 1
-                setattr(self, name, np.multiply.accumulate(power))
-
-    def prefix(self, codes: np.ndarray) -> np.ndarray:
-        """len(codes) + 1 running sums for ``span``."""
-        self._grow(len(codes) + 1)
-        out = np.zeros(len(codes) + 1, dtype=U)
-        np.cumsum(codes * self.up[: len(codes)], out=out[1:])
+        for powers, bases in ((self.up, self.bases), (self.down, self.inverses)):
+            for k in range(2):
+                p = powers[k]
+                while len(p) < n:
+                    p = np.concatenate((p, _residue(p * U(pow(bases[k], len(p), PRIME)))))
+                powers[k] = p
+
+    def prefix(self, values: np.ndarray) -> list[np.ndarray]:
+        """Running sums for ``span``, one more than values."""
+        n = len(values)
+        self._grow(n + 1)
+        out = [np.empty(n + 1, dtype=U) for _ in range(2)]
+        for k, sums in enumerate(out):
+            sums[0] = 0
+            for i in range(0, n, STEP):  # in pieces that stay in the cache
+                own = values[i : i + STEP]
+                code = np.take(self.codes[k], own) if self.codes else _fold((own >> U(32 * k)) & U(0xFFFFFFFF))
+                code *= self.up[k][i : i + len(own)]
+                _fold(code)[0] += sums[i]
+                np.cumsum(code, out=sums[i + 1 : i + 1 + len(own)])
+        return out
+
+    def span(self, prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of values[start:end], equal for equal spans of equal length wherever they stand."""
+        a, b = (_residue(_fold(_fold(prefix[k][end] - prefix[k][start])) * self.down[k][start]) for k in range(2))
+        return mix((a << U(31) | b) + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+    def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``span`` of ascending spans that do not overlap, block by block, so that long data need no long sums."""
+        out = np.empty(len(start), dtype=U)
+        cuts = np.searchsorted(start, np.arange(0, len(data) + BLOCK, BLOCK)) if len(start) else np.zeros(1, dtype=np.int64)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j > i:
+                low = start[i]
+                out[i:j] = self.span(self.prefix(data[low : max(end[j - 1], low)]), start[i:j] - low, end[i:j] - low)
+        return out
+
+    def short(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``span`` of short spans in any order, which may overlap, block by block."""
+        if len(values) <= BLOCK:
+            return self.span(self.prefix(values), start, end)
+        out, block = np.empty(len(start), dtype=U), start // BLOCK
+        for k in np.unique(block):
+            own, low = np.flatnonzero(block == k), k * BLOCK
+            out[own] = self.span(self.prefix(values[low : end[own].max()]), start[own] - low, end[own] - low)
         return out
 
-    def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of codes[start:end], equal for equal spans of equal length wherever they stand."""
-        return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+def choices(data: np.ndarray, width: int) -> np.ndarray:
+    """32 bits for every run of ``width`` bytes, to choose places by; they tell nothing apart."""
+    n = max(0, len(data) - width + 1)
+    h = np.zeros(n, dtype=np.uint32)
+    codes = (splitmix(256, 11) & U(0xFFFFFFFF)).astype(np.uint32)
+    size, span, done = 1, codes[data], 0  # the hash of 2k bytes is made of two hashes of k bytes
+    while True:
+        if width & size:
+            h = h * np.uint32(0x9E3779B1) + span[done : done + n]
+            done += size
+        size *= 2
+        if size > width:
+            break
+        span = span[: len(span) - size // 2] * np.uint32((0x85EBCA77 ^ size * 0x27D4EB2F) & 0xFFFFFFFF | 1) + span[size // 2 :]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    return h ^ (h >> np.uint32(15))
 
 
-BYTE_CODES = splitmix(256, 11)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Polynomial hashes for bytes, and for words within a document.
-BYTES, WORDS, WORDS2 = Rolling(1), Rolling(2), Rolling(3)
+#: Families for bytes, two of them unrelated, and for the hashes of words.
+BYTES, BYTES2, WORDS = Family(1), Family(2), Family(3, codes=False)
 
 
 class Batch:
@@ -74,8 +141,8 @@ class Batch:
         if lower:
             self.bytes = LOWER[self.bytes]
 
-    def prefix(self) -> np.ndarray:
-        return BYTES.prefix(BYTE_CODES[self.bytes])
+    def prefix(self) -> list[np.ndarray]:
+        return BYTES.prefix(self.bytes)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte start and end of every word, and each text's first word (len + 1 values)."""
@@ -84,6 +151,11 @@ class Batch:
         start, end = edge[0::2], edge[1::2]
         return start, end, np.searchsorted(start, self.base)
 
+    def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word, and each text's first word."""
+        start, end, first = self.words()
+        return BYTES.spans(self.bytes, start, end), first
+
 
 def chunks(pdf, text: str = "text", most: int = 2_000_000):
     """Row slices of a pandas frame with about ``most`` characters each; a longer text stands alone."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import BYTES, WORDS, Batch, U, chunks, mix, signed
+from .hashing import WORDS, Batch, U, chunks, mix, signed
 from .scratch import materialize, small_batches
 
 WIDTH, PERCENT = 5, 80
@@ -33,9 +33,9 @@ _BLOCK, _LEAST = 4_000_000, 4
 def shingle_sets(texts, width: int = WIDTH) -> list[np.ndarray]:
     """Ascending distinct shingle hashes of each text; a shorter text is one shingle, one without words none."""
     batch = Batch(texts, lower=True)
-    start, end, first = batch.words()
-    prefix = WORDS.prefix(BYTES.span(batch.prefix(), start, end))
-    at = np.arange(max(0, len(start) - width + 1))
+    words, first = batch.word_hashes()
+    prefix = WORDS.prefix(words)
+    at = np.arange(max(0, len(words) - width + 1))
     full = WORDS.span(prefix, at, at + width)
     out = []
     for s, e in zip(first[:-1], first[1:], strict=True):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import BYTE_CODES, BYTES, IS_SPACE, LOWER, chunks, mix, signed, splitmix
+from .hashing import BYTES, BYTES2, IS_SPACE, LOWER, chunks, mix, signed
 from .scratch import materialize, small_batches
 
 MIN_CHARS, MIN_DOCS, SHARDS = 20, 3, 64
@@ -23,7 +23,6 @@ FILTERS = "shard int, blob binary, overflow array<long>"
 #: Filters up to this size are sent to all tasks.
 SENT_BYTES = 32 << 20
 REFS = "h1 long, h2 long, doc_id long, n_lines long"
-_OTHER_CODES = splitmix(256, 12)
 
 
 class CuckooFilter:
@@ -111,8 +110,7 @@ def line_keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.
     solid = np.append(solid, 0)
     first, last = np.where(some, solid[lo], start), np.where(some, solid[np.maximum(hi, 1) - 1] + 1, start)
     points = np.append(0, np.cumsum((b & 0xC0) != 0x80))
-    h1 = BYTES.span(BYTES.prefix(BYTE_CODES[b]), first, last)
-    h2 = BYTES.span(BYTES.prefix(_OTHER_CODES[b]), first, last)
+    h1, h2 = BYTES.spans(b, first, last), BYTES2.spans(b, first, last)
     cut = np.searchsorted(end, np.cumsum([len(r) + 1 for r in raw]) - 1) + 1
     return [(h1[s:e], h2[s:e], points[last[s:e]] - points[first[s:e]]) for s, e in zip(np.append(0, cut[:-1]), cut, strict=True)]
 

@@ -14,8 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchored import Anchors, _spread, removed_runs, seen_windows
-from .hashing import BYTES, WORDS, WORDS2, Batch
+from .anchored import Anchors, removed_runs, seen_windows
+from .hashing import WORDS, Batch
 
 WINDOW = 20
 #: A perfect difference set modulo 13.
@@ -23,46 +23,35 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 
 
 class WordMode:
-    within = True
+    within, dtype = True, np.uint64
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.anchor = window, window - PERIOD + 1
+        self.width, self.anchor = window, window - PERIOD + 1
         if self.anchor < 1:
             raise ValueError(f"a window needs at least {PERIOD} words")
 
-    def _words(self, texts):
-        batch = Batch(texts)
-        bytes_ = batch.prefix()
-        start, end, first = batch.words()
-        h = BYTES.span(bytes_, start, end)
-        return h, first
+    def symbols(self, texts):
+        return Batch(texts).word_hashes()
 
     def anchors(self, texts) -> Anchors:
-        h, first = self._words(texts)
-        prefix = WORDS.prefix(h)
+        h, first = self.symbols(texts)
         n = np.diff(first)
         doc = np.repeat(np.arange(len(n)), n)
         pos = np.arange(len(h)) - first[doc]
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
-        keep = cover[pos % PERIOD] & (pos <= n[doc] - self.anchor) & (n[doc] >= self.window)
+        keep = cover[pos % PERIOD] & (pos <= n[doc] - self.anchor) & (n[doc] >= self.width)
         doc, pos = doc[keep], pos[keep]
-        lo, hi = np.maximum(0, pos - PERIOD + 1), np.minimum(pos, n[doc] - self.window)
+        lo, hi = np.maximum(0, pos - PERIOD + 1), np.minimum(pos, n[doc] - self.width)
         some = lo <= hi
         doc, pos, lo, hi = doc[some], pos[some], lo[some], hi[some]
         at = first[doc]
-        a = WORDS.span(prefix, at + pos, at + pos + self.anchor)
-        u = WORDS.span(prefix, at + lo, at + hi + self.window) + (pos - lo).astype(np.uint64)
+        a = WORDS.short(h, at + pos, at + pos + self.anchor)
+        u = WORDS.short(h, at + lo, at + hi + self.width) + (pos - lo).astype(np.uint64)
         return Anchors(doc, pos, a, u, lo, hi)
 
-    def windows(self, texts, row, pos, lo, hi):
-        h, first = self._words(texts)
-        at, start = _spread(np.arange(len(row)), lo, hi)
-        key, one = np.unique(row[at].astype(np.int64) << 32 | start, return_index=True)
-        at, start = at[one], key & 0xFFFFFFFF
-        place = first[row[at]] + start
-        one, two = (r.span(r.prefix(h), place, place + self.window) for r in (WORDS, WORDS2))
-        return at, start, one, two
+    def key(self, flat, start):
+        return WORDS.short(flat, start, start + self.width)
 
     def alike(self, texts, starts):
         """Windows that share the fate of those at starts: just these, as each place is judged by itself."""

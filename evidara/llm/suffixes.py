@@ -1,12 +1,12 @@
 """Byte-level dedup by prefix-free parsing (operator 6).
 
 A rolling hash triggers phrase ends where it is smallest among the places that a window spans, so every
-window of WIDTH bytes holds a trigger and equal windows hold it at the same place. A phrase is the stretch
-of bytes whose windows one trigger owns; neighbouring phrases overlap by WIDTH - 1 bytes, and none is a proper
-prefix of its like with another owner. The parse is a document's list of phrases, the dictionary the distinct ones.
-Phrases that recur are settled in the parse alone. Where one trigger has several phrases, the suffixes of the
-dictionary are sorted, suffixes that share WIDTH bytes stand together, and the parse maps each class back to its
-places in corpus order, whose first document keeps it.
+window of WIDTH bytes holds a trigger and equal windows hold it at the same place. What a window has before its trigger is
+the end of a phrase; what it has from there is the beginning of the parse that follows. The dictionary holds the
+distinct phrases of a trigger; phrases that recur whole are settled in the parse alone, whose first document keeps them.
+Where a trigger has several, ``anchored.compare`` sorts the dictionary from the trigger backwards and the parse's
+suffixes from the trigger on. A window's place in corpus order is the pair of both: windows of one phrase ending whose
+parse suffixes stand together and share the rest of WIDTH bytes are equal, and the first document among them keeps it.
 """
 
 from __future__ import annotations
@@ -17,96 +17,84 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchored import Anchors, _spread, removed_runs, seen_windows
-from .hashing import BYTE_CODES, BYTES, Batch, Rolling, splitmix
+from .anchored import Anchors, removed_runs, seen_windows
+from .hashing import BYTES, U, Batch, choices
 
 WIDTH, TRIGGER = 50, 20
-_CODES2, _BYTES2 = splitmix(256, 13), Rolling(5)
+#: Starts of windows that are parsed at once.
+SEGMENT = 1 << 20
 
 
 class ByteMode:
-    within = False
+    within, dtype = False, np.uint8
 
     def __init__(self, width: int = WIDTH, trigger: int = TRIGGER):
-        if not 0 < trigger <= width:
-            raise ValueError("a trigger must fit into a window")
+        if not 0 < trigger <= width or width - trigger > 31:
+            raise ValueError("a trigger must fit into a window, with at most 31 bytes to spare")
         self.width, self.trigger = width, trigger
 
     def _owners(self, g: np.ndarray) -> np.ndarray:
         """For each window start, the leftmost place of the smallest trigger hash inside it."""
-        span = self.width - self.trigger + 1
-        v, at, reach = g, np.arange(len(g), dtype=np.int32), 1
+        span, reach = self.width - self.trigger + 1, 1
+        v = g.astype(U) << U(32) | np.arange(len(g), dtype=U)
         while reach < span:
             step = min(reach, span - reach)
-            right = v[step:] < v[:-step]
-            at = np.where(right, at[step:], at[:-step])
-            v = np.where(right, v[step:], v[:-step])
+            v = np.minimum(v[step:], v[:-step])
             reach += step
-        return at
+        return (v & U(0xFFFFFFFF)).astype(np.int64)
 
     def anchors(self, texts) -> Anchors:
         batch = Batch(texts)
+        parts = [self._segment(batch, low) for low in range(0, max(1, len(batch.bytes) - self.width + 1), SEGMENT)]
+        return Anchors(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def _segment(self, batch: Batch, low: int) -> Anchors:
+        """Phrases of the windows that start in one segment of the buffer; one that goes on is cut, and compared as two."""
         none = np.zeros(0, dtype=np.int64)
-        if len(batch.bytes) < self.width:
-            return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
-        prefix = batch.prefix()
-        place = np.arange(len(batch.bytes) - self.trigger + 1)
-        owner = self._owners(BYTES.span(prefix, place, place + self.trigger))
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), batch.sizes + 1)[: len(owner)]
-        valid = np.arange(len(owner)) + self.width <= batch.base[doc] + batch.sizes[doc]
-        start = np.flatnonzero(valid)
+        empty = Anchors(none, none, none.astype(U), none.astype(U), none, none)
+        data = batch.bytes[low : low + SEGMENT + self.width - 1]
+        if len(data) < self.width:
+            return empty
+        owner = self._owners(choices(data, self.trigger))
+        first = np.searchsorted(batch.base, low, "right") - 1
+        last = np.searchsorted(batch.base, low + len(owner), "left")
+        edges = np.clip(batch.base[first : last + 1] - low, 0, len(owner))
+        doc = np.repeat(np.arange(first, first + len(edges) - 1, dtype=np.int64), np.diff(edges))
+        at = np.arange(len(doc))
+        start = np.flatnonzero(at + low + self.width <= batch.base[doc] + batch.sizes[doc])
         if not len(start):
-            return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
+            return empty
         owner, doc = owner[start], doc[start]
         new = np.append(True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]))
         lo, hi = start[new], start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
-        t, doc = owner[new].astype(np.int64), doc[new].astype(np.int64)
+        t, doc = owner[new], doc[new]
+        prefix = BYTES.prefix(data)
         a = BYTES.span(prefix, t, t + self.trigger)
-        u = BYTES.span(prefix, lo, hi + self.width) + (t - lo).astype(np.uint64)
-        base = batch.base[doc]
+        u = BYTES.span(prefix, lo, hi + self.width) + (t - lo).astype(U)
+        base = batch.base[doc] - low
         return Anchors(doc, t - base, a, u, lo - base, hi - base)
 
-    def windows(self, texts, row, pos, lo, hi):
+    def symbols(self, texts):
         batch = Batch(texts)
-        prefix = batch.prefix()
-        lo, hi = batch.base[row] + lo, batch.base[row] + hi
-        _, phrase, parse = np.unique(BYTES.span(prefix, lo, hi + self.width), return_index=True, return_inverse=True)
-        _, suffix = _spread(phrase, lo[phrase], hi[phrase])  # all suffixes of the dictionary that are long enough
-        order, same = self.sorted_suffixes(batch.bytes, suffix)
-        head = np.empty(len(suffix), dtype=np.int64)
-        head[order] = suffix[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(suffix))))]
-        one = BYTES.span(prefix, suffix, suffix + self.width)
-        two = _BYTES2.span(_BYTES2.prefix(_CODES2[batch.bytes]), suffix, suffix + self.width)
-        own = np.searchsorted(np.sort(suffix), head)
-        own = np.argsort(suffix, kind="stable")[own]  # each class is keyed by one of its suffixes
-        one, two = one[own], two[own]
-        n = (hi - lo + 1)[phrase]
-        first = np.append(0, np.cumsum(n)[:-1])[parse]
-        at, place = _spread(np.arange(len(parse)), lo, hi)
-        inside = first[at] + place - lo[at]
-        return at, place - batch.base[row[at]], one[inside], two[inside]
-
-    def sorted_suffixes(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the suffixes at starts by their first ``width`` bytes, and whether each shares them with the one before."""
-        rows = np.lib.stride_tricks.sliding_window_view(text, self.width)[starts]
-        keys = np.ascontiguousarray(rows).view(f"S{self.width}").ravel()
-        order = np.argsort(keys, kind="stable")
-        sorted_ = rows[order]
-        return order, np.append(False, (sorted_[1:] == sorted_[:-1]).all(axis=1))[: len(starts)]
+        return batch.bytes, batch.base
+
+    def key(self, flat, start):
+        return BYTES.short(flat, start, start + self.width)
 
     def alike(self, texts, starts):
         """All windows of a text that equal one of those at starts."""
-        batch = Batch(texts)
-        prefix = batch.prefix()
         row, place = [], []
-        for k, s in enumerate(starts):
+        for k, (t, s) in enumerate(zip(texts, starts, strict=True)):
             if len(s):
-                at = batch.base[k] + np.arange(batch.sizes[k] - self.width + 1)
-                h = BYTES.span(prefix, at, at + self.width)
-                hit = np.flatnonzero(np.isin(h, h[s]))
-                row.append(np.full(len(hit), k))
-                place.append(hit)
-        return np.concatenate(row), np.concatenate(place)
+                data = Batch([t]).bytes[:-1]
+                wanted = np.unique(self.key(data, s))
+                for low in range(0, len(data) - self.width + 1, SEGMENT):
+                    part = data[low : low + SEGMENT + self.width - 1]
+                    at = np.arange(len(part) - self.width + 1)
+                    hit = np.flatnonzero(np.isin(BYTES.span(BYTES.prefix(part), at, at + self.width), wanted))
+                    row.append(np.full(len(hit), k))
+                    place.append(low + hit)
+        return (np.concatenate(row), np.concatenate(place)) if row else (np.zeros(0, dtype=np.int64),) * 2
 
 
 def byte_dedup(docs: DataFrame, width: int = WIDTH, text: bool = True) -> DataFrame:

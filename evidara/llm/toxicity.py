@@ -30,9 +30,8 @@ PAD = max(WIDTHS) - 1
 def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of every word (n, 3), PAD rows of zeros after each text; and each text's start."""
     batch = Batch(texts, lower=True)
-    prefix = batch.prefix()
     start, end, first = batch.words()
-    ids = np.stack([1 + k * (ROWS // 4) + (BYTES.span(prefix, start, np.minimum(end, start + n)) % np.uint64(ROWS // 4)).astype(np.int64) for k, n in enumerate(PARTS)], axis=1)
+    ids = np.stack([1 + k * (ROWS // 4) + (BYTES.spans(batch.bytes, start, np.minimum(end, start + n)) % np.uint64(ROWS // 4)).astype(np.int64) for k, n in enumerate(PARTS)], axis=1)
     starts = first + PAD * np.arange(len(first))
     out = np.zeros((starts[-1], len(PARTS)), dtype=np.int32)
     out[np.arange(len(ids)) + PAD * np.repeat(np.arange(len(texts)), np.diff(first))] = ids

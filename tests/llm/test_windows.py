@@ -3,9 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from evidara.llm import anchored, substrings, suffixes
+from evidara.llm import anchored, hashing, substrings, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,3 +99,97 @@ def test_cover_and_runs():
     assert all(any((i + d) % period in cover and (j + d) % period in cover for d in range(period)) for i in range(period) for j in range(period))
     gone, n, runs = anchored.removed_runs(np.array([0, 1, 10]), 3, 13)
     assert (n, runs) == (7, 2) and gone.tolist() == [True] * 4 + [False] * 6 + [True] * 3
+
+
+def test_repeated_ids_with_other_texts(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, one), (1, two), (2, two + " " + one), (3, one)]
+    for mine in (substrings.substring_dedup, suffixes.byte_dedup):
+        got = sorted((r.doc_id, r.n_removed) for r in mine(make(spark, rows)).collect())
+        assert [d for d, n in got if n] == [2, 3] and got[0][1] == got[1][1] == 0
+
+
+def thue_morse(n):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_thue_morse_words_differ(spark):
+    for n in (64, 1024, 4096):
+        x, y = thue_morse(n)
+        rest = " ".join(f"w{i}" for i in range(19))
+        got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(make(spark, [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{x} {rest}")])).collect()}
+        assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_families_agree_with_plain_arithmetic():
+    rng = random.Random(5)
+    data = np.array([rng.randrange(256) for _ in range(70_000)], dtype=np.uint8)
+    start = np.array(sorted(rng.randrange(len(data) - 90) for _ in range(50)))
+    end = start + np.array([rng.randrange(80) for _ in start])
+    family, p = hashing.BYTES, hashing.PRIME
+    plain = []
+    for s, e in zip(start, end):
+        a, b = (sum(int(family.codes[k][x]) * pow(family.bases[k], i, p) for i, x in enumerate(data[s:e])) % p for k in range(2))
+        plain.append(int(hashing.mix(np.array([(a << 31 | b) + int(e - s) * 0xD6E8FEB86659FD93 & (1 << 64) - 1], dtype=np.uint64))[0]))
+    assert family.span(family.prefix(data), start, end).tolist() == plain == family.short(data, start, end).tolist()
+
+
+def stream(table, n):
+    return [table.slice(i, n).to_batches()[0] for i in range(0, table.num_rows, n)]
+
+
+@pytest.mark.parametrize("within", [False, True])
+@pytest.mark.parametrize("wide", [3, 1000])
+def test_streams_are_the_same_however_they_are_cut(within, wide, monkeypatch):
+    monkeypatch.setattr(anchored, "WIDE", wide)
+    rng = random.Random(wide)
+    rows = sorted((a, rng.randrange(6) if a % 3 else 1, rng.randrange(40), rng.randrange(9) << anchored.POS) for a in range(30) for _ in range(rng.choice([1, 2, 30])))
+    table = pa.table(dict(zip(("a", "u", "doc", "mark"), map(list, zip(*rows)), strict=True)))
+    seen, ask = [], []
+    for a, _, d, m in rows:
+        first = min((d2, m2) for a2, u2, d2, m2 in rows if (a2, u2) == (a, _))
+        several = len({u2 for a2, u2, *_2 in rows if a2 == a}) > 1
+        if d > first[0] or within and d == first[0] and m > first[1]:
+            seen.append((d, m))
+        elif several:
+            ask.append((a, d, m))
+    for n in (7, 64, 10_000):
+        monkeypatch.setattr(anchored, "ROWS", n)
+        got = [r for b in anchored.find_seen(stream(table, n), within) for r in b.to_pylist()]
+        assert sorted((r["doc"], r["mark"]) for r in got if r["what"] == anchored.SEEN) == sorted(seen)
+        assert sorted((r["a"], r["doc"], r["mark"]) for r in got if r["what"] != anchored.SEEN) == sorted(ask)
+        for a in range(30):
+            assert len({r["what"] for r in got if r["what"] != anchored.SEEN and r["a"] == a}) < 2 or wide == 3
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_windows_by_both_orders(within, monkeypatch):
+    rng = random.Random(8)
+    width, rows = 6, []
+    for d in range(300):
+        a, left, more = rng.randrange(4), rng.randrange(4), rng.randrange(3)
+        n = left + more + 1  # windows start left before the anchor up to it
+        n = min(n, left + 1)
+        pos = left + d * 10  # no two places of a document are one
+        sym = bytes(rng.choice(b"\x00ab") for _ in range(n - 1 + width))
+        sym = sym[:left] + b"zz" + sym[left + 2 :]
+        rows.append((a, d // 2, pos << anchored.POS | left << 5 | n - 1, sym))
+    rows.sort(key=lambda r: r[:3])
+    table = pa.table({"a": [r[0] for r in rows], "doc": [r[1] for r in rows], "mark": [r[2] for r in rows], "sym": pa.array([r[3] for r in rows], type=pa.binary())})
+    windows = []
+    for a, d, m, sym in rows:
+        lo, hi = (int(x[0]) for x in anchored.starts_of(np.array([m])))
+        back = (m >> 5) & 31
+        windows += [((a, back - k, sym[k : k + width]), (d, lo + k), (d, m), k) for k in range(hi - lo + 1)]
+    first = {}
+    for key, at, *_ in windows:
+        first[key] = min(first.get(key, at), at)
+    want = {}
+    for key, at, row, k in windows:
+        if at[0] > first[key][0] or within and at > first[key]:
+            want[row] = want.get(row, 0) | 1 << k
+    for n in (5, 40, 1000):
+        monkeypatch.setattr(anchored, "PHRASES", n)
+        got = [r for b in anchored.find_windows(stream(table, n), np.uint8, width, within) for r in b.to_pylist()]
+        assert sorted((r["doc"], r["mark"], r["mask"]) for r in got) == sorted((*r, m) for r, m in want.items())
