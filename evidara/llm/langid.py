@@ -19,11 +19,9 @@ from .hashing import Batch, chunks
 from .scratch import small_batches
 
 DIM = 1 << 13
-#: Bound on the rows that the classifier is fitted on, shared evenly by the languages.
-SAMPLE_ROWS = 1500
+#: Bound on the rows that the classifier is fitted on, shared evenly by the languages; but LEAST_OF_EACH of every language.
+SAMPLE_ROWS, LEAST_OF_EACH = 1500, 5
 UNDETERMINED = "und"
-#: Only so many languages, the most frequent, are learned.
-MOST_LANGS = 200
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -132,12 +130,17 @@ def smallest_hashes(rows: DataFrame, key: str, counts: dict, most: int) -> DataF
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5, fold: int = 0) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fold, spread over the languages."""
+    """Fit on about ``sample_rows`` labelled rows outside the held-out fold, spread over all languages.
+
+    Sent to the driver: the languages with their numbers of rows, and the features of the sample. A language with fewer rows than
+    its share gives all; every language gives LEAST_OF_EACH if it has them, so many languages make a larger sample. Of rows that repeat a
+    doc_id the one with the smallest language and text is learned, whatever their order.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
-    ids = smallest_hashes(usable, "lang", counts, max(5, sample_rows // max(1, len(counts))))
-    chosen = [r["doc_id"] for r in ids.select("doc_id").distinct().limit(sample_rows).collect()]
-    rows = usable.filter(F.col("doc_id").isin(chosen)).select("text", "lang").limit(2 * sample_rows) if chosen else None
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    ids = smallest_hashes(usable, "lang", counts, max(LEAST_OF_EACH, sample_rows // max(1, len(counts))))
+    chosen = sorted({r["doc_id"] for r in ids.collect()})
+    rows = usable.filter(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang") if chosen else None
 
     def run(batches):
         for pdf in batches:

@@ -1,9 +1,11 @@
 """Reversible incremental line dedup (operator 10).
 
-Lines are keyed by a 128-bit hash and dealt over shards. A shard has a cuckoo filter, which
-answers "never seen" without a look at the table, and exact tables: the references
-(key, document, lines) and the counts per key that they add up to. A document is taken back
-by taking its references out, which restores filter, counts and every later decision.
+Lines are keyed by two unrelated hashes of 62 bits and dealt over shards, whose number follows that of the keys. A shard
+has two cuckoo filters: of the keys that it holds, by which new keys are told without a look at the
+exact table, and of the keys that are repeated, by which the references that may lose lines are told. Exact
+are the references (key, document, lines) and the counts per key that they add up to; whatever a filter
+answers "maybe" is asked of them. A document is taken back by taking its references out, which restores filters,
+counts and every later decision.
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ from pyspark.sql import functions as F
 from .hashing import BYTES, BYTES2, IS_SPACE, LOWER, chunks, mix, signed
 from .scratch import materialize, small_batches
 
-MIN_CHARS, MIN_DOCS, SHARDS = 20, 3, 64
-FILTERS = "shard int, blob binary, overflow array<long>"
-#: Filters up to this size are sent to all tasks.
+MIN_CHARS, MIN_DOCS = 20, 3
+#: Keys that a shard holds at most on average, and the least number of shards. Beyond, the filters are built anew from the counts over more shards.
+SHARD_KEYS, LEAST_SHARDS = 500_000, 64
+FILTERS = "shard int, kind int, blob binary, overflow array<long>"
+HELD, REPEATED = 0, 1
+#: Filters up to this size are sent to all tasks; larger ones stream with what they are asked.
 SENT_BYTES = 32 << 20
+#: Rows that are asked of a shard in one stream, about.
+STREAM_ROWS = 4_000_000
 REFS = "h1 long, h2 long, doc_id long, n_lines long"
 
 
@@ -125,8 +132,10 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 for doc_id, (h1, h2, n) in zip(part["doc_id"], line_keys(part["text"].tolist()), strict=True):
                     long = n >= min_chars
                     if long.any():
-                        _, at, count = np.unique(h1[long], return_index=True, return_counts=True)
-                        rows.append((signed(h1[long][at]), signed(h2[long][at]), np.full(len(at), doc_id, dtype=np.int64), count))
+                        order = np.lexsort((h2[long], h1[long]))
+                        x, y = h1[long][order], h2[long][order]
+                        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                        rows.append((signed(x[at]), signed(y[at]), np.full(len(at), doc_id, dtype=np.int64), np.diff(np.append(at, len(x)))))
                 if rows:
                     yield pd.DataFrame(dict(zip(["h1", "h2", "doc_id", "n_lines"], map(np.concatenate, zip(*rows, strict=True)), strict=True)))
 
@@ -134,91 +143,166 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, REFS)
 
 
+def _distinct(refs: DataFrame) -> DataFrame:
+    """One row per key and document, whatever rows repeat its id."""
+    return refs.groupBy("h1", "h2", "doc_id").agg(F.sum("n_lines").alias("n_lines"))
+
+
 def _counts(refs: DataFrame) -> DataFrame:
-    """Documents and largest document of each key; partial sums are made before the shuffle, so a hot key is small."""
+    """Documents and largest document of each key of distinct references; partial sums are made before the shuffle, so a hot key is small."""
     return refs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
+def shards_for(keys: int) -> int:
+    """A power of two that leaves at most SHARD_KEYS to a shard."""
+    return max(LEAST_SHARDS, 1 << max(0, -(-keys // SHARD_KEYS) - 1).bit_length())
+
+
 class LineIndex:
-    """References, counts per key, and one cuckoo filter a shard, as tables; every change makes a new index."""
+    """References, counts per key, and two cuckoo filters a shard, as tables; every change makes a new index.
+
+    ``room``: held and repeated keys that the filters have room for, twice those that they were built with. An index that
+    outgrows it or its shards builds its filters anew from the counts.
+    """
 
-    def __init__(self, refs: DataFrame, counts: DataFrame, shards: int = SHARDS, min_chars: int = MIN_CHARS, filters: DataFrame | None = None):
-        self.refs, self.counts, self.shards, self.min_chars, self._filters = refs, counts, shards, min_chars, filters
+    def __init__(self, refs: DataFrame, counts: DataFrame, keys: int, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filters: DataFrame | None = None, room: tuple[int, int] | None = None):
+        self.refs, self.counts, self.keys, self.shards, self.min_chars, self.min_docs, self._filters = refs, counts, keys, shards, min_chars, min_docs, filters
+        self.n_repeated = counts.filter(self._repeats()).count()
+        self.room = room or (2 * keys, 2 * self.n_repeated)
 
     @classmethod
-    def build(cls, docs: DataFrame, shards: int = SHARDS, min_chars: int = MIN_CHARS) -> "LineIndex":
-        refs = materialize(references(docs, min_chars), "line-refs")
-        return cls(refs, materialize(_counts(refs), "line-counts"), shards, min_chars)
+    def build(cls, docs: DataFrame, shards: int | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> "LineIndex":
+        refs = materialize(_distinct(references(docs, min_chars)), "line-refs")
+        counts = materialize(_counts(refs), "line-counts")
+        keys = counts.count()
+        return cls(refs, counts, keys, shards or shards_for(keys), min_chars, min_docs)
 
     def _shard(self):
         return F.pmod(F.col("h1"), F.lit(self.shards)).cast("int").alias("shard")
 
+    def _repeats(self):
+        return F.col("n_docs") >= self.min_docs
+
     @property
     def filters(self) -> DataFrame:
-        """shard, blob of the filter's table, overflow keys; a shard's keys are a bounded share of all, its hot keys count once."""
+        """shard, kind, blob of the filter's table, overflow keys; a shard holds SHARD_KEYS keys or so, a hot key counts once."""
         if self._filters is None:
-            keyed = self.counts.select(self._shard(), "h1")
-            self._filters = materialize(keyed.groupBy("shard").applyInPandas(_build_filter, FILTERS), "line-filters")
+            kinds = F.explode(F.when(self._repeats(), F.array(F.lit(HELD), F.lit(REPEATED))).otherwise(F.array(F.lit(HELD)))).alias("kind")
+            keyed = self.counts.select(self._shard(), kinds, "h1", "h2")
+            self._filters = materialize(keyed.groupBy("shard", "kind").applyInPandas(_build_filter, FILTERS), "line-filters")
         return self._filters
 
     def add(self, docs: DataFrame) -> "LineIndex":
-        """The index with the rows of docs; keys that the filters do not hold are new without a look at the counts."""
-        fresh = materialize(references(docs, self.min_chars), "line-refs")
-        counts = self.counts.unionByName(_counts(fresh)).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-        known = self.seen(_counts(fresh)).filter(~F.col("maybe"))
-        new = CuckooUpdate(self.filters, known.select("h1"), None, self.shards).apply()
-        return LineIndex(self.refs.unionByName(fresh), materialize(counts, "line-counts"), self.shards, self.min_chars, new)
+        """The index with the rows of docs. Keys that the filters do not hold are new without a look at the counts, the
+        others are asked of them; a reference that the index has already changes nothing."""
+        fresh = _distinct(references(docs, self.min_chars)).join(self.refs.select("h1", "h2", "doc_id"), ["h1", "h2", "doc_id"], "left_anti")
+        fresh = materialize(fresh, "line-refs")
+        asked = materialize(self.seen(_counts(fresh).withColumnRenamed("n_docs", "more").withColumnRenamed("last_doc", "late")), "line-asked")
+        old = self.counts.join(asked.filter("maybe").select("h1", "h2", "more", "late"), ["h1", "h2"])
+        old = materialize(old, "line-known")
+        new = asked.join(old.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("more").alias("n_docs"), F.col("late").alias("last_doc"))
+        grown = old.select("h1", "h2", (F.col("n_docs") + F.col("more")).alias("n_docs"), F.greatest("last_doc", "late").alias("last_doc"))
+        counts = self.counts.join(old.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(grown).unionByName(new)
+        counts, keys = materialize(counts, "line-counts"), self.keys + new.count()
+        refs = self.refs.unionByName(fresh)
+        crossed = old.filter(~self._repeats() & (F.col("n_docs") + F.col("more") >= self.min_docs)).select("h1", "h2").unionByName(new.filter(self._repeats()).select("h1", "h2"))
+        if shards_for(keys) > self.shards or keys > self.room[0] or self.n_repeated + crossed.count() > self.room[1]:
+            return LineIndex(refs, counts, keys, max(self.shards, shards_for(keys)), self.min_chars, self.min_docs)
+        filters = self._changed((new.select("h1", "h2"), HELD, True), (crossed, REPEATED, True))
+        return LineIndex(refs, counts, keys, self.shards, self.min_chars, self.min_docs, filters, self.room)
 
     def remove(self, doc_ids: DataFrame) -> "LineIndex":
         """The index without the documents whose ids are given; keys that no document holds leave the filters."""
-        kept = materialize(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), "line-refs")
-        counts = materialize(_counts(kept), "line-counts")
-        gone = self.counts.join(counts, ["h1", "h2"], "left_anti").select("h1")
-        return LineIndex(kept, counts, self.shards, self.min_chars, CuckooUpdate(self.filters, None, gone, self.shards).apply())
-
-    def seen(self, keys: DataFrame) -> DataFrame:
-        """keys (h1, h2, ...) with ``maybe``: false where the shard's filter says that the key was never inserted."""
-        schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in keys.schema)}, maybe boolean"
-        names = keys.columns
+        ids = doc_ids.select("doc_id").distinct()
+        kept = materialize(self.refs.join(ids, "doc_id", "left_anti"), "line-refs")
+        touched = self.refs.join(ids, "doc_id", "left_semi").select("h1", "h2").distinct()
+        old = materialize(self.counts.join(touched, ["h1", "h2"], "left_semi"), "line-known")
+        now = materialize(_counts(kept.join(old.select("h1", "h2"), ["h1", "h2"], "left_semi")), "line-counts")
+        counts = materialize(self.counts.join(old.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(now), "line-counts")
+        gone = old.join(now.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2")
+        fell = old.filter(self._repeats()).join(now.filter(self._repeats()).select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2")
+        filters = self._changed((gone, HELD, False), (fell, REPEATED, False))
+        return LineIndex(kept, counts, self.keys - gone.count(), self.shards, self.min_chars, self.min_docs, filters, self.room)
+
+    def _changed(self, *changes: tuple[DataFrame, int, bool]) -> DataFrame:
+        """The filters with distinct keys put in that are not held, or taken out that are."""
+
+        def change(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            f = _filter(old["blob"].iloc[0], old["overflow"].iloc[0]) if len(old) else None
+            if len(keys):
+                h, put = _mixed(keys), keys["put"].to_numpy(dtype=bool)
+                f = f or CuckooFilter(2 * int(put.sum()))
+                f.delete(h[~put])
+                f.insert(h[put])
+            return _row(*key, f)
+
+        rows = [keys.select(self._shard(), F.lit(kind).alias("kind"), "h1", "h2", F.lit(put).alias("put")) for keys, kind, put in changes]
+        keyed = rows[0].unionByName(rows[1])
+        return materialize(self.filters.groupBy("shard", "kind").cogroup(keyed.groupBy("shard", "kind")).applyInPandas(change, FILTERS), "line-filters")
+
+    def _asked(self, rows: DataFrame, kind: int) -> DataFrame:
+        """rows (h1, h2, ...) with ``maybe``, what the filters of a kind answer; false: the key was never put in."""
+        filters = self.filters.filter(F.col("kind") == kind).select("shard", "blob", "overflow")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", maybe boolean"
+        size, shards, names = filters.agg(F.sum(F.octet_length("blob"))).first()[0] or 0, self.shards, rows.columns
+        if size <= SENT_BYTES:
+            sent = rows.sparkSession.sparkContext.broadcast({r["shard"]: (bytes(r["blob"]), r["overflow"]) for r in filters.collect()})
 
-        def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = left[names].copy()
-            f = _filter(right["blob"].iloc[0], right["overflow"].iloc[0]) if len(right) else None
-            out["maybe"] = f.contains(mix(left["h1"].to_numpy(dtype=np.int64).view(np.uint64))) if f and len(left) else False
-            return out
+            def probe(batches):
+                held = {k: _filter(*v) for k, v in sent.value.items()}
+                for pdf in batches:
+                    shard, keys, maybe = pdf["h1"].to_numpy(dtype=np.int64) % shards, _mixed(pdf), np.zeros(len(pdf), dtype=bool)
+                    for k in np.unique(shard):
+                        if k in held:
+                            maybe[shard == k] = held[k].contains(keys[shard == k])
+                    yield pdf.assign(maybe=maybe)
+
+            return rows.mapInPandas(probe, schema)
+        # Each stream has a shard's filter first, then some of the rows that are asked of it.
+        streams = -(-rows.count() // (STREAM_ROWS * shards)) + 1
+        salt = F.pmod(F.xxhash64(*names), F.lit(streams)).cast("int").alias("salt")
+        empty = [F.lit(0).cast(f.dataType).alias(f.name) for f in rows.schema]
+        left = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("salt"), F.lit(0).alias("role"), "blob", "overflow", *empty)
+        right = rows.select(self._shard(), salt, F.lit(1).alias("role"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("array<long>").alias("overflow"), *names)
+        both = left.unionByName(right).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role")
+
+        def stream(batches):
+            at, held = None, None
+            for pdf in batches:
+                for (shard, salt), part in pdf.groupby(["shard", "salt"], sort=True):
+                    if at != (shard, salt):
+                        at, held = (shard, salt), None
+                    if part["role"].iloc[0] == 0:
+                        held = _filter(part["blob"].iloc[0], part["overflow"].iloc[0])
+                    asked = part[part["role"] == 1][names]
+                    if len(asked):
+                        yield asked.assign(maybe=held.contains(_mixed(asked)) if held else False)
+
+        return both.mapInPandas(stream, schema)
 
-        return keys.select(self._shard(), *names).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, schema)
+    def seen(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ..., all long) with ``maybe``: false where the shard's filter says that the index does not hold the key."""
+        return self._asked(keys, HELD)
 
-    def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
+    def repeated(self) -> DataFrame:
         """Keys in at least ``min_docs`` documents, with the document that keeps its lines."""
-        return self.counts.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        return self.counts.filter(self._repeats()).select("h1", "h2", "last_doc")
 
-    def decide(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """doc_id and the hashes of the keys that it loses.
+    def decide(self) -> DataFrame:
+        """doc_id and the hashes (lost1, lost2) of the keys that it loses.
 
-        References meet the repeated keys' cuckoo filters where they lie, and only what passes is
-        shuffled to the exact table. Filters above SENT_BYTES stay home: all references are joined.
+        References meet the filters of repeated keys, and only what passes is joined with the exact counts.
         """
-        repeated = materialize(self.repeated(min_docs), "line-repeated")
-        refs, keys = self.refs, repeated.count()
-        if 4 * keys <= SENT_BYTES:
-            rows = repeated.select(self._shard(), "h1").groupBy("shard").applyInPandas(_build_filter, FILTERS).collect()
-            sent = refs.sparkSession.sparkContext.broadcast({r["shard"]: (r["blob"], r["overflow"]) for r in rows})
-            shards = self.shards
+        maybe = self._asked(self.refs, REPEATED).filter("maybe").drop("maybe")
+        lost = maybe.join(self.repeated(), ["h1", "h2"]).filter(F.col("doc_id") != F.col("last_doc"))
+        lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost"))
+        return lost.select("doc_id", F.col("lost.h1").alias("lost1"), F.col("lost.h2").alias("lost2"))
 
-            def probe(batches):
-                filters = {k: _filter(*v) for k, v in sent.value.items()}
-                for pdf in batches:
-                    h = pdf["h1"].to_numpy(dtype=np.int64)
-                    shard, mixed, keep = h % shards, mix(h.view(np.uint64)), np.zeros(len(h), dtype=bool)
-                    for k, f in filters.items():
-                        at = np.flatnonzero(shard == k)
-                        keep[at] = f.contains(mixed[at])
-                    yield pdf[keep]
 
-            refs = refs.mapInPandas(probe, REFS)
-        lost = refs.join(repeated, ["h1", "h2"]).filter(F.col("doc_id") != F.col("last_doc"))
-        return lost.groupBy("doc_id").agg(F.collect_set("h1").alias("lost"))
+def _mixed(pdf: pd.DataFrame) -> np.ndarray:
+    """The 64 bits of both hashes by which a filter knows a key."""
+    h1, h2 = (pdf[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("h1", "h2"))
+    return mix(h1 ^ mix(h2))
 
 
 def _filter(blob: bytes, overflow) -> CuckooFilter:
@@ -229,65 +313,50 @@ def _filter(blob: bytes, overflow) -> CuckooFilter:
     return f
 
 
-def _row(shard: int, f: CuckooFilter) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [shard], "blob": [f.table.tobytes()], "overflow": [[int(np.uint64(k).view(np.int64)) for k in f.overflow]]})
+def _row(shard: int, kind: int, f: CuckooFilter) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "kind": [kind], "blob": [f.table.tobytes()], "overflow": [[int(np.uint64(k).view(np.int64)) for k in f.overflow]]})
 
 
 def _build_filter(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = np.unique(mix(pdf["h1"].to_numpy(dtype=np.int64).view(np.uint64)))
+    keys = _mixed(pdf)
     f = CuckooFilter(2 * len(keys))
     f.insert(keys)
-    return _row(pdf["shard"].iloc[0], f)
+    return _row(pdf["shard"].iloc[0], pdf["kind"].iloc[0], f)
 
 
-class CuckooUpdate:
-    """Inserts into and deletes from the filters of all shards that are touched."""
-
-    def __init__(self, filters: DataFrame, insert: DataFrame | None, delete: DataFrame | None, shards: int):
-        self.filters, self.shards = filters, shards
-        rows = [d.select("h1").distinct().withColumn("put", F.lit(k)) for k, d in ((True, insert), (False, delete)) if d is not None]
-        self.keys = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-
-    def apply(self) -> DataFrame:
-        def change(shard, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            f = _filter(old["blob"].iloc[0], old["overflow"].iloc[0]) if len(old) else None
-            h = mix(keys["h1"].to_numpy(dtype=np.int64).view(np.uint64))
-            put = keys["put"].to_numpy(dtype=bool)
-            f = f or CuckooFilter(2 * int(put.sum()))
-            f.delete(np.unique(h[~put]))
-            f.insert(np.unique(h[put]))
-            return _row(shard[0], f)
-
-        keyed = self.keys.withColumn("shard", F.pmod("h1", F.lit(self.shards)).cast("int"))
-        return materialize(self.filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(change, FILTERS), "line-filters")
+def _held(keys: np.ndarray, others: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether the pairs (keys, others) are among the pairs (one, two)."""
+    pairs = set(zip(one.tolist(), two.tolist(), strict=True))
+    near = np.isin(keys, one)
+    near[near] = [p in pairs for p in zip(keys[near].tolist(), others[near].tolist(), strict=True)]
+    return near
 
 
-def clean(docs: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS, text: bool = True) -> DataFrame:
+def clean(docs: DataFrame, index: LineIndex, text: bool = True) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and, if asked, the kept text of every row of docs.
 
     Lines end at \\n alone; a null or empty text is one empty line. A line whose key has at least
-    min_chars code points and stands in at least ``min_docs`` documents goes, except from the largest
-    doc_id that has it, which keeps all of them. Rows that repeat a doc_id count as one document each
-    and keep alike; rows without doc_id are left out. Other columns are
+    min_chars code points and stands in at least the index's ``min_docs`` documents goes, except from the largest
+    doc_id that has it, which keeps all of them. Rows that repeat a doc_id are one document, and each gives
+    a row; rows without doc_id are left out. Other columns are
     ignored; an empty table gives no rows.
     """
-    lost = index.decide(min_docs).withColumnRenamed("doc_id", "_owner")
-    joined = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(lost, F.col("doc_id") == F.col("_owner"), "left").select("doc_id", "text", "lost")
-    min_chars = index.min_chars
+    rows, lost = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), index.decide()
+    joined, min_chars = rows.join(lost, "doc_id", "left"), index.min_chars
 
     def run(batches):
         for pdf in batches:
             for part in chunks(pdf, most=500_000):
                 rows = []
-                hit = [i for i, x in enumerate(part["lost"]) if x is not None]
+                hit = [i for i, x in enumerate(part["lost1"]) if x is not None]
                 keys = dict(zip(hit, line_keys([part["text"].iloc[i] for i in hit]), strict=True)) if hit else {}
-                for i, (doc_id, t, drop) in enumerate(zip(part["doc_id"], part["text"], part["lost"], strict=True)):
+                for i, (doc_id, t, drop) in enumerate(zip(part["doc_id"], part["text"], zip(part["lost1"], part["lost2"], strict=True), strict=True)):
                     t = t or ""
                     lines = t.split("\n") if i in keys else None
                     n = len(lines) if lines else t.count("\n") + 1
                     if lines:
-                        h1, _, points = keys[i]
-                        stay = ~(np.isin(signed(h1), drop) & (points >= min_chars))
+                        h1, h2, points = keys[i]
+                        stay = ~(_held(signed(h1), signed(h2), *drop) & (points >= min_chars))
                         t = "\n".join([x for x, keep in zip(lines, stay, strict=True) if keep])
                         rows.append((doc_id, n, int(n - stay.sum()), t))
                     else:

@@ -79,3 +79,43 @@ def test_cuckoo_filter():
     assert tight.overflow and tight.contains(keys[:40]).all()
     tight.delete(keys[:40])
     assert not tight.overflow and not tight.table.any()
+
+
+def test_repeated_rows_are_one_document(spark):
+    line = "this line is in two documents"
+    docs = make(spark, [(1, line), (1, line), (2, line)])
+    assert [x[2] for x in got(L.clean(docs, L.LineIndex.build(docs)))] == [0, 0, 0]
+    docs = make(spark, [(1, line), (1, "other\n" + line), (2, line), (3, line)])
+    assert [x[:3] for x in got(L.clean(docs, L.LineIndex.build(docs)))] == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 0)]
+    index = L.LineIndex.build(make(spark, [(1, line), (2, line)]))
+    assert index.add(make(spark, [(2, line)])).counts.first()["n_docs"] == 2
+
+
+def test_thue_morse_lines_differ(spark):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = make(spark, [(1, word), (2, word), (3, other)])
+    assert [x[2] for x in got(L.clean(docs, L.LineIndex.build(docs)))] == [0, 0, 0]
+
+
+def test_filters_that_stream(spark, monkeypatch):
+    monkeypatch.setattr(L, "SENT_BYTES", 0)
+    monkeypatch.setattr(L, "STREAM_ROWS", 1)
+    test_matches_brute_force(spark)
+    test_adding_and_removing_restore_every_decision(spark)
+
+
+def test_many_keys_stay_held_through_adding_and_removing(spark):
+    n, per = 150_000, 30
+    lines = lambda lo, hi: spark.range(lo // per, hi // per).selectExpr("id as doc_id", f"array_join(transform(sequence(id * {per}, id * {per} + {per - 1}), k -> concat('a line of its own, number ', k)), '\n') as text")
+    base = L.LineIndex.build(lines(0, n))
+    base.filters.count()
+    both = base.add(lines(n, 2 * n))
+    assert both.keys == 2 * n == both.counts.count() and both.shards == base.shards
+    back = both.remove(lines(n, 2 * n))
+    assert back.keys == n and back.seen(back.counts).filter("not maybe").count() == 0
+    assert both.seen(both.counts).filter("not maybe").count() == 0
+    gone = both.counts.join(back.counts, ["h1", "h2"], "left_anti")
+    assert back.seen(gone).filter("maybe").count() < n // 500
+    more = both.add(lines(2 * n, 5 * n))
+    assert more.room[0] == 10 * n and more.seen(more.counts).filter("not maybe").count() == 0
