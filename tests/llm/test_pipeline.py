@@ -44,3 +44,24 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, row int"
+    texts = [" ".join(f"{a}{i}" for i in range(30)) for a in "abcd"]
+    rows = [(i, t, None, "s", len(t), "k", i) for i, t in enumerate(texts)] + [(1, "zz " + texts[1], None, None, None, None, None), (None, texts[0], None, "s", 1, "k", 1), (9, "12 34", None, "s", 5, "k", 9), (8, None, None, "s", 0, "k", 8)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        got = sorted(docs.collect(), key=lambda r: r.doc_id)
+        assert [(r.doc_id, r.text, r.row) for r in got] == [(i, t, i) for i, t in enumerate(texts)], name
+        docs = spark.createDataFrame(got, schema)
+
+
+def test_language_is_filled_in(spark, tmp_path):
+    rows, _ = corpus()
+    docs = spark.createDataFrame([(d, t, None if d == 7 else k, s, n) for d, t, k, s, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert got == {d: k for d, t, k, *_ in rows if d < 102}
