@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN, BLOCK, ALLOWED = 12, 3, 2
-#: Words between the starts of an item's windows: every window is taken.
+#: Words between the starts of an item's windows: every window is taken, here and in the SQL.
 STRIDE = 1
-#: The oracle SQL is left as it was: it takes each fourth window and the last, and so finds a part of what the query finds.
-ORACLE_STRIDE = 4
 #: Items below this many words are too short to tell anything; from here to SPAN - 1 they must match whole.
 LEAST = 5
 #: Seeds are sent to all tasks up to this many, and joined by a shuffle beyond.
 SENT_SEEDS = 200_000
+#: Beyond, places are passed over by a bitmap of the seeds' first blocks, of so many words of 64 bits at most.
+BITMAP_WORDS = 1 << 20
 #: Places of a document that one row holds.
 PLACES = 512
 MASKS = [tuple(b * BLOCK + k for b in pair for k in range(BLOCK)) for pair in combinations(range(SPAN // BLOCK), 2)]
@@ -61,7 +61,7 @@ class Seeds:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, width and the hashes g of an item's windows."""
+    """item_id, width and the hashes g of every window of an item."""
     h = items.filter(F.col("item_id").isNotNull()).select("item_id", hashes("text").alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= LEAST)
     width = F.least("n", F.lit(SPAN))
     starts = F.sequence(F.lit(0), F.col("n") - width, F.lit(STRIDE))
@@ -89,8 +89,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     before = F.least("base", F.lit(SPAN))
     pieces = pieces.select("doc_id", (F.col("base") - before).alias("base"), before.alias("skip"), F.slice("all", F.col("base") - before + 1, F.lit(PLACES + 2 * SPAN)).alias("h"))
     probes = pieces.filter(F.size("h") - BLOCK >= F.col("skip")).select("doc_id", "base", "h", F.explode(F.sequence("skip", F.least(F.size("h") - BLOCK, F.col("skip") + PLACES - 1))).alias("p"))
-    if few:  # most places are passed over at the first block
-        probes = probes.withColumn("block", _block("h", F.col("p"))).join(F.broadcast(seeds.select("block").distinct()), "block", "left_semi")
+    probes = _near(probes.withColumn("block", _block("h", F.col("p"))), seeds.select("block").distinct(), few)
     probes = probes.select("doc_id", "base", "h", F.explode(masks.at("h", "p")).alias("s")).select("doc_id", "base", "h", "s.seed", "s.from").filter(F.col("seed").isNotNull())
     if few:
         seeds = F.broadcast(seeds)
@@ -102,6 +101,16 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id", "item_id").agg(F.min("i").cast("long").alias("first_word"), F.max("n_equal").cast("long").alias("n_equal"))
 
 
+def _near(probes: DataFrame, blocks: DataFrame, few: bool) -> DataFrame:
+    """probes whose block is among blocks, and if these are not few, some others."""
+    if few:
+        return probes.join(F.broadcast(blocks), "block", "left_semi")
+    at = lambda f: F.pmod(f, F.lit(64 * BITMAP_WORDS))
+    words = blocks.select(F.shiftright(at("block"), 6).alias("word"), (at("block") % 64).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return probes.withColumn("word", F.shiftright(at("block"), 6)).join(F.broadcast(words), "word").filter(F.getbit("bits", (at("block") % 64).cast("int")) == 1).drop("word", "bits")
+
+
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -117,8 +126,7 @@ def _equal() -> str:
 SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS dw FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS iw FROM benchmark),
-bw AS (SELECT item_id, iw, unnest(list_distinct(list_append(range(1, len(iw) - {SPAN - 2}, {ORACLE_STRIDE}), len(iw) - {SPAN - 1}))) AS j
-       FROM b WHERE len(iw) >= {SPAN}),
+bw AS (SELECT item_id, iw, unnest(range(1, len(iw) - {SPAN - 2}, {STRIDE})) AS j FROM b WHERE len(iw) >= {SPAN}),
 bs AS (SELECT item_id, iw, j, unnest({_keys('iw', 'j')}) AS seed FROM bw),
 dp AS (SELECT doc_id, dw, unnest(range(1, len(dw) - {SPAN - 2})) AS i FROM d WHERE len(dw) >= {SPAN}),
 ds AS (SELECT doc_id, i, unnest({_keys('dw', 'i')}) AS seed FROM dp),
