@@ -223,7 +223,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
             pdf["offset"] = t["offset"][at] + step % t["per"][at] * pdf["length"].to_numpy()
             yield pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    joined = rows.join(before.select("length", "part", "before"), ["length", "part"])
+    # By a shuffle, since the ranks grow with the number of partitions; a length is spread by its partitions.
+    joined = rows.join(before.select("length", "part", "before").hint("merge"), ["length", "part"])
     return joined.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
