@@ -19,7 +19,7 @@ from .hashing import WORDS, Batch, U, chunks, mix, signed
 from .scratch import materialize, small_batches
 
 WIDTH, PERCENT = 5, 80
-#: Members of a group that one task compares; larger groups are split, and split groups are tied together.
+#: Members of a group that one task compares, and sets that open it; larger groups are split, and split groups are tied together.
 GROUP_MEMBERS = 1000
 #: Shingles that are known to be widespread: at most so many are sent to the tasks.
 WIDESPREAD = 200_000
@@ -160,7 +160,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_memb
         tokens = rows.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
         return rows.join(tokens.select("token", "leader"), "token")
 
-    kin = materialize(shared(entries), "kin", free=True)
+    kin = materialize(shared(entries), "kin")
     alive = kin.groupBy("doc_id").agg(F.countDistinct("token").alias("common")).join(first.select("doc_id", "n"), "doc_id").filter(F.col("common") >= need)
     alive = materialize(alive.groupBy("doc_id").agg(F.min("n").alias("n")), "alive")
     kin = materialize(shared(kin.select("doc_id", "token").join(alive, "doc_id")), "kin")
@@ -188,28 +188,34 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_memb
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["role", "doc_id"], ignore_index=True)
             sets_ = [s for part in chunks(pdf) for s in shingle_sets(part["text"].tolist(), width)]
-            m = int((pdf["role"] == 0).sum())
-            roots = _roots(len(pdf), compare(sets_[:m], sets_[m:], percent, among))
+            m, first = int((pdf["role"] == 0).sum()), pdf["slice"].iloc[0] == 0
+            roots = _roots(len(pdf), compare(sets_[:m], sets_[m:], percent, among and first))
             ids = pdf["doc_id"].to_numpy()
             tied = roots == roots[0]
-            return pd.DataFrame({"u": ids, "v": ids[roots], "g": pdf["g"], "part": pdf["part"], "role": pdf["role"], "tied": tied})
+            return pd.DataFrame({"u": ids, "v": ids[roots], "g": pdf["g"], "part": pdf["part"], "role": pdf["role"], "first": first, "tied": tied})
 
         return run
 
-    found_schema = "u long, v long, g long, part int, role int, tied boolean"
+    found_schema = "u long, v long, g long, part int, role int, first boolean, tied boolean"
 
     def compared(rows: DataFrame, among: bool) -> DataFrame:
+        # Sets that open a part come in slices; its members stand in each, and meet one another in the first.
+        slices = rows.filter("role = 1").groupBy("g", "part").agg(F.ceil(F.count(F.lit(1)) / group_members).cast("int").alias("slices"))
+        rows = rows.join(slices, ["g", "part"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        every = F.sequence(F.lit(0), F.col("slices") - 1)
+        own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("slices").cast("long")).cast("int"))
+        rows = rows.select("doc_id", "g", "part", "role", F.explode(F.when(F.col("role") == 0, every).otherwise(own)).alias("slice"))
         ids = rows.select("doc_id").distinct()
         ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-        with_text = rows.join(docs.join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "g", "part", "role", "text")
-        return with_text.groupBy("g", "part").applyInPandas(link(among), found_schema)
+        with_text = rows.join(docs.join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "g", "part", "role", "slice", "text")
+        return with_text.groupBy("g", "part", "slice").applyInPandas(link(among), found_schema)
 
-    found = materialize(compared(inside.unionByName(opened), True), "found", free=True)
+    found = materialize(compared(inside.unionByName(opened), True), "found")
     links = found.select("u", "v")
     large = member.filter(F.col("size") > group_members).select("g", "size").distinct()
     if not large.isEmpty():
         # In split groups, members that their part does not tie to it are compared with the other parts.
-        loose = found.filter("role = 0 and not tied").join(large, "g").select(F.col("u").alias("doc_id"), "g", F.col("part").alias("home"), every_part("size").alias("part"))
+        loose = found.filter("role = 0 and first and not tied").join(large, "g").select(F.col("u").alias("doc_id"), "g", F.col("part").alias("home"), every_part("size").alias("part"))
         loose = loose.filter("part <> home").select("doc_id", "g", "part", F.lit(1).alias("role"))
         again = inside.join(loose.select("g", "part").distinct(), ["g", "part"], "left_semi").unionByName(loose)
         links = links.unionByName(compared(again, False).select("u", "v"))

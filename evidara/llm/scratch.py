@@ -7,8 +7,6 @@ again, so a lost executor costs the tasks it ran and no upstream recomputation.
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +34,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """Write df to the shared folder and return a DataFrame that reads it.
-
-    free: have the shuffle files that only df needed deleted now. Spark does so when its driver's garbage is collected,
-    which a driver with little to do seldom comes to; proxies go in the first round, what they held in the second.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and return a DataFrame that reads it."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    for _ in range(2 * free):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
