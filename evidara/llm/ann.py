@@ -28,8 +28,21 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column], dtype=np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row divided by the power of two next to its largest component, which leaves cosines as they are and lets no square overflow or vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _single(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row an id, the least vector; rows that repeat an id come to one task."""
+    again = pdf["vec_id"].duplicated(keep=False)
+    if not again.any():
+        return pdf
+    return pdf.loc[[*pdf.index[~again], *pdf[again].assign(key=pdf["v"].map(tuple)).sort_values(["vec_id", "key"]).drop_duplicates("vec_id").index]]
+
+
 def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Rows that take part: an id, no null or non-finite component, and a norm that is finite and not zero."""
+    """Rows that take part: an id, no null or non-finite component, and one that is not zero."""
     ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     some = F.exists(vec, lambda x: x != 0)
     return vectors.filter(F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & ok & some)
@@ -48,7 +61,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.x = ids[order], _scaled(x[order])
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
         self.orders = orders(self.x / self.norm[:, None], pivots)
         row, pivot = np.nonzero(self.orders < POSTED)
@@ -59,12 +72,12 @@ class Shard:
     def search(self, query_id: int, q: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (vec_id, cosine) of this shard, ties to the smaller id."""
         files = np.flatnonzero(order < OPENED)
-        touched = np.zeros(len(self.ids), dtype=bool)
+        touched = np.full(len(self.ids), not len(order))
         for p in files:
             touched[self.posted[self.starts[p] : self.starts[p + 1]]] = True
         at = np.flatnonzero(touched & (self.ids != query_id))
         most = max(RERANKED_LEAST, int(RERANKED * len(self.ids)))
-        if len(at) > most:
+        if len(at) > most and len(order):
             footrule = np.abs(self.orders[at] - order).sum(axis=1, dtype=np.int32)
             at = at[footrule <= np.partition(footrule, most)[most]]
         score = (self.x[at] * q).sum(axis=1) / (self.norm[at] * np.sqrt((q * q).sum()))
@@ -72,25 +85,28 @@ class Shard:
         return self.ids[at][best], score[best]
 
 
-def pivot_set(vectors: DataFrame, vec: str, pivots: int, sample_rows: int) -> np.ndarray:
-    """Unit vectors of rows that are far apart, drawn from the ``sample_rows`` rows with the smallest hashes."""
+def pivot_set(vectors: DataFrame, vec: str, pivots: int, sample_rows: int) -> dict[int, np.ndarray]:
+    """Distinct unit vectors for each length, drawn at random from the ``sample_rows`` rows with the smallest hashes."""
     rows = vectors.select("vec_id", vec).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    x = np.unique(_matrix([r[vec] for r in rows]), axis=0) if rows else np.zeros((0, 1))
-    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x[np.sort(np.random.default_rng(0).permutation(len(x))[:pivots])]
+    out = {}
+    for n in {len(r[vec]) for r in rows}:
+        x = _scaled(_matrix([r[vec] for r in rows if len(r[vec]) == n]))
+        x = np.unique(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), axis=0)
+        out[n] = x[np.sort(np.random.default_rng(0).permutation(len(x))[:pivots])]
+    return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows of vectors to each row of queries, both (vec_id, vec).
 
     Nearness is the cosine in double precision; a row is never its own neighbour; ties go to the smaller vec_id. Rows
-    whose vector is null, zero, or has null or non-finite components take no part; repeated ids are searched and found
-    once, by whichever row is met. With fewer candidates than k all are returned; empty tables give no rows. All
-    vectors must have the same length.
+    whose vector is null, empty, zero, or has null or non-finite components take no part; of rows that repeat an id the
+    least usable vector is searched and found. A vector is compared with those of its own length only, and a length that the sample
+    has missed is compared without pivots. Components of any size are scaled before they are squared. With fewer candidates than k all are returned; empty
+    tables give no rows. Every query visits every shard: on vectors without clusters, neighbours are spread over all of them.
     """
     schema = "query_id long, vec_id long, score double"
-    rows = usable(vectors.select("vec_id", F.col(vec).alias("v")), "v")
-    asked = usable(queries.select("vec_id", F.col(vec).alias("v")), "v").dropDuplicates(["vec_id"])
+    rows, asked = (usable(df.select("vec_id", F.col(vec).alias("v")), "v") for df in (vectors, queries))
     sent = rows.sparkSession.sparkContext.broadcast(pivot_set(rows, "v", pivots, sample_rows))
     n_shards = max(1, -(-rows.count() // SHARD_ROWS))
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -98,12 +114,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embed
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            left = left.drop_duplicates("vec_id")
-            shard = Shard(left["vec_id"].to_numpy(), _matrix(left["v"]), sent.value)
-            q = _matrix(right["v"])
-            order = orders(q / np.sqrt((q * q).sum(axis=1, keepdims=True)), sent.value)
-            for i, query_id in enumerate(right["vec_id"]):
+        left, right = _single(left), _single(right)
+        sizes, wanted = left["v"].map(len), right["v"].map(len)
+        for n in sorted(set(sizes) & set(wanted)):
+            own, ask = left[sizes == n], right[wanted == n]
+            near = sent.value.get(n, np.zeros((0, n)))
+            shard = Shard(own["vec_id"].to_numpy(), _matrix(own["v"]), near)
+            q = _scaled(_matrix(ask["v"]))
+            order = orders(q / np.sqrt((q * q).sum(axis=1, keepdims=True)), near)
+            for i, query_id in enumerate(ask["vec_id"]):
                 ids, score = shard.search(query_id, q[i], order[i], k)
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="float64").astype({"query_id": "int64", "vec_id": "int64"})

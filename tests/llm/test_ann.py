@@ -52,3 +52,16 @@ def test_odd_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in got.orderBy("rank").collect()] == [(0, 1, 6), (0, 2, 7), (0, 3, 8)]
     none = spark.createDataFrame([], SCHEMA)
     assert ann.search(none, none).count() == 0 and ann.search(docs, none).count() == 0
+
+
+def test_vectors_of_any_size_and_length(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 1.0]), (3, [1e-300, 1e-302]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [3.0]), (7, []), (2, [2.0, 1.0]), (2, [1.0, 1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(docs, docs).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+    assert got[0] == [(3, 0.99995), (1, 0.995037), (2, 0.707107)]
+    assert got[4] == [(5, 0.707107)] and got[5] == [(4, 0.707107)] and 6 not in got and 7 not in got
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+    few = ann.search(docs, docs, sample_rows=1)
+    assert few.count() == 14
