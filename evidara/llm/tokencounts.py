@@ -23,22 +23,56 @@ MOST_FILE_BYTES = 1 << 30
 RANGE_BYTES = 1 << 26
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, separator: int = SEPARATOR) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, separator: int = SEPARATOR, index: bool = False) -> None:
     """Write each partition of docs as one flat file of 16-bit ids, documents in row order.
 
     The rows are raw bytes; the line end of Spark's text writer supplies the last byte of each
-    document's separator, so the file holds ids alone. A null or empty text is a separator alone.
+    document's separator, so the file holds ids alone. A null or empty text is a separator alone. index: the same task writes
+    the documents' doc_ids, in the same order, to a second file; the files are then in ``kind=0`` and the index in ``kind=1``.
     """
-    source, low, high = tokenizer or default_tokenizer(), separator & 255, separator >> 8
+    spark, source, low, high = docs.sparkSession, tokenizer or default_tokenizer(), separator & 255, separator >> 8
 
     def run(batches):
         enc = encoding(source)
         for pdf in batches:
-            yield pd.DataFrame({"ids": [np.array(enc.encode_ordinary(t or ""), dtype="<u2").tobytes() + bytes([low]) for t in pdf["text"]]})
+            ids = [np.array(enc.encode_ordinary(t or ""), dtype="<u2").tobytes() + bytes([low]) for t in pdf["text"]]
+            if index:
+                names = [(d or "").encode() for d in pdf["doc_id"]]
+                yield pd.DataFrame({"ids": ids + names, "kind": [0] * len(ids) + [1] * len(ids)})
+            else:
+                yield pd.DataFrame({"ids": ids})
+
+    small_batches(spark)
+    columns = "ids binary, kind int" if index else "ids binary"
+    raw = docs.select("text", *([F.col("doc_id").cast("string")] if index else [])).mapInPandas(run, columns)
+    raw = raw.select(F.col("ids").cast("string").alias("value"), *(["kind"] if index else []))
+    writer = raw.write.option("encoding", "ISO-8859-1").option("lineSep", chr(high)).option("compression", "none")
+    # Both files of a task stay open, since a sort by kind might change the order of rows.
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(key, "0")
+    spark.conf.set(key, "2")
+    try:
+        (writer.partitionBy("kind") if index else writer).text(path)
+    finally:
+        spark.conf.set(key, was)
+
+
+def read_index(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame:
+    """file_no, doc_no, doc_id of the index files at path."""
+    high = bytes([separator >> 8])
 
-    small_batches(docs.sparkSession)
-    raw = docs.select("text").mapInPandas(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    raw.write.option("encoding", "ISO-8859-1").option("lineSep", chr(high)).option("compression", "none").text(path)
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                ids = bytes(content).split(high)[:-1]
+                yield pd.DataFrame({"file": name, "doc_no": np.arange(len(ids)), "doc_id": pd.array([int(x) if x else None for x in ids], dtype="Int64")})
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.mapInPandas(run, "file string, doc_no long, doc_id long").select(_file_no(), "doc_no", "doc_id")
+
+
+def _file_no():
+    return F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int").alias("file_no")
 
 
 def ranges(spark: SparkSession, files: list[tuple[str, int]]) -> tuple[str, dict[str, tuple[str, int]]]:
@@ -110,16 +144,19 @@ def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, block_token
 def count_documents(docs: DataFrame, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens, file_no, doc_no, first_token of every row of docs, by way of flat files in the shared folder.
 
-    Files carry no ids; the k-th row of partition p is the k-th document of file p, and docs must give
-    the same rows in the same order again, as a scan of stored files does. Other columns are ignored.
+    Files carry no ids; an index that the same pass writes says which document is the k-th of a file. A null or empty
+    text has 0 tokens, a null doc_id and repeated rows are counted like any other, an empty table gives no rows;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    write_token_files(docs, path, tokenizer)
-    seen = scan(spark, path, block_tokens=block_tokens).withColumn("file_no", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int"))
-    place = F.monotonically_increasing_id()  # partition in the upper 31 bits, row in the lower 33
-    ids = docs.select("doc_id", place.alias("place")).select("doc_id", F.shiftright("place", 33).cast("int").alias("file_no"), F.col("place").bitwiseAND((1 << 33) - 1).alias("doc_no"))
-    return ids.join(seen, ["file_no", "doc_no"], "left").select("doc_id", "n_tokens", "file_no", "doc_no", "first_token")
+    write_token_files(docs, path, tokenizer, index=True)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=0")
+    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], "doc_id long, n_tokens long, file_no int, doc_no long, first_token long")
+    seen = scan(spark, f"{path}/kind=0", block_tokens=block_tokens).withColumn("file_no", _file_no())
+    joined = read_index(spark, f"{path}/kind=1").join(seen, ["file_no", "doc_no"], "left")
+    return joined.select("doc_id", "n_tokens", "file_no", "doc_no", "first_token")
 
 
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,19 @@ def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
     folder, origin = T.ranges(spark, [(f"file:{tmp_path}/part 0.bin", os.path.getsize(tmp_path / "part 0.bin"))])
     sizes = [os.path.getsize(f"{folder.removeprefix('file://')}/{name.split('/')[1]}") for name in origin]
     assert len(sizes) > 10 and max(sizes) == 36 and sum(sizes) == os.path.getsize(tmp_path / "part 0.bin")
+
+
+def test_index_of_odd_rows(spark, monkeypatch):
+    rows = [(None, "a b"), (5, "a"), (5, "a"), (5, ""), ((1 << 62) + 1, "b"), (-3, None)]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, kind int").repartition(3)
+    got = T.count_documents(docs)
+    assert sorted(((r.doc_id or 0), r.n_tokens) for r in got.collect()) == sorted(((d or 0), {"a b": 2, "a": 1, "b": 1}.get(t, 0)) for d, t in rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_index_keeps_the_order_of_many_rows(spark):
+    docs = spark.range(40_000).selectExpr("id * 7 % 40009 as doc_id", "repeat('a ', cast(id % 13 as int)) as text").coalesce(2)
+    want = {r.doc_id: len(r.text) // 2 for r in docs.collect()}
+    got = {r.doc_id: r.n_tokens for r in T.count_documents(docs).collect()}
+    assert len(got) == 40_000 and {k: v > 0 for k, v in got.items()} == {k: v > 0 for k, v in want.items()}
+    assert len({(want[d], n) for d, n in got.items()}) == 13
