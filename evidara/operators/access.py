@@ -41,6 +41,18 @@ def unapproved_sources(sources: DataFrame) -> DataFrame:
     return sources.filter(F.col("approval_state") != "approved").select("source_id", "approval_state")
 
 
+def serving_licence(sources: DataFrame, pilot: bool) -> list[str]:
+    """the sources that serving is lent: none, where all are approved; else all that are not, if this is a pilot, or a refusal.
+
+    A source is lent, not approved: its objects are served only while both are quarantined. The list is as long as the registry
+    has unapproved sources, a few thousand at most.
+    """
+    held = [r["source_id"] for r in unapproved_sources(sources).orderBy("source_id").select("source_id").collect()]
+    if held and not pilot:
+        raise PermissionError(f"{len(held)} sources are not approved, {held[0]} among them")
+    return held
+
+
 def violations(rows: DataFrame, entity: str, key: str, rules: dict[str, Column]) -> DataFrame:
     """entity, id, rule for every rule, given as the predicate of a violation, that a row breaks."""
     broken = F.array_compact(F.array(*(F.when(p, F.lit(name)) for name, p in rules.items())))
@@ -127,6 +139,12 @@ def plan_rules() -> dict[str, Column]:
     }
 
 
+def pack_rules() -> dict[str, Column]:
+    """The rest of V10, for packs with status, items and whether the gate let them pass."""
+    enough = F.col("status") == "sufficient"
+    return {"sufficient_without_evidence": enough & (F.col("items") < 1), "sufficient_against_the_gate": enough & ~F.col("answerable")}
+
+
 def rights_problems(sources: DataFrame, today: str) -> DataFrame:
     """What keeps a source from registration, as a list in this order; sources without problems do not appear."""
     checks = [

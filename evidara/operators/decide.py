@@ -41,8 +41,11 @@ def gate(plans: DataFrame, primary: DataFrame, other: DataFrame, windows: DataFr
     """For every plan whether it may be answered, and the reasons if not.
 
     A top score equal to the floor passes, one equal to the ceiling needs no agreement. Agreement counts objects that both
-    runs have among their first ``depth`` with the same passage; one of a teaching type is enough.
+    runs have among their first ``depth`` with the same passage; one of a teaching type is enough. V16: a gate that no score could
+    pass as meant is refused.
     """
+    if least < 1 or depth < 1 or ceiling <= floor:
+        raise ValueError("a gate needs agreement and depth of 1 at least, and a ceiling above its floor")
     blocks = windows.select("representation_id", "block_ids")
     side = lambda run, n: top_objects(run, depth).join(blocks, "representation_id").select("plan_id", "object_id", F.col("representation_id").alias(f"r{n}"), F.col("block_ids").alias(f"b{n}"))
     both = side(primary, 1).join(side(other, 2), ["plan_id", "object_id"]).filter(same_passage(F.col("r1"), F.col("r2"), F.col("b1"), F.col("b2")))
@@ -84,9 +87,9 @@ def pack_blocks(packed: DataFrame, sibs: DataFrame, windows: DataFrame) -> DataF
 
 
 def slot_fill(packed: DataFrame, plans: DataFrame) -> DataFrame:
-    """Item i goes to slot i, what is left over to the last slot."""
+    """Item i goes to slot i, what is left over to the last slot; in a plan without slots it has none."""
     rows = packed.join(plans.select("plan_id", "slots"), "plan_id")
-    slot = F.element_at("slots", F.least(F.col("rank"), F.size("slots")).cast("int"))
+    slot = F.when(F.size("slots") > 0, F.element_at("slots", F.greatest(F.least(F.col("rank"), F.size("slots")), F.lit(1)).cast("int")))
     return rows.select("plan_id", "rank", "object_id", slot["slot_id"].alias("slot_id"), slot["role"].alias("role"))
 
 
@@ -97,6 +100,13 @@ def unfilled(plans: DataFrame, decisions: DataFrame, filled: DataFrame) -> DataF
     return s.join(filled.select("plan_id", "slot_id").distinct(), ["plan_id", "slot_id"], "left_anti")
 
 
+def gaps(plans: DataFrame, decisions: DataFrame, packed: DataFrame, filled: DataFrame, windows: DataFrame) -> DataFrame:
+    """plan_id, reason of all that an answered plan lacks: items whose window the corpus does not have, and required slots."""
+    lost = packed.join(windows.select("representation_id"), "representation_id", "left_anti")
+    lost = lost.select("plan_id", F.concat(F.lit("not in the corpus: "), "object_id").alias("reason"))
+    return lost.unionByName(unfilled(plans, decisions, filled).select("plan_id", F.concat(F.lit("no evidence for "), "role").alias("reason")))
+
+
 def pack_status(plans: DataFrame, decisions: DataFrame, packed: DataFrame, gaps: DataFrame) -> DataFrame:
     """Abstain, or sufficient if there is evidence and no gap, else insufficient."""
     n = packed.groupBy("plan_id").agg(F.count(F.lit(1)).alias("items"))
@@ -122,6 +132,11 @@ def pack_texts(packs: DataFrame, blocks: DataFrame) -> DataFrame:
     return ids.groupBy("plan_id", "rank", "object_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
+def offsets(texts: DataFrame) -> DataFrame:
+    """The stretch of an item's text that its citation covers, which is all of it."""
+    return texts.select("plan_id", "rank", "object_id", F.lit(0).cast("long").alias("char_start"), F.length("text").cast("long").alias("char_end"))
+
+
 def candidate_trace(items: DataFrame, decisions: DataFrame, k: int = PACK) -> DataFrame:
     """Every candidate with its rank, whether it was admitted, and why not."""
     rows = items.join(decisions.select("plan_id", "answerable", "reasons"), "plan_id")

@@ -69,23 +69,26 @@ def score_report(results: DataFrame) -> DataFrame:
 def slice_scores(results: DataFrame) -> DataFrame:
     """A4: the same per value of each axis and of each pair of axes; cases are spread once, so one shuffle does."""
     text = lambda a: F.col(a).cast("string")
-    keys = [F.concat(F.lit(f"{a}="), text(a)) for a in AXES]
-    keys += [F.concat(F.lit(f"{a}×{b}="), text(a), F.lit("×"), text(b)) for a, b in combinations(sorted(AXES), 2)]
-    return results.select("*", F.explode(F.array(*keys)).alias("slice")).groupBy("slice").agg(*_rates())
+    own = lambda a: F.concat(F.lit(f"{a}="), text(a))
+    key = lambda name, *axes: F.struct(name.alias("slice"), F.array(*map(own, axes)).alias("axes"))
+    keys = [key(own(a), a) for a in AXES]
+    keys += [key(F.concat(F.lit(f"{a}×{b}="), text(a), F.lit("×"), text(b)), a, b) for a, b in combinations(sorted(AXES), 2)]
+    return results.select("*", F.explode(F.array(*keys)).alias("key")).select("*", "key.*").groupBy("slice", "axes").agg(*_rates())
 
 
 def failing_slices(slices: DataFrame, least: int = GATING) -> DataFrame:
     """A5: slices with enough cases that are below a floor or have violations, with the first failure that holds."""
     why = F.when(F.col("recall_candidates") < CANDIDATE_FLOOR, "candidates").when(F.col("recall_pack") < PACK_FLOOR, "pack").when(F.col("violations") > 0, "violations")
-    return slices.filter(F.col("n") >= least).select("slice", why.alias("failure")).filter("failure is not null")
+    return slices.filter(F.col("n") >= least).select("slice", "axes", why.alias("failure")).filter("failure is not null")
 
 
 def distinctive_failures(failing: DataFrame) -> DataFrame:
-    """Failing axes, and failing pairs of which neither axis fails alone."""
-    single = failing.filter(~F.col("slice").contains("×"))
-    pair = failing.filter(F.col("slice").contains("×"))
-    names, values = F.split(F.split("slice", "=")[0], "×"), F.split(F.regexp_extract("slice", "^[^=]*=(.*)$", 1), "×")
-    pair = pair.withColumn("one", F.concat(names[0], F.lit("="), values[0])).withColumn("two", F.concat(names[1], F.lit("="), values[1]))
+    """Failing axes, and failing pairs of which neither axis fails alone. Slices without ``axes`` are read from their names."""
+    if "axes" not in failing.columns:
+        names, values = F.split(F.split("slice", "=")[0], "×"), F.split(F.regexp_extract("slice", "^[^=]*=(.*)$", 1), "×")
+        failing = failing.withColumn("axes", F.zip_with(names, values, lambda n, v: F.concat(n, F.lit("="), v)))
+    single = failing.filter(F.size("axes") == 1)
+    pair = failing.filter(F.size("axes") == 2).withColumn("one", F.get("axes", F.lit(0))).withColumn("two", F.get("axes", F.lit(1)))
     axes = single.select(F.col("slice").alias("axis"))
     alone = pair.join(axes, F.col("one") == F.col("axis"), "left_anti").join(axes, F.col("two") == F.col("axis"), "left_anti")
     return single.select("slice", "failure").unionByName(alone.select("slice", "failure"))
@@ -146,21 +149,26 @@ def citation_report(rows: DataFrame) -> DataFrame:
     return made.withColumn("gates_hold", (F.col("resolution") >= 1.0) & F.coalesce(F.col("completeness") >= 0.95, F.lit(True)))
 
 
-def lower_bound(successes: Column, trials: Column, confidence: float = 0.95, steps: int = 60) -> Column:
-    """One-sided exact (Clopper-Pearson) lower bound of a rate, by bisection on the binomial tail."""
+def lower_bound(successes: Column, trials: Column, confidence: float = 0.95, steps: int = 50) -> Column:
+    """One-sided exact (Clopper-Pearson) lower bound of a rate, by bisection on the binomial tail.
+
+    A step of the bisection goes once over the tail, each logarithm made from the one before it.
+    """
     alpha = 1 - confidence
     s, n = successes.cast("long"), trials.cast("long")
-    choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i))
-    term = lambda p: lambda acc, k: acc + F.exp(choose(k) + k * F.log(p) + (n - k) * F.log(1 - p))
+    choose = F.aggregate(F.sequence(F.lit(1).cast("long"), s), F.lit(0.0), lambda acc, i: acc + F.log((n - s + i) / i))
     zero = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = (acc["lo"] + acc["hi"]) / 2
-        high = F.aggregate(F.sequence(s, n), F.lit(0.0), term(mid)) > alpha
+        first = F.struct((choose + s * F.log(mid) + (n - s) * F.log(1 - mid)).alias("term"), F.lit(0.0).alias("sum"))
+        odds = F.log(mid) - F.log(1 - mid)
+        tail = lambda t, k: F.struct((t["term"] + F.log((n - k) / (k + 1)) + odds).alias("term"), (t["sum"] + F.exp(t["term"])).alias("sum"))
+        high = F.aggregate(F.sequence(s, n), first, tail)["sum"] > alpha
         return F.struct(F.when(high, acc["lo"]).otherwise(mid).alias("lo"), F.when(high, mid).otherwise(acc["hi"]).alias("hi"))
 
-    inner = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, halve)["lo"]
-    return F.when((n <= 0) | (s <= 0), 0.0).when(s >= n, F.pow(F.lit(alpha), 1 / F.when(n > 0, n))).otherwise(inner)
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, halve)["lo"]
+    return F.when((n <= 0) | (s <= 0), 0.0).when(s >= n, F.pow(F.lit(alpha), 1 / F.when(n > 0, n))).otherwise(halved)
 
 
 def holdout_report(rows: DataFrame) -> DataFrame:

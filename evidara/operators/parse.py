@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +14,6 @@ from ..functions import columns as C
 from ..sources import vocabulary as V
 
 TEXT_RATIO = 0.5
-# Entities of markup that texts hold.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: Node types of the tree parser and the block types they become; others are unknown.
 TREE_TYPES = {"heading": "heading", "paragraph": "paragraph", "text block": "text_block", "list": "list", "list item": "list_item", "table": "table", "image": "image", "caption": "caption", "header": "page_header", "footer": "page_footer", "formula": "formula"}
 CONTAINERS = {"table row", "table cell", "row", "cell"}
@@ -21,21 +21,29 @@ DEFAULT_PAGE = (612.0, 792.0)
 CHILD_LISTS = ("kids", "list items", "rows", "cells")
 
 
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def _all_unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: [None if x is None else html.unescape(x) for x in xs], na_action="ignore")
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Every character reference of HTML, named or numbered; texts without an ampersand do not leave the JVM."""
+    return F.coalesce(F.pandas_udf(_unescaped, "string")(F.when(text.contains("&"), text)), text)
 
 
-def page_text(html: Column) -> Column:
+def page_text(page: Column) -> Column:
     """Tags become spaces, entities characters, white space single spaces."""
-    return C.collapse(unescape(F.regexp_replace(html, "<[^>]+>", " ")))
+    return C.collapse(unescape(F.regexp_replace(page, "<[^>]+>", " ")))
 
 
-def tag_bodies(html: Column, tag: str) -> Column:
-    """The unescaped bodies of all elements of a kind, in order, whatever lines they span."""
-    bodies = F.regexp_extract_all(html, F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    return F.transform(bodies, unescape)
+def tag_bodies(page: Column, tag: str, attribute: str = "") -> Column:
+    """The unescaped bodies of all elements of a kind, in order, whatever lines they span; only those with the attribute, if one is named."""
+    wanted = f"\\s(?:[^>]*\\s)?{re.escape(attribute)}(?:\\s[^>]*)?" if attribute else "(?:\\s[^>]*)?"
+    bodies = F.regexp_extract_all(page, F.lit(f"(?s)<{tag}{wanted}>(.*?)</{tag}>"), F.lit(1))
+    return F.coalesce(F.pandas_udf(_all_unescaped, "array<string>")(F.when(F.exists(bodies, lambda x: x.contains("&")), bodies)), bodies)
 
 
 def walk(documents: DataFrame) -> DataFrame:
@@ -44,24 +52,13 @@ def walk(documents: DataFrame) -> DataFrame:
     The tree's depth is not bounded, so rows of documents go to Python in Arrow batches; one document is in one row.
     """
 
-    def nodes(node, found):
-        if isinstance(node, list):
-            for x in node:
-                nodes(x, found)
-        elif isinstance(node, dict):
-            if node.get("type"):
-                found.append(node)
-            for key in CHILD_LISTS:
-                nodes(node.get(key), found)
-        return found
-
     def run(batches):
         for pdf in batches:
             rows = []
             for document_id, raw in zip(pdf["document_id"], pdf["json"], strict=True):
-                for k, n in enumerate(nodes(json.loads(raw), []) if raw else []):
+                for k, (n, text) in enumerate(typed_nodes(json.loads(raw)) if raw else []):
                     box = n.get("bounding box") or [None] * 4
-                    rows.append((document_id, k, n["type"], n.get("id"), n.get("page number"), *map(lambda v: None if v is None else float(v), box), text_under(n), n.get("linked content id"), n.get("source"), table_markdown(n) if n["type"] == "table" else None))
+                    rows.append((document_id, k, n["type"], n.get("id"), n.get("page number"), *map(lambda v: None if v is None else float(v), box), text, n.get("linked content id"), n.get("source"), table_markdown(n) if n["type"] == "table" else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 
     return documents.select("document_id", "json").mapInPandas(run, NODES)
@@ -70,14 +67,32 @@ def walk(documents: DataFrame) -> DataFrame:
 NODES = "document_id string, position long, type string, node_id long, page int, l double, b double, r double, t double, text string, linked_id long, source string, markdown string"
 
 
+def typed_nodes(tree) -> list[tuple[dict, str]]:
+    """The typed nodes of a tree, depth first, parents before children, each with the text of it and of all below it.
+
+    All contents are gathered once in that order; a node's text is the stretch between its first and last. No recursion, so
+    any depth will do.
+    """
+    found, parts, stack = [], [], [(tree, None)]
+    while stack:
+        node, opened = stack.pop()
+        if opened is not None:  # all below the node is done
+            opened[2] = len(parts)
+        elif isinstance(node, list):
+            stack += [(x, None) for x in reversed(node)]
+        elif isinstance(node, dict):
+            if node.get("type"):
+                found.append([node, len(parts), None])
+                stack.append((None, found[-1]))
+            if isinstance(node.get("content"), str) and node["content"]:
+                parts.append(node["content"])
+            stack += [(node[key], None) for key in reversed(CHILD_LISTS) if key in node]
+    return [(node, " ".join(parts[low:high])) for node, low, high in found]
+
+
 def text_under(node) -> str:
     """The text of a node and of all below it, joined by spaces."""
-    if isinstance(node, list):
-        return " ".join(t for t in map(text_under, node) if t)
-    if not isinstance(node, dict):
-        return ""
-    parts = [node["content"]] if isinstance(node.get("content"), str) and node["content"] else []
-    return " ".join([*parts, *(t for t in (text_under(node.get(k)) for k in CHILD_LISTS) if t)])
+    return typed_nodes({"type": "any", "kids": node})[0][1]
 
 
 def table_markdown(node) -> str:

@@ -1,6 +1,6 @@
 """Scoring and ranking. Every retriever takes plans and what they may see, and returns candidate rows.
 
-Scores are rounded to PLACES before they rank, so that the order does not hang on the order of sums.
+Scores are rounded to PLACES before they rank, which is far below any threshold's step, so that equal texts tie whatever the order of sums.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-K1, B, PLACES, K = 1.2, 0.75, 6, 20
+K1, B, PLACES, K = 1.2, 0.75, 9, 20
 #: Hybrid: constant of reciprocal rank fusion. Windows an object may fill, and how near to its best they must be.
 FUSION, BUDGET_WINDOWS, BUDGET_GAP = 60, 3, 0.02
 

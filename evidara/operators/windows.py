@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,68 +19,103 @@ def searchable(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("body", C.text_of(F.col("text"), F.col("latex"))).filter(~F.col("block_type").isin(V.NON_CONTENT) & (F.col("body") != ""))
 
 
-def anchors(blocks: DataFrame, depth: int = 2) -> DataFrame:
-    """block_id, anchor: the end of a block's chain of links inside its object; a cycle ends before it closes."""
-    link = blocks.filter(F.col("linked_id").isNotNull()).select(F.col("object_id").alias("o"), F.col("block_id").alias("from"), F.col("linked_id").alias("to"))
-    there = blocks.select(F.col("object_id").alias("o2"), F.col("block_id").alias("there"))
-    link = link.join(there, (F.col("o") == F.col("o2")) & (F.col("to") == F.col("there")), "left_semi").filter(F.col("from") != F.col("to"))
-    out = link.select("o", F.col("from").alias("block_id"), F.col("to").alias("anchor"), F.array("from", "to").alias("seen"))
-    for _ in range(depth - 1):
-        step = link.select(F.col("o").alias("o2"), F.col("from").alias("at"), F.col("to").alias("next"))
-        out = out.join(step, (F.col("o") == F.col("o2")) & (F.col("anchor") == F.col("at")), "left")
-        moves = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        out = out.select("o", "block_id", F.when(moves, F.col("next")).otherwise(F.col("anchor")).alias("anchor"), F.when(moves, F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen"))
-    return out.select(F.col("o").alias("object_id"), "block_id", "anchor")
+CHAINS = "object_id string, ord long, anchor long, leader long"
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """CHAINS of links (object_id, ord, target) between blocks of an object, of any length.
+
+    The anchor is the end of a block's chain, or, as a chain may run into a cycle, the last block before one comes again. The
+    leader is the block whose group it joins: a block joins its anchor if that stands before it, and its anchor may join another.
+    Links come sorted by object to a stream that holds one object's links, and takes time in proportion to them.
+    """
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["object_id", "ord"])
+        links = {(o, x): (o, t) for o, x, t in zip(pdf["object_id"], pdf["ord"], pdf["target"], strict=True)}
+        anchor: dict = {}
+        for start in links:
+            path, on = [], {}
+            at = start
+            while at in links and at not in anchor and at not in on:
+                on[at] = len(path)
+                path.append(at)
+                at = links[at]
+            if at in on:  # a cycle: each of its blocks ends at the one before it, what leads to it at the one before its entry
+                cycle = path[on[at] :]
+                anchor |= {x: cycle[k - 1] for k, x in enumerate(cycle)}
+                path = path[: on[at]]
+            anchor |= dict.fromkeys(path, anchor.get(at, at))
+        seat = lambda x: (min(x[1], anchor.get(x, x)[1]), x[1])
+        leader = {}
+        for x in sorted(links, key=lambda x: (x[0], *seat(x))):
+            a = anchor[x]
+            leader[x] = leader.get(a, a) if seat(a) < seat(x) else x
+        return pd.DataFrame([(*x, anchor[x][1], leader[x][1]) for x in links], columns=[c.split()[0] for c in CHAINS.split(", ")])
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            if len(pdf):
+                last = pdf["object_id"] == pdf["object_id"].iloc[-1]
+                held = pdf[last]
+                if not last.all():
+                    yield resolve(pdf[~last])
+        if held is not None and len(held):
+            yield resolve(held)
+
+    return links.select("object_id", "ord", "target").repartition("object_id").sortWithinPartitions("object_id", "ord", "target").mapInPandas(run, CHAINS)
 
 
 def block_groups(blocks: DataFrame) -> DataFrame:
-    """object_id, block_id, place, grp: blocks in reading order and the group that no window boundary may cut.
+    """object_id, block_id, place, grp: the groups that no window boundary may cut, and blocks in the order of groups.
 
-    A block stands where the earlier of it and its anchor does. It joins the group before it if its anchor came before, or
-    if it is a formula or code; else it begins a group.
+    A block stands where the earlier of it and its anchor does. It joins the group of its anchor if that came before; a
+    formula or code joins the group begun last; all others begin one.
     """
     own = searchable(blocks)
-    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("object_id").orderBy("pos", "block_id")))
-    linked = own.join(anchors(own), ["object_id", "block_id"], "left")
-    at = own.select("object_id", F.col("block_id").alias("anchor"), F.col("ord").alias("anchor_ord"))
-    linked = linked.join(at, ["object_id", "anchor"], "left").withColumn("home", F.least("ord", "anchor_ord"))
+    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("object_id").orderBy("pos", "block_id")).cast("long"))
+    there = own.select("object_id", F.col("block_id").alias("linked_id"), F.col("ord").alias("target"))
+    links = own.filter(F.col("linked_id").isNotNull()).select("object_id", "ord", "linked_id").join(there, ["object_id", "linked_id"]).filter("ord <> target")
+    rows = own.join(chains(links), ["object_id", "ord"], "left").withColumn("home", F.least("ord", "anchor"))
     w = Window.partitionBy("object_id").orderBy("home", "ord")
-    placed = linked.withColumn("place", F.row_number().over(w).cast("long"))
-    seat = placed.select("object_id", F.col("block_id").alias("anchor"), F.col("place").alias("anchor_place"))
-    placed = placed.join(seat, ["object_id", "anchor"], "left")
-    joins = F.coalesce(F.col("anchor_place") < F.col("place"), F.lit(False)) | (F.col("block_type").isin(V.FORMULA_LIKE) & (F.col("place") > 1))
-    grp = F.sum(F.when(joins, 0).otherwise(1)).over(Window.partitionBy("object_id").orderBy("place"))
-    return placed.select("object_id", "block_id", "pos", "place", grp.cast("long").alias("grp"), "block_type", "body", F.length("body").cast("long").alias("size"))
+    rows = rows.withColumn("seat", F.row_number().over(w))
+    joins = F.coalesce(F.col("leader") != F.col("ord"), F.lit(False))
+    begins = ~joins & ~(F.col("block_type").isin(V.FORMULA_LIKE) & (F.col("seat") > 1))
+    rows = rows.withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(w).cast("long"))
+    led = rows.select("object_id", F.col("ord").alias("leader"), F.col("run").alias("led"))
+    rows = rows.withColumn("leader", F.when(joins, F.col("leader"))).join(led, ["object_id", "leader"], "left").withColumn("grp", F.coalesce("led", "run"))
+    place = F.row_number().over(Window.partitionBy("object_id").orderBy("grp", "seat")).cast("long")
+    return rows.select("object_id", "block_id", "pos", place.alias("place"), "grp", "block_type", "body", F.length("body").cast("long").alias("size"))
 
 
 def greedy_windows(groups: DataFrame) -> DataFrame:
     """The rows of ``block_groups`` with the number of their window, from 1.
 
     A window closes before a group that would take it over MOST, and after the group that takes it to TARGET; a last
-    window below LEAST characters goes to the one before. The fold runs inside one row per object.
+    window below LEAST characters goes to the one before. The fold runs inside one row per object and keeps the windows' first groups.
     """
     size = groups.groupBy("object_id", "grp").agg(F.sum(F.col("size") + 1).alias("n"), F.sum("size").alias("bare"))
     per = size.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("grp", "n", "bare"))).alias("gs"))
-    zero = F.struct(F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("bare"), F.expr("cast(array() as array<struct<grp:bigint,w:bigint>>)").alias("out"), F.lit(0).cast("long").alias("last"))
+    none = F.expr("cast(array() as array<bigint>)")
+    zero = F.struct(F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("bare"), none.alias("first"))
 
     def fold(acc: Column, g: Column) -> Column:
-        breaks = (acc["len"] > 0) & (acc["len"] + g["n"] > MOST)
-        w = F.when(breaks, acc["w"] + 1).otherwise(acc["w"])
-        before = F.when(breaks, F.lit(0)).otherwise(acc["len"])
-        bare = F.when(breaks, F.lit(0)).otherwise(acc["bare"]) + g["bare"]
-        n = before + g["n"]
-        full = n >= TARGET
+        # A full window stays at its length until the next group begins another.
+        begins = (acc["len"] == 0) | (acc["len"] >= TARGET) | (acc["len"] + g["n"] > MOST)
         return F.struct(
-            F.when(full, w + 1).otherwise(w).alias("w"), F.when(full, F.lit(0)).otherwise(n).cast("long").alias("len"), F.when(full, F.lit(0)).otherwise(bare).cast("long").alias("bare"),
-            F.concat(acc["out"], F.array(F.struct(g["grp"].alias("grp"), w.alias("w")))).alias("out"), bare.cast("long").alias("last"),
+            F.when(begins, g["n"]).otherwise(acc["len"] + g["n"]).alias("len"), F.when(begins, g["bare"]).otherwise(acc["bare"] + g["bare"]).alias("bare"),
+            F.when(begins, F.concat(acc["first"], F.array(g["grp"]))).otherwise(acc["first"]).alias("first"),
         )
 
-    folded = per.select("object_id", F.aggregate("gs", zero, fold).alias("f"))
-    # ``last`` is the size of the window that the last group went to.
-    top = F.element_at("f.out", -1)["w"]
-    out = folded.select("object_id", top.alias("top"), F.col("f.last").alias("last"), F.explode("f.out").alias("x"))
-    merged = F.when((F.col("x.w") == F.col("top")) & (F.col("top") > 1) & (F.col("last") < LEAST), F.col("top") - 1).otherwise(F.col("x.w"))
-    return groups.join(out.select("object_id", F.col("x.grp").alias("grp"), merged.alias("number")), ["object_id", "grp"])
+    folded = per.select("object_id", F.aggregate("gs", zero, fold).alias("f")).select("object_id", F.size("f.first").cast("long").alias("top"), F.col("f.bare").alias("last"), F.col("f.first").alias("first"))
+    begun = folded.select("object_id", F.explode("first").alias("grp"), F.lit(1).cast("long").alias("begun"))
+    rows = size.select("object_id", "grp").join(begun, ["object_id", "grp"], "left").join(folded.select("object_id", "top", "last"), "object_id")
+    number = F.count("begun").over(Window.partitionBy("object_id").orderBy("grp"))
+    merged = F.when((F.col("number") == F.col("top")) & (F.col("top") > 1) & (F.col("last") < LEAST), F.col("top") - 1).otherwise(F.col("number"))
+    numbered = rows.withColumn("number", number).select("object_id", "grp", merged.alias("number"))
+    return groups.join(numbered, ["object_id", "grp"])
 
 
 def modality(types: Column) -> Column:

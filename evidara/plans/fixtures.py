@@ -9,6 +9,8 @@ import pandas as pd
 #: The characters ()+= as a symbol font has them.
 IN_FONT = "\uf028\uf029\uf02b\uf03d"
 SYMBOLS = [(1, "a \uf02b b \uf03d c"), (2, "x \uf0b3 2, y \uf0b9 z \uf0b1 \uf061"), (3, "\uf0ff and \ue001 stay \uf0ff"), (4, "plain"), (5, ""), (6, None)]
+#: Character references that the pages lack, named and numbered.
+REFERENCES = "caf&eacute; &#8217;s &ndash; &#x3B1;&beta; &rarr; &hellip; &nosuch; & so on"
 _NODE = {"type": "paragraph", "page number": 1, "bounding box": [72.0, 600.0, 540.0, 640.0]}
 TREES = [
     ("t1", json.dumps({"number of pages": 2, "kids": [
@@ -22,7 +24,7 @@ TREES = [
             {"type": "table row", "cells": [{"type": "table cell", "kids": [{**_NODE, "id": 10, "content": "a|b"}]}, {"type": "table cell", "kids": [{**_NODE, "id": 11, "content": "c"}]}]},
             {"type": "table row", "cells": [{"type": "table cell", "kids": [{**_NODE, "id": 12, "content": "d"}]}]}]},
     ]})),
-    ("t2", json.dumps({"kids": [{"type": "sidebar", "page number": 3, "bounding box": [-20.0, -5.0, 900.0, 900.0], "content": "odd"}, {"type": "paragraph", "content": "no page"}, {"kids": [{**_NODE, "type": "footer", "content": "7"}]}]})),
+    ("t2", json.dumps({"kids": [{"type": "marginalia", "page number": 3, "bounding box": [-20.0, -5.0, 900.0, 900.0], "content": "odd"}, {"type": "paragraph", "content": "no page"}, {"kids": [{**_NODE, "type": "footer", "content": "7"}]}]})),
     ("t3", json.dumps({"kids": []})),
     ("t4", None),
 ]

@@ -81,7 +81,7 @@ PARTS: dict[str, str] = {
         WHEN pos % 9 = 8 THEN 'table' ELSE 'paragraph' END AS block_type FROM lines""",
     "blocks": """SELECT doc_id, 'o' || doc_id AS object_id, doc_id || ':' || pos AS block_id, source AS source_id, pos, pos // 8 + 1 AS page, block_type,
         CASE WHEN block_type = 'formula' AND pos % 2 = 0 THEN '' ELSE line END AS text, CASE WHEN block_type = 'formula' AND pos % 2 = 0 THEN line END AS latex,
-        CASE WHEN block_type = 'caption' THEN doc_id || ':' || (CASE WHEN pos % 2 = 0 THEN pos - 1 ELSE pos + 1 END) END AS linked_id,
+        CASE WHEN block_type = 'caption' THEN doc_id || ':' || (CASE WHEN pos % 10 < 5 THEN pos - 1 ELSE pos + 1 END) END AS linked_id,
         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS char_start, length(line) AS n_chars FROM typed""",
     "quality": "SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id",
     "objects": f"""SELECT d.doc_id, 'o' || d.doc_id AS object_id, source AS source_id, {pick(['definition', 'explanation', 'example', 'exercise', 'solution', 'concept'], 'd.doc_id')} AS object_type,
@@ -104,11 +104,20 @@ PARTS: dict[str, str] = {
         AND ((o.approval_state = 'approved' AND s.approval_state = 'approved') OR (o.approval_state = 'quarantined' AND s.approval_state = 'quarantined' AND o.source_id IN ({', '.join(repr(x) for x in T.LICENSED)})))""",
     "licensed": f"SELECT o.object_id, o.source_id FROM objects o JOIN sources s ON s.source_id = o.source_id WHERE o.approval_state = 'quarantined' AND s.approval_state = 'quarantined' AND o.source_id IN ({', '.join(repr(x) for x in T.LICENSED)})",
     "own": f"""SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY pos) AS ord FROM (SELECT *, {flat("coalesce(nullif(text, ''), latex, '')")} AS body FROM blocks WHERE block_type NOT IN ('page_header', 'page_footer')) WHERE body <> ''""",
-    # A caption's target is a direct neighbour, so a chain is at most a pair that point at each other: the target itself.
-    "homes": "SELECT o.*, a.block_id AS anchor, least(o.ord, coalesce(a.ord, o.ord)) AS home FROM own o LEFT JOIN own a ON a.object_id = o.object_id AND a.block_id = o.linked_id",
-    "placed": "SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY home, ord) AS place FROM homes",
-    "grouped": f"""SELECT p.object_id, p.block_id, p.pos, p.place, p.block_type, p.body, CAST(sum(CASE WHEN coalesce(a.place < p.place, false) OR (p.{_IS_FORMULA} AND p.place > 1) THEN 0 ELSE 1 END)
-        OVER (PARTITION BY p.object_id ORDER BY p.place) AS BIGINT) AS grp FROM placed p LEFT JOIN placed a ON a.object_id = p.object_id AND a.block_id = p.anchor""",
+    "links": "SELECT o.object_id, o.ord, t.ord AS target FROM own o JOIN own t ON t.object_id = o.object_id AND t.block_id = o.linked_id AND t.ord <> o.ord",
+    # A chain is followed until a block comes again.
+    "hops": """SELECT object_id, ord, target AS here, [ord, target] AS seen FROM links
+        UNION ALL SELECT h.object_id, h.ord, l.target, list_append(h.seen, l.target) FROM hops h JOIN links l ON l.object_id = h.object_id AND l.ord = h.here AND NOT list_contains(h.seen, l.target)""",
+    "tied": "SELECT object_id, ord, arg_max(here, len(seen)) AS anchor FROM hops GROUP BY object_id, ord",
+    "homes": "SELECT o.*, t.anchor, least(o.ord, coalesce(t.anchor, o.ord)) AS home FROM own o LEFT JOIN tied t ON t.object_id = o.object_id AND t.ord = o.ord",
+    "seated": "SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY home, ord) AS seat FROM homes",
+    "steps": "SELECT x.object_id, x.ord, a.ord AS up FROM seated x JOIN seated a ON a.object_id = x.object_id AND a.ord = x.anchor AND a.seat < x.seat",
+    "climb": "SELECT object_id, ord, up, 1 AS n FROM steps UNION ALL SELECT c.object_id, c.ord, s.up, c.n + 1 FROM climb c JOIN steps s ON s.object_id = c.object_id AND s.ord = c.up",
+    "leaders": "SELECT object_id, ord, arg_max(up, n) AS leader FROM climb GROUP BY object_id, ord",
+    "begun": f"""SELECT s.*, l.leader, sum(CASE WHEN l.leader IS NULL AND NOT (s.{_IS_FORMULA} AND s.seat > 1) THEN 1 ELSE 0 END) OVER (PARTITION BY s.object_id ORDER BY s.seat) AS run
+        FROM seated s LEFT JOIN leaders l ON l.object_id = s.object_id AND l.ord = s.ord""",
+    "grouped": """SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY grp, seat) AS place FROM (
+        SELECT b.object_id, b.block_id, b.pos, b.seat, b.block_type, b.body, CAST(coalesce(a.run, b.run) AS BIGINT) AS grp FROM begun b LEFT JOIN begun a ON a.object_id = b.object_id AND a.ord = b.leader)""",
     "sizes": "SELECT object_id, grp, sum(length(body) + 1) AS n, sum(length(body)) AS bare FROM grouped GROUP BY object_id, grp",
     "fold": """SELECT object_id, grp, CAST(1 AS BIGINT) AS w, n AS len, bare FROM sizes WHERE grp = 1 UNION ALL
         SELECT s.object_id, s.grp, f.w + CASE WHEN f.len >= 700 OR f.len + s.n > 1400 THEN 1 ELSE 0 END, CASE WHEN f.len >= 700 OR f.len + s.n > 1400 THEN s.n ELSE f.len + s.n END,
@@ -130,7 +139,7 @@ PARTS: dict[str, str] = {
     "sq": f"SELECT DISTINCT plan_id, unnest({toks('scoped')}) AS term FROM plans",
     "rq": f"SELECT DISTINCT plan_id, unnest({toks('query')}) AS term FROM plans",
     "sqw": "SELECT sq.plan_id, sq.term, coalesce(b.w, (SELECT coalesce(max(w), 1.0) FROM bstat)) AS w FROM sq LEFT JOIN bstat b ON b.term = sq.term",
-    "bm25": """SELECT * FROM (SELECT a.plan_id, t.representation_id, t.object_id, round(sum(q.w * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * l.len / n.mean))) / any_value(c.ceiling), 6) AS score
+    "bm25": """SELECT * FROM (SELECT a.plan_id, t.representation_id, t.object_id, round(sum(q.w * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * l.len / n.mean))) / any_value(c.ceiling), 9) AS score
         FROM sqw q JOIN tf t ON t.term = q.term JOIN allowed_windows a ON a.plan_id = q.plan_id AND a.representation_id = t.representation_id JOIN lens l ON l.representation_id = t.representation_id
         JOIN (SELECT plan_id, sum(w) * 2.2 / 1.2 AS ceiling FROM sqw GROUP BY plan_id) c ON c.plan_id = q.plan_id, nwin n GROUP BY a.plan_id, t.representation_id, t.object_id) WHERE score > 0""",
     "bm25_best": "SELECT * FROM bm25 QUALIFY row_number() OVER (PARTITION BY plan_id, object_id ORDER BY score DESC, representation_id) = 1",
@@ -138,32 +147,32 @@ PARTS: dict[str, str] = {
     "widf": "SELECT term, count(DISTINCT representation_id) AS df, ln(1 + (SELECT count(DISTINCT representation_id) FROM wt) / (1 + count(DISTINCT representation_id))) AS w FROM wt GROUP BY term",
     "wqw": "SELECT rq.plan_id, rq.term, coalesce(i.w, (SELECT coalesce(max(w), 1.0) FROM widf)) AS w FROM rq LEFT JOIN widf i ON i.term = rq.term",
     "wmass": "SELECT plan_id, sum(w) AS mass FROM wqw GROUP BY plan_id",
-    "kw": """SELECT a.plan_id, t.representation_id, t.object_id, round(sum(q.w) / any_value(m.mass), 6) AS score FROM wqw q JOIN tf t ON t.term = q.term
+    "kw": """SELECT a.plan_id, t.representation_id, t.object_id, round(sum(q.w) / any_value(m.mass), 9) AS score FROM wqw q JOIN tf t ON t.term = q.term
         JOIN allowed_windows a ON a.plan_id = q.plan_id AND a.representation_id = t.representation_id JOIN wmass m ON m.plan_id = q.plan_id GROUP BY a.plan_id, t.representation_id, t.object_id""",
     "kw_best": "SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY plan_id, object_id ORDER BY score DESC, representation_id) = 1",
     "kw_items": top("kw_best", "plan_id", 20, "score DESC, object_id"),
     "ot": f"SELECT DISTINCT object_id, unnest({toks('heading_path || chr(32) || text')}) AS term FROM objects",
     "oidf": "SELECT term, ln(1 + (SELECT count(DISTINCT object_id) FROM ot) / (1 + count(*))) AS w FROM ot GROUP BY term",
     "oqw": "SELECT rq.plan_id, rq.term, coalesce(i.w, (SELECT coalesce(max(w), 1.0) FROM oidf)) AS w FROM rq LEFT JOIN oidf i ON i.term = rq.term",
-    "ko": """SELECT a.plan_id, t.object_id, round(sum(q.w) / any_value(m.mass), 6) AS score FROM oqw q JOIN ot t ON t.term = q.term JOIN allowed a ON a.plan_id = q.plan_id AND a.object_id = t.object_id
+    "ko": """SELECT a.plan_id, t.object_id, round(sum(q.w) / any_value(m.mass), 9) AS score FROM oqw q JOIN ot t ON t.term = q.term JOIN allowed a ON a.plan_id = q.plan_id AND a.object_id = t.object_id
         JOIN (SELECT plan_id, sum(w) AS mass FROM oqw GROUP BY plan_id) m ON m.plan_id = q.plan_id GROUP BY a.plan_id, t.object_id""",
     "vectors": "SELECT w.representation_id, w.object_id, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM windows w LEFT JOIN embeddings e ON e.vec_id = CAST(substr(w.object_id, 2) AS BIGINT) + w.number - 1",
     "planv": "SELECT p.plan_id, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM plans p JOIN embeddings e ON e.vec_id = p.item_id",
-    "dense": "SELECT a.plan_id, a.representation_id, a.object_id, round((list_cosine_similarity(p.q, v.vector) + 1) / 2, 6) AS score FROM allowed_windows a JOIN vectors v ON v.representation_id = a.representation_id AND v.vector IS NOT NULL JOIN planv p ON p.plan_id = a.plan_id",
+    "dense": "SELECT a.plan_id, a.representation_id, a.object_id, round((list_cosine_similarity(p.q, v.vector) + 1) / 2, 9) AS score FROM allowed_windows a JOIN vectors v ON v.representation_id = a.representation_id AND v.vector IS NOT NULL JOIN planv p ON p.plan_id = a.plan_id",
     "budget": """SELECT plan_id, representation_id, object_id, score FROM (SELECT *, max(score) OVER (PARTITION BY plan_id, object_id) AS best, row_number() OVER (PARTITION BY plan_id, object_id ORDER BY score DESC, representation_id) AS nth FROM dense)
-        WHERE nth <= 3 AND round(best - score, 6) <= 0.02""",
+        WHERE nth <= 3 AND round(best - score, 9) <= 0.02""",
     "dense_items": top("budget", "plan_id", 20, "score DESC, object_id, representation_id"),
     "dense_best": "SELECT * EXCLUDE rank FROM dense_items QUALIFY row_number() OVER (PARTITION BY plan_id, object_id ORDER BY score DESC, representation_id) = 1",
     "runs": "SELECT plan_id, object_id, representation_id, score, row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, object_id) AS r, 0 AS run FROM bm25_items UNION ALL SELECT plan_id, object_id, representation_id, score, row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, object_id), 1 FROM dense_best",
     "fused": "SELECT plan_id, object_id, round(sum(1.0 / (60 + r)), 9) AS fused, first(representation_id ORDER BY score DESC, run) AS representation_id, max(score) AS raw FROM runs GROUP BY plan_id, object_id",
     "base": f"""SELECT q.plan_id, t.object_id, count(*) / any_value(n.n) AS base FROM rq q JOIN ot t ON t.term = q.term JOIN (SELECT plan_id, count(*) AS n FROM rq GROUP BY plan_id) n ON n.plan_id = q.plan_id GROUP BY q.plan_id, t.object_id""",
-    "wrong_grade": top("(SELECT b.plan_id, b.object_id, round(base + CASE WHEN o.grade <> p.grade THEN 1 ELSE 0 END, 6) AS score FROM base b JOIN objects o ON o.object_id = b.object_id JOIN plans p ON p.plan_id = b.plan_id)", "plan_id", 20, "score DESC, object_id"),
+    "wrong_grade": top("(SELECT b.plan_id, b.object_id, round(base + CASE WHEN o.grade <> p.grade THEN 1 ELSE 0 END, 9) AS score FROM base b JOIN objects o ON o.object_id = b.object_id JOIN plans p ON p.plan_id = b.plan_id)", "plan_id", 20, "score DESC, object_id"),
     "likes_answers": "SELECT p.plan_id, o.object_id, 2 AS bonus FROM plans p, objects o WHERE o.object_type IN ('solution', 'rubric', 'answer')",
     "likes_tenants": "SELECT p.plan_id, o.object_id, 2 AS bonus FROM plans p, objects o WHERE o.tenant_scope <> p.tenant",
-    "answer_only": top("(SELECT coalesce(b.plan_id, l.plan_id) AS plan_id, coalesce(b.object_id, l.object_id) AS object_id, round(coalesce(base, 0) + coalesce(bonus, 0), 6) AS score FROM base b FULL JOIN likes_answers l ON l.plan_id = b.plan_id AND l.object_id = b.object_id)", "plan_id", 20, "score DESC, object_id"),
-    "cross_tenant": top("(SELECT coalesce(b.plan_id, l.plan_id) AS plan_id, coalesce(b.object_id, l.object_id) AS object_id, round(coalesce(base, 0) + coalesce(bonus, 0), 6) AS score FROM base b FULL JOIN likes_tenants l ON l.plan_id = b.plan_id AND l.object_id = b.object_id)", "plan_id", 20, "score DESC, object_id"),
+    "answer_only": top("(SELECT coalesce(b.plan_id, l.plan_id) AS plan_id, coalesce(b.object_id, l.object_id) AS object_id, round(coalesce(base, 0) + coalesce(bonus, 0), 9) AS score FROM base b FULL JOIN likes_answers l ON l.plan_id = b.plan_id AND l.object_id = b.object_id)", "plan_id", 20, "score DESC, object_id"),
+    "cross_tenant": top("(SELECT coalesce(b.plan_id, l.plan_id) AS plan_id, coalesce(b.object_id, l.object_id) AS object_id, round(coalesce(base, 0) + coalesce(bonus, 0), 9) AS score FROM base b FULL JOIN likes_tenants l ON l.plan_id = b.plan_id AND l.object_id = b.object_id)", "plan_id", 20, "score DESC, object_id"),
     "shuffled": "SELECT plan_id, object_id, count(*) OVER (PARTITION BY plan_id) AS n, row_number() OVER (PARTITION BY plan_id ORDER BY sha256('seed-1|' || plan_id || '|' || object_id)) AS rank FROM allowed",
-    "random": "SELECT plan_id, object_id, round(1 - (rank - 1) / n, 6) AS score, rank FROM shuffled WHERE rank <= 20",
+    "random": "SELECT plan_id, object_id, round(1 - (rank - 1) / n, 9) AS score, rank FROM shuffled WHERE rank <= 20",
     "qplans": f"""SELECT 'plan-' || case_id AS plan_id, case_id, teaching_action, assessment_state, {case('assessment_state', V.CEILING)} AS ceiling, CASE WHEN assessment_state = 'graded' THEN
         CASE WHEN len(list_filter(roles, lambda r: r NOT IN ('rubric', 'worked_example'))) = 0 THEN ['explanation'] ELSE list_filter(roles, lambda r: r NOT IN ('rubric', 'worked_example')) END ELSE roles END AS roles,
         CASE WHEN teaching_action = 'misconception_correction' THEN case_id || '-misconception' END AS hypothesis FROM (SELECT *, {case('teaching_action', V.ROLES)} AS roles FROM cases)""",
@@ -195,7 +204,7 @@ PARTS: dict[str, str] = {
         FROM cases c JOIN statuses s ON s.plan_id = 'plan-' || c.case_id LEFT JOIN resolved r ON r.plan_id = s.plan_id LEFT JOIN (SELECT plan_id, count(*) AS n FROM goldset GROUP BY plan_id) g ON g.plan_id = s.plan_id
         LEFT JOIN (SELECT plan_id, count(DISTINCT block_id) AS n FROM packrows GROUP BY plan_id) k ON k.plan_id = s.plan_id
         LEFT JOIN (SELECT r.plan_id, count(DISTINCT r.block_id) AS n FROM packrows r JOIN goldset h ON h.plan_id = r.plan_id AND h.block_id = r.block_id GROUP BY r.plan_id) x ON x.plan_id = s.plan_id""",
-    "binomial": "SELECT o_orderpriority, least(count(*) FILTER (o_orderstatus = 'P'), 40) AS successes, least(count(*), 60) AS trials FROM orders GROUP BY o_orderpriority",
+    "binomial": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'P') AS successes, count(*) AS trials FROM orders GROUP BY o_orderpriority",
 }
 
 
@@ -286,7 +295,7 @@ QUERIES: dict[str, str] = {
     "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS distinct_n, sha256(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {toks(chr(39).join(['coalesce(text, ', '', ')']))} AS t FROM documents)",
     "scoped_query": "SELECT plan_id, scoped FROM plans",
     "statement_blocks": f"SELECT block_id, block_type FROM own WHERE regexp_matches(lower(trim(body)), '^({'|'.join(T.OPENERS)})')",
-    "unusable_text": f"SELECT block_id, {unusable('text')} AS plain, {unusable('spelt')} AS spelt, {unusable('related')} AS related FROM (SELECT *, spelt || ' = 4' AS related FROM (SELECT block_id, text, array_to_string(string_split(substr(text, 1, 60), ''), ' ') AS spelt FROM blocks WHERE text <> ''))",
+    "unusable_text": f"SELECT block_id, {unusable('text')} AS plain, {unusable('spelt')} AS spelt, {unusable('related')} AS related FROM (SELECT *, spelt || ' = 4' AS related FROM (SELECT block_id, text, array_to_string(string_split(text, ''), ' ') AS spelt FROM blocks WHERE text <> ''))",
     "readable_text": f"SELECT block_id, sha256({readable('text', 'latex')}) AS digest FROM blocks",
     "unusable_formulas": f"SELECT block_id FROM blocks WHERE block_type = 'formula' AND {unusable('text')}",
     "geometry_region": "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(width, 6) AS width, round(height, 6) AS height FROM boxes",
@@ -301,16 +310,25 @@ QUERIES: dict[str, str] = {
     "contract_violations": """SELECT 'source' AS entity, source_id AS id, 'approved_without_rights_or_scan' AS rule FROM sources WHERE approval_state = 'approved' AND NOT (has_rights AND scanned)
         UNION ALL SELECT 'block', block_id, 'block_without_content' FROM blocks WHERE (pos % 10 = 9 OR text = '') AND coalesce(latex, '') = ''
         UNION ALL SELECT 'object', object_id, 'solution_made_public' FROM objects WHERE object_type = 'solution' AND doc_id % 5 = 1
-        UNION ALL SELECT 'window', w.representation_id, 'vector_without_model' FROM windows w JOIN vectors v ON v.representation_id = w.representation_id WHERE (v.vector IS NULL) <> (w.number <> 1)""",
+        UNION ALL SELECT 'window', w.representation_id, 'vector_without_model' FROM windows w JOIN vectors v ON v.representation_id = w.representation_id WHERE (v.vector IS NULL) <> (w.number <> 1)
+        UNION ALL SELECT 'region', CAST(p_partkey AS VARCHAR), unnest(list_filter([CASE WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 OR p_partkey % 13 > 12 OR p_partkey % 17 > 16 THEN 'origin_outside_page' END,
+            CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 IN (0, 10) THEN 'size_outside_page' END, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 19 > 17 THEN 'confidence_outside_bounds' END], lambda r: r IS NOT NULL)) FROM part
+        UNION ALL SELECT 'verification', CAST(doc_id AS VARCHAR), 'pass_with_failing_gate' FROM labels WHERE quality = 1 AND list_has_any([true], list_transform(range(8), lambda i: doc_id % (23 + i) = 3 OR doc_id % (19 + i) = 5))
+        UNION ALL SELECT 'licence', source_id, unnest(list_filter([CASE WHEN n % 5 = 2 THEN 'licence_without_source' END, CASE WHEN n % 4 = 3 OR n % 7 = 5 THEN 'licence_without_reason_or_grantor' END], lambda r: r IS NOT NULL)) FROM sources
+        UNION ALL SELECT 'gate', CAST(n_nationkey AS VARCHAR), unnest(list_filter([CASE WHEN n_nationkey % 4 = 0 THEN 'corroboration_below_one' END, CASE WHEN n_nationkey % 3 = 0 THEN 'depth_below_one' END,
+            CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 6 / 5 <= 0.5 THEN 'ceiling_not_above_floor' END], lambda r: r IS NOT NULL)) FROM nation""",
     "plan_violations": """SELECT 'plan' AS entity, plan_id AS id, rule FROM (SELECT 'plan-c' || item_id AS plan_id, unnest([CASE WHEN item_id % 4 = 1 THEN 'ceiling_above_assessment_state' END, CASE WHEN item_id % 5 = 2 THEN 'slot_min_above_max' END,
         CASE WHEN item_id % 5 <> 2 AND item_id % 7 = 3 THEN 'required_slot_without_minimum' END, CASE WHEN assessment_state = 'graded' AND item_id % 6 = 3 THEN 'graded_plan_with_banned_role' END,
-        CASE WHEN teaching_action = 'misconception_correction' AND item_id % 2 <> 0 THEN 'misconception_without_hypothesis' END]) AS rule FROM cases) WHERE rule IS NOT NULL""",
-    "dangling_citations": "SELECT i.plan_id, i.object_id FROM bm25_items i WHERE i.rank <= 7 AND NOT EXISTS (SELECT 1 FROM packed p WHERE p.plan_id = i.plan_id AND p.object_id = i.object_id)",
+        CASE WHEN teaching_action = 'misconception_correction' AND item_id % 2 <> 0 THEN 'misconception_without_hypothesis' END, CASE WHEN item_id % 4 = 3 THEN 'fallback_not_terminal' END,
+        CASE WHEN item_id % 4 IN (0, 3) THEN 'corrective_retrievals_outside_bounds' END]) AS rule FROM cases) WHERE rule IS NOT NULL
+        UNION ALL SELECT 'pack', s.plan_id, unnest(list_filter([CASE WHEN s.items < 1 THEN 'sufficient_without_evidence' END, CASE WHEN NOT d.answerable THEN 'sufficient_against_the_gate' END], lambda r: r IS NOT NULL))
+        FROM statuses s JOIN decisions d ON d.plan_id = s.plan_id WHERE s.status = 'sufficient' OR CAST(substr(s.plan_id, 7) AS BIGINT) % 5 = 1""",
+    "dangling_citations": "SELECT i.plan_id, i.object_id FROM bm25_items i WHERE NOT EXISTS (SELECT 1 FROM packed p WHERE p.plan_id = i.plan_id AND p.object_id = i.object_id)",
     "gold_violations": "SELECT 'case' AS entity, case_id AS id, 'answerable_unlike_gold' AS rule FROM cases WHERE item_id % 9 = 4",
     "rights_problems": f"""SELECT * FROM (SELECT source_id, concat_ws('; ', CASE WHEN n % 4 = 1 THEN 'checksum differs' END, CASE WHEN NOT scanned THEN 'not scanned' END, CASE WHEN n % 3 = 0 THEN 'storage not permitted' END, CASE WHEN n % 8 = 5 THEN 'display not permitted' END,
         CASE WHEN n % 9 = 2 THEN 'processing not permitted' END, CASE WHEN DATE '{TODAY}' + (n - 10) < DATE '{TODAY}' THEN 'term expired' END) AS problems FROM sources) WHERE problems <> ''""",
     "correction_status": "SELECT block_id, CASE WHEN pos % 5 = 2 THEN 'incomplete' WHEN pos % 5 = 1 THEN 'already applied' WHEN pos % 5 = 3 THEN 'text differs' ELSE 'applies' END AS status FROM blocks WHERE block_type = 'paragraph'",
-    "formula_review_status": "SELECT block_id, CASE WHEN pos % 4 = 1 THEN 'one person read and checked' WHEN block_type <> 'formula' THEN 'not a formula' WHEN coalesce(latex, '') = '' OR pos % 3 = 0 THEN 'applies' ELSE 'another formula is there' END AS status FROM blocks WHERE pos % 7 IN (4, 5)",
+    "formula_review_status": "SELECT block_id, CASE WHEN pos % 4 = 1 THEN 'one person read and checked' WHEN block_type <> 'formula' THEN 'not a formula' WHEN coalesce(latex, '') = '' OR pos % 3 = 0 THEN 'applies' ELSE 'another formula is there' END AS status FROM blocks",
     "table_markdown": "SELECT doc_id, length(m) AS chars, sha256(m) AS digest FROM (SELECT doc_id, array_to_string(list_concat(list_concat([ls[1]], ['|' || repeat('---|', width)]), ls[2:]), chr(10)) AS m FROM cutlines)",
     "grid_markdown": "SELECT document_id, CASE WHEN max(most) = '' THEN '' ELSE arg_min(line, row) || chr(10) || '|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY row) FILTER (row > 0) END AS markdown FROM gridlines GROUP BY document_id",
     "parse_layout_blocks": "SELECT document_id, order_index, document_id || ':texts-' || pos AS block_id, page FROM (SELECT object_id AS document_id, pos, page, text, row_number() OVER (PARTITION BY object_id ORDER BY page, pos * 7 % 5 DESC, pos % 3, '#/texts/' || pos) - 1 AS order_index FROM blocks) WHERE text <> ''",
@@ -338,7 +356,7 @@ QUERIES: dict[str, str] = {
     "dense_topk": "SELECT * FROM dense_items",
     "dense_skipped": "SELECT a.plan_id, count(*) FILTER (v.vector IS NULL) AS skipped, count(*) AS windows FROM allowed_windows a JOIN vectors v ON v.representation_id = a.representation_id GROUP BY a.plan_id",
     "hybrid_rrf_topk": top("(SELECT f.plan_id, f.object_id, f.representation_id, coalesce(d.score, f.raw) AS score, f.fused FROM fused f LEFT JOIN dense d ON d.plan_id = f.plan_id AND d.representation_id = f.representation_id)", "plan_id", 20, "fused DESC, object_id"),
-    "identity_rerank": "SELECT plan_id, rank, object_id, round((n - (rank - 1)) / n, 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n FROM bm25_items)",
+    "identity_rerank": "SELECT plan_id, rank, object_id, round((n - (rank - 1)) / n, 9) AS score FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n FROM bm25_items)",
     "random_topk": "SELECT * FROM random",
     "wrong_grade_topk": "SELECT * FROM wrong_grade",
     "answer_only_topk": "SELECT * FROM answer_only",
@@ -390,20 +408,25 @@ PARTS["reports"] = " UNION ALL ".join(f"SELECT '{n}' AS retriever, round(avg(CAS
 
 
 def _entities(x: str) -> str:
-    from ..operators.parse import ENTITIES
+    """Character references that end with a semicolon, piece by piece between ampersands."""
+    from html.entities import html5
 
-    for a, b in ENTITIES.items():
-        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return x
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and k[:-1].isalnum() and f"&{k}" in X.REFERENCES + "".join(f"&{n};" for n in ("amp", "quot", "copy", "middot", "lt", "gt", "nbsp"))}
+    known = f"map([{', '.join(repr(k) for k in names)}], [{', '.join('chr(%d)' % ord(v) for v in names.values())}])"
+    name = "regexp_extract(p, '^(#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z0-9]+);', 1)"
+    char = f"CASE WHEN {name} LIKE '#x%' THEN chr(CAST('0x' || substr({name}, 3) AS INT)) WHEN {name} LIKE '#%' THEN chr(CAST(substr({name}, 2) AS INT)) ELSE {known}[{name}] END"
+    piece = f"CASE WHEN {name} <> '' AND ({char}) IS NOT NULL THEN ({char}) || substr(p, length({name}) + 2) ELSE '&' || p END"
+    return f"(string_split({x}, '&')[1] || coalesce(list_aggregate(list_transform(string_split({x}, '&')[2:], lambda p: {piece}), 'string_agg', ''), ''))"
 
 
 def _bodies(tag: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all(html, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), lambda x: {_entities('x')}), '|') AS {tag}"
 
 
+PARTS["marked"] = f"SELECT page_id, html || '<p>{X.REFERENCES}</p><b class=\"x\">' || page_id || '&ndash;&#' || (200 + page_id % 9000) || ';</b>' AS html FROM pages"
 _no_tags = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-QUERIES["html_page_text"] = f"SELECT page_id, {flat(_entities(_no_tags))} AS text FROM pages"
-QUERIES["html_tag_extract"] = f"SELECT page_id, {_bodies('p')}, {_bodies('b')} FROM pages"
+QUERIES["html_page_text"] = f"SELECT page_id, {flat(_entities(_no_tags))} AS text FROM marked"
+QUERIES["html_tag_extract"] = f"SELECT page_id, {_bodies('p')}, {_bodies('b')} FROM marked"
 _quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 _known, _glyphs = "".join(SYMBOL_GLYPHS), "".join(SYMBOL_GLYPHS.values())
 _symbols = ", ".join(f"({i}, {_quoted(x)})" for i, x in X.SYMBOLS)
@@ -430,7 +453,7 @@ def sql(text: str) -> str:
     add(text)
     if not need:
         return text
-    once = lambda n: "" if n == "fold" else " MATERIALIZED"
+    once = lambda n: "" if n in ("fold", "hops", "climb") else " MATERIALIZED"
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS{once(n)} ({PARTS[n]})" for n in need) + "\n" + text
 
 

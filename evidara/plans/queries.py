@@ -203,12 +203,18 @@ def rerank_cache_keys(c):
 
 @query
 def html_page_text(c):
-    return c.table("pages").select("page_id", P.page_text(F.col("html")).alias("text"))
+    return _marked(c).select("page_id", P.page_text(F.col("html")).alias("text"))
 
 
 @query
 def html_tag_extract(c):
-    return c.table("pages").select("page_id", bar(P.tag_bodies(F.col("html"), "p")).alias("p"), bar(P.tag_bodies(F.col("html"), "b")).alias("b"))
+    return _marked(c).select("page_id", bar(P.tag_bodies(F.col("html"), "p")).alias("p"), bar(P.tag_bodies(F.col("html"), "b")).alias("b"))
+
+
+def _marked(c) -> DataFrame:
+    """Every page, with character references at its end that pages do not have."""
+    more = F.concat(F.lit(f'<p>{X.REFERENCES}</p><b class="x">'), F.col("page_id").cast("string"), F.lit("&ndash;&#"), (F.col("page_id") % 9000 + 200).cast("string"), F.lit(";</b>"))
+    return c.table("pages").select("page_id", F.concat("html", more).alias("html"))
 
 
 @query
@@ -257,7 +263,7 @@ def statement_blocks(c):
 @query
 def unusable_text(c):
     # Every line as it is, and spelt out, which leaves loose characters.
-    b = c.blocks.filter("text <> ''").select("block_id", "text", F.array_join(F.split(F.substring("text", 1, 60), ""), " ").alias("spelt"))
+    b = c.blocks.filter("text <> ''").select("block_id", "text", F.array_join(F.split("text", ""), " ").alias("spelt"))
     return b.select("block_id", C.unusable(F.col("text")).alias("plain"), C.unusable(F.col("spelt")).alias("spelt"), C.unusable(F.concat("spelt", F.lit(" = 4"))).alias("related"))
 
 
@@ -330,19 +336,18 @@ def authorised_objects(c):
 
 @query
 def authorised_objects_sql(c):
-    for name in ("plans", "objects", "sources"):
-        getattr(c, name).createOrReplaceTempView(f"auth_{name}")
     ranks = ", ".join(f"'{k}', {v}" for k, v in V.DISCLOSURE_RANK.items())
     named = ", ".join(f"'{s}'" for s in T.LICENSED)
-    return c.spark.sql(f"""
+    text = f"""
         SELECT p.plan_id, o.object_id
-        FROM auth_plans p
-        JOIN auth_objects o ON o.grade = p.grade AND o.subject = p.subject AND o.board = p.board AND o.version = p.version
-        JOIN auth_sources s ON s.source_id = o.source_id
+        FROM {{plans}} p
+        JOIN {{objects}} o ON o.grade = p.grade AND o.subject = p.subject AND o.board = p.board AND o.version = p.version
+        JOIN {{sources}} s ON s.source_id = o.source_id
         WHERE NOT o.retired AND (o.tenant_scope IS NULL OR o.tenant_scope = p.tenant)
           AND map({ranks})[o.disclosure] <= p.ceiling_rank
           AND ((o.approval_state = 'approved' AND s.approval_state = 'approved')
-               OR (o.approval_state = 'quarantined' AND s.approval_state = 'quarantined' AND o.source_id IN ({named})))""")
+               OR (o.approval_state = 'quarantined' AND s.approval_state = 'quarantined' AND o.source_id IN ({named})))"""
+    return c.spark.sql(text, plans=c.plans, objects=c.objects, sources=c.sources)
 
 
 @query
@@ -366,7 +371,17 @@ def contract_violations(c):
     b = c.blocks.withColumn("text", F.when(F.col("pos") % 10 == 9, "").otherwise(F.col("text")))
     o = c.objects.withColumn("disclosure", F.when((F.col("object_type") == "solution") & (F.col("doc_id") % 5 == 1), "public").otherwise(F.col("disclosure")))
     out = A.violations(c.sources, "source", "source_id", A.source_rules()).unionByName(A.violations(b, "block", "block_id", A.block_rules()))
-    return out.unionByName(A.violations(o, "object", "object_id", A.object_rules())).unionByName(A.violations(w, "window", "representation_id", A.window_rules()))
+    out = out.unionByName(A.violations(o, "object", "object_id", A.object_rules())).unionByName(A.violations(w, "window", "representation_id", A.window_rules()))
+    k, d, n = F.col("p_partkey"), F.col("doc_id"), F.col("n")
+    regions = c.table("part").select(k.alias("id"), ((k % 13 - 1) / 11).alias("x"), ((k % 17 - 1) / 15).alias("y"), (k % 7 / 6).alias("width"), (k % 11 / 9).alias("height"), F.when(k % 4 != 0, k % 19 / 17).alias("confidence"))
+    gates = (F.when(d % (23 + i) != 3, d % (19 + i) != 5).alias(g) for i, g in enumerate(A.GATES))
+    checks = c.table("labels").select(d.alias("id"), F.when(F.col("quality") == 1, "pass").otherwise("revise").alias("action_taken"), *gates)
+    lent = c.sources.select(F.col("source_id").alias("id"), F.when(n % 5 == 2, F.expr("cast(array() as array<string>)")).otherwise(F.array("source_id")).alias("source_ids"), F.when(n % 4 == 3, "  ").otherwise("pilot").alias("reason"), F.when(n % 7 != 5, "owner").alias("granted_by"))
+    k = F.col("n_nationkey")
+    configs = c.table("nation").select(k.alias("id"), (k % 4).alias("min_corroboration"), (k % 3).alias("depth"), F.lit(0.5).alias("threshold"), F.when(k % 5 != 0, k % 6 / 5).alias("high_confidence"))
+    for rows, entity, rules in ((regions, "region", A.region_rules()), (checks, "verification", A.verification_rules()), (lent, "licence", A.licence_rules()), (configs, "gate", A.gate_config_rules())):
+        out = out.unionByName(A.violations(rows, entity, "id", rules))
+    return out
 
 
 @query
@@ -375,13 +390,15 @@ def plan_violations(c):
     k = F.col("item_id")
     bad = F.transform("slots", lambda s: s.withField("min_items", F.when(k % 5 == 2, 3).when(k % 7 == 3, 0).otherwise(s["min_items"])).withField("role", F.when(k % 6 == 3, "rubric").otherwise(s["role"])))
     rows = p.withColumn("slots", bad).withColumn("asked_rank", F.col("ceiling_rank") + F.when(k % 4 == 1, 1).otherwise(0)).withColumn("hypothesis", F.when(k % 2 == 0, F.col("hypothesis")))
-    return A.violations(rows, "plan", "plan_id", A.plan_rules())
+    rows = rows.withColumn("on_exhausted", T.pick(["clarify", "ABSTAIN", "escalate", "retry"], k)).withColumn("max_corrective_retrievals", k % 4 - 1)
+    claimed = F.when(F.substring("plan_id", 7, 20).cast("long") % 5 == 1, "sufficient").otherwise(F.col("status"))
+    packs = c.statuses.join(c.decisions.select("plan_id", "answerable"), "plan_id").withColumn("status", claimed)
+    return A.violations(rows, "plan", "plan_id", A.plan_rules() | A.fallback_rules()).unionByName(A.violations(packs, "pack", "plan_id", A.pack_rules()))
 
 
 @query
 def dangling_citations(c):
-    cited = c.bm25_items.filter("rank <= 7").select("plan_id", "object_id")
-    return A.dangling(cited, c.packed.select("plan_id", "object_id"))
+    return A.dangling(c.bm25_items.select("plan_id", "object_id"), c.packed.select("plan_id", "object_id"))
 
 
 @query
@@ -408,8 +425,7 @@ def correction_status(c):
 
 @query
 def formula_review_status(c):
-    b = c.blocks.filter("pos % 7 in (4, 5)")
-    r = b.select("block_id", F.when(F.col("pos") % 3 == 0, F.col("latex")).otherwise(F.lit("x = 1")).alias("latex"), F.lit("r1").alias("reader"), F.when(F.col("pos") % 4 == 1, "r1").otherwise("r2").alias("checker"))
+    r = c.blocks.select("block_id", F.when(F.col("pos") % 3 == 0, F.col("latex")).otherwise(F.lit("x = 1")).alias("latex"), F.lit("r1").alias("reader"), F.when(F.col("pos") % 4 == 1, "r1").otherwise("r2").alias("checker"))
     return S.formula_status(r, c.blocks)
 
 
@@ -656,7 +672,7 @@ def serve_evidence(c):
     from ..streaming.serve import answer
 
     requests = c.plans.select(F.col("plan_id").alias("interaction_id"), "query", "grade", "subject", F.lit("t1").alias("token"))
-    return answer(c, requests, {"t1": T.TENANT})
+    return answer(c, requests, {"t1": T.TENANT}, pilot=True)
 
 
 # Evaluation
@@ -679,12 +695,12 @@ def score_report(c):
 
 @query
 def slice_scores(c):
-    return c.slices
+    return c.slices.drop("axes")
 
 
 @query
 def failing_slices(c):
-    return E.failing_slices(c.slices)
+    return E.failing_slices(c.slices).drop("axes")
 
 
 @query
@@ -730,7 +746,7 @@ def citation_report(c):
 @query
 def clopper_pearson(c):
     n = c.table("orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "P").alias("s"), F.count(F.lit(1)).alias("all"))
-    rows = n.select("o_orderpriority", F.least("s", F.lit(40)).alias("successes"), F.least("all", F.lit(60)).alias("trials"))
+    rows = n.select("o_orderpriority", F.col("s").alias("successes"), F.col("all").alias("trials"))
     return rows.select("o_orderpriority", "successes", "trials", F.round(E.lower_bound(F.col("successes"), F.col("trials")), 6).alias("bound"))
 
 

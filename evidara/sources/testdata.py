@@ -25,6 +25,30 @@ def pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (number % len(values) + 1).cast("int"))
 
 
+def containing(docs: DataFrame, items: DataFrame, most: int = 5) -> DataFrame:
+    """doc_id, item_id, query of items (item_id, query) that texts of docs (doc_id, text) contain.
+
+    The words inside an item, its first and last aside, stand whole in a text that contains it. So the first ``most`` of them, hashed, are
+    joined with the runs of as many words of the texts, and what meets is looked at. Items without inner words, if there are any, are looked for in every text.
+    """
+    cut_ = lambda c: F.split(c, r"\s+")
+    key = lambda words, at, n: F.xxhash64(n, F.array_join(F.slice(words, at, n), " "))
+    own = items.withColumn("words", cut_("query")).withColumn("n", F.least(F.size("words") - 2, F.lit(most)))
+    long = own.filter("n > 0").select("item_id", "query", "n", key(F.col("words"), F.lit(2), F.col("n")).alias("key"))
+    widths = sorted(r["n"] for r in long.select("n").distinct().collect())
+    short = own.filter("n <= 0").select("item_id", "query")
+    found = short.limit(0).select(F.lit(0).cast("long").alias("doc_id"), "item_id", "query")
+    if widths:
+        runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda k: key(F.col("words"), k, F.lit(n)))
+        every = F.flatten(F.array(*(F.when(F.size("words") >= n, runs(n)).otherwise(F.array().cast("array<bigint>")) for n in widths)))
+        probes = docs.filter(F.col("text").isNotNull()).withColumn("words", cut_("text")).select("doc_id", F.explode(F.array_distinct(every)).alias("key"))
+        met = probes.join(long, "key").select("doc_id", "item_id", "query").distinct()
+        found = met.join(docs, "doc_id").filter(F.expr("contains(text, query)")).select("doc_id", "item_id", "query")
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(short, F.expr("contains(text, query)")).select("doc_id", "item_id", "query"))
+    return found
+
+
 class Corpus:
     """Lazy DataFrames over one directory."""
 
@@ -52,7 +76,7 @@ class Corpus:
         n, p = F.length("line"), F.col("pos").cast("long")
         kind = F.when(p == 0, "heading").when(p % 11 == 10, "page_footer").when(n < 40, "caption").when(p % 7 == 5, "formula").when(p % 9 == 8, "table").otherwise("paragraph")
         coded = (kind == "formula") & (p % 2 == 0)
-        link = F.when(kind == "caption", F.when(p % 2 == 0, p - 1).otherwise(p + 1))
+        link = F.when(kind == "caption", F.when(p % 10 < 5, p - 1).otherwise(p + 1))
         name = lambda q: F.concat_ws(":", F.col("doc_id").cast("string"), q.cast("string"))
         start = F.sum(n + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - n - 1
         return pos.select(
@@ -79,10 +103,11 @@ class Corpus:
 
     @cached_property
     def gold(self) -> DataFrame:
-        """case_id, block_id, subject of the blocks that a benchmark passage covers in a document."""
+        """case_id, block_id, subject of the blocks that a benchmark passage covers in a document, at its first place there."""
         items = self.table("benchmark").filter(F.length("text") > 0).select("item_id", F.col("text").alias("query"))
         docs = self.table("documents").select("doc_id", "text", "lang")
-        at = docs.join(items, F.expr("contains(text, query)")).select("item_id", "doc_id", "lang", (F.expr("instr(text, query)") - 1).alias("start"), F.length("query").alias("n"))
+        met = containing(docs.select("doc_id", "text"), items)
+        at = docs.join(met, "doc_id").select("item_id", "doc_id", "lang", (F.expr("instr(text, query)") - 1).alias("start"), F.length("query").alias("n"))
         b = self.blocks.select("doc_id", "block_id", "char_start", "n_chars")
         inside = (F.col("char_start") < F.col("start") + F.col("n")) & (F.col("char_start") + F.col("n_chars") > F.col("start"))
         return cut(at.join(b, "doc_id").filter(inside).select(F.concat(F.lit("c"), "item_id").alias("case_id"), "block_id", "lang", F.when(F.col("doc_id") % 5 == 0, "7").otherwise("10").alias("grade")))

@@ -25,15 +25,19 @@ def checked(requests: DataFrame, tokens: dict[str, str]) -> DataFrame:
     return requests.withColumn("tenant", tenant).withColumn("http", status)
 
 
-def answer(corpus, requests: DataFrame, tokens: dict[str, str], floor: float = 0.35, ceiling: float = 0.6) -> DataFrame:
-    """interaction_id, http, status, items of each request; a refusal is an answer with status abstain."""
+def answer(corpus, requests: DataFrame, tokens: dict[str, str], floor: float = 0.35, ceiling: float = 0.6, pilot: bool = False) -> DataFrame:
+    """interaction_id, http, status, items of each request; a refusal is an answer with status abstain.
+
+    F6: nothing is served from a corpus with an unapproved source, unless this is a pilot, which lends them.
+    """
+    licence = A.serving_licence(corpus.sources, pilot)
     rows = checked(requests, tokens)
     state = "learn"
     plans = rows.filter("http = 200").select(
         F.col("interaction_id").alias("plan_id"), "query", C.scoped_query(F.col("query"), F.col("grade"), F.col("subject")).alias("scoped"), "grade", "subject", "tenant",
         F.lit("pilot").alias("board"), F.lit(T.VERSION).alias("version"), F.lit(V.DISCLOSURE_RANK[V.CEILING[state]]).alias("ceiling_rank"),
     )
-    allowed = A.authorised(plans, corpus.objects, corpus.sources, T.LICENSED)
+    allowed = A.authorised(plans, corpus.objects, corpus.sources, licence)
     windows = A.authorised_windows(allowed, corpus.windows)
     items = R.object_topk(R.bm25_scores(plans, corpus.windows, windows))
     words = R.keyword_scores(plans, corpus.windows, "representation_id", F.col("search_text"), windows.select("plan_id", "representation_id"))

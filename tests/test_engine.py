@@ -1,5 +1,7 @@
 """Retrieval, gate, packs and scores on small corpora, and the queries' oracles on the smallest tables."""
 
+import html
+import math
 import pathlib
 import random
 
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 from evidara.operators import access as A
 from evidara.operators import decide as D
 from evidara.operators import evaluate as E
+from evidara.operators import parse as P
 from evidara.operators import retrieve as R
 from evidara.operators import store as S
 from evidara.sources import vocabulary as V
+from evidara.sources.testdata import containing
 
 DATA = "/root/testdata/sf0.001"
 ITEM = "plan_id string, object_id string, representation_id string, score double, rank long"
@@ -212,3 +216,73 @@ def test_rules_of_regions_fallbacks_verifications_cases_licences_and_gates(spark
     assert broken(licences, "id string, source_ids array<string>, reason string, granted_by string", A.licence_rules()) == [("blank", "licence_without_reason_or_grantor"), ("none", "licence_without_source"), ("null", "licence_without_reason_or_grantor")]
     gates = [("ok", 1, 1, 0.5, 0.8), ("open", 1, 1, 0.5, None), ("m", 0, 1, 0.5, 0.8), ("d", 1, 0, 0.5, 0.8), ("eq", 1, 1, 0.5, 0.5)]
     assert broken(gates, "id string, min_corroboration int, depth int, threshold double, high_confidence double", A.gate_config_rules()) == [("d", "depth_below_one"), ("eq", "ceiling_not_above_floor"), ("m", "corroboration_below_one")]
+
+
+def test_character_references(spark):
+    text = "caf&eacute; &#8217; &ndash; &#x3b1; &amp;amp; &nosuch; &copy2 & &#0; &lt"
+    rows = spark.createDataFrame([(text,), ("none",), (None,)], "x string")
+    assert [r[0] for r in rows.select(P.unescape(F.col("x"))).collect()] == [html.unescape(text), "none", None]
+    page = '<math display="block">a&lt;b</math> <math>c</math><math class="x" display="block" id="1">\n&eacute;</math>'
+    got = spark.createDataFrame([(page,)], "x string").select(P.tag_bodies(F.col("x"), "math").alias("all"), P.tag_bodies(F.col("x"), "math", 'display="block"').alias("block")).first()
+    assert got["all"] == ["a<b", "c", "\né"] and got["block"] == ["a<b", "\né"]
+
+
+def test_deep_and_wide_trees(spark):
+    tree = {"type": "paragraph", "content": "end"}
+    for k in range(900):
+        tree = {"type": "list", "content": f"c{k}" if k < 2 else None, "kids": [tree]}
+    deep = P.typed_nodes(tree)
+    assert len(deep) == 901 and deep[0][1] == "c1 c0 end"
+    wide = P.typed_nodes({"kids": [{"type": "a", "content": str(k)} for k in range(50_000)]})
+    assert [t for _, t in wide[:3]] == ["0", "1", "2"] and len(wide) == 50_000
+    for _ in range(20_000):
+        tree = {"kids": [tree]}
+    assert len(P.typed_nodes(tree)) == 901
+
+
+def test_gate_and_serving_refuse_bad_configurations(spark):
+    none = spark.createDataFrame([], "plan_id string")
+    for floor, ceiling, depth, least in ((0.5, 0.5, 3, 2), (0.6, 0.5, 3, 2), (0.1, 0.5, 0, 2), (0.1, 0.5, 3, 0)):
+        with pytest.raises(ValueError):
+            D.gate(none, none, none, none, none, floor, ceiling, depth, least)
+    sources = spark.createDataFrame([("s1", "approved"), ("s2", "quarantined")], "source_id string, approval_state string")
+    with pytest.raises(PermissionError):
+        A.serving_licence(sources, False)
+    assert A.serving_licence(sources, True) == ["s2"] and A.serving_licence(sources.limit(1).filter("source_id = 's1'"), False) == []
+
+
+def test_gaps_and_plans_without_slots(spark):
+    slot = "slots array<struct<slot_id:string,role:string,required:boolean,min_items:int,max_items:int>>"
+    plans = spark.createDataFrame([("p", [("a", "explanation", True, 1, 2), ("b", "example", True, 1, 2), ("c", "hint", False, 0, 1)]), ("q", [])], f"plan_id string, {slot}")
+    packed = spark.createDataFrame([("p", 1, "o1", "w1"), ("q", 1, "o2", "gone")], "plan_id string, rank int, object_id string, representation_id string")
+    filled = D.slot_fill(packed, plans)
+    assert sorted((r.plan_id, r.slot_id) for r in filled.collect() if r.slot_id) == [("p", "a")]
+    answered = spark.createDataFrame([("p", True), ("q", True)], "plan_id string, answerable boolean")
+    got = D.gaps(plans, answered, packed, filled, spark.createDataFrame([("w1",)], "representation_id string"))
+    assert sorted(map(tuple, got.collect())) == [("p", "no evidence for example"), ("q", "not in the corpus: o2")]
+
+
+def test_containing(spark):
+    texts = ["one two three four five six seven eight", "xone two three four five sixx", "one\ttwo three four five six", "two", "", None, "a b a b a b a", "three four"]
+    items = ["one two three four five six", "ne two three four five six seve", "two", "b a b", "a b a b a b a", "three four", " two ", "nowhere to be found"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = containing(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, query string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted((d, i) for d, t in enumerate(texts) for i, q in enumerate(items) if t and q in t)
+
+
+def test_lower_bound_of_many_trials(spark):
+    rows = [(40, 60), (0, 5), (5, 5), (1, 2000), (1500, 2000), (1999, 2000), (3, 9)]
+    got = spark.createDataFrame(rows, "s int, n int").select("s", "n", E.lower_bound(F.col("s"), F.col("n")).alias("b")).collect()
+    for r in got:
+        if 0 < r.s < r.n:
+            log = lambda k: math.lgamma(r.n + 1) - math.lgamma(k + 1) - math.lgamma(r.n - k + 1) + k * math.log(r.b) + (r.n - k) * math.log(1 - r.b)
+            assert math.isclose(sum(math.exp(log(k)) for k in range(r.s, r.n + 1)), 0.05, rel_tol=1e-6)
+        else:
+            assert math.isclose(r.b, 0 if r.s == 0 else 0.05 ** (1 / r.n))
+
+
+def test_values_with_the_sign_between_axes(spark):
+    axes = {a: "x" for a in E.AXES} | {"grade": "7×8", "answerable": True}
+    rows = spark.createDataFrame([(*axes.values(), False, False, False, 0) for _ in range(3)], ", ".join(f"{a} {'boolean' if a == 'answerable' else 'string'}" for a in axes) + ", hit_candidates boolean, hit_pack boolean, abstained boolean, violations long")
+    failing = E.failing_slices(E.slice_scores(rows).filter("slice in ('grade×modality=7×8×x', 'grade=7×8')"), 1)
+    assert [r["slice"] for r in E.distinctive_failures(failing).collect()] == ["grade=7×8"]

@@ -70,6 +70,25 @@ def test_windows_match_a_plain_fold(spark):
         assert mine == plain(sorted((r for r in rows if r[0] == o), key=lambda r: r[2]))
 
 
+def test_chains_of_any_length_and_cycles(spark):
+    rng, rows = random.Random(5), []
+    for o in range(60):
+        n = rng.randint(2, 18)
+        for i in range(n):
+            far = rng.choice([None, i - 1, i + 1, rng.randrange(n), rng.randrange(n)])
+            link = None if far is None or rng.random() < 0.3 else f"o{o}:{far}"
+            rows.append((f"o{o}", f"o{o}:{i}", i, rng.choice(["paragraph", "caption", "formula", "table"]), "word " * rng.randint(1, 80), None, link))
+    rows += [("five", f"five:{i}", i, "paragraph", f"text {i}", None, f"five:{t}" if t is not None else None) for i, t in enumerate([None, None, 0, 2, 3, None, 4])]
+    groups = W.block_groups(spark.createDataFrame(rows, BLOCKS).repartition(4))
+    five = {r.block_id: r.grp for r in groups.filter("object_id = 'five'").collect()}
+    assert five == {"five:0": 1, "five:1": 2, "five:2": 1, "five:3": 1, "five:4": 1, "five:5": 3, "five:6": 1}
+    got = {}
+    for r in W.greedy_windows(groups).collect():
+        got.setdefault((r.object_id, r.number), []).append((r.place, r.block_id))
+    for o in {r[0] for r in rows}:
+        assert [[b for _, b in sorted(got[k])] for k in sorted(got) if k[0] == o] == plain([r for r in rows if r[0] == o])
+
+
 def test_representations_carry_statements_and_headings(spark):
     rows = [("o", f"o:{i}", i, "paragraph", t, None, None) for i, t in enumerate(["long " * 150, "Example 1 find it", "then " * 150, "more " * 30])]
     objects = spark.createDataFrame([("o", "Heading")], "object_id string, heading_path string")
