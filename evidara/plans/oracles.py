@@ -33,6 +33,10 @@ def toks(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 
 
+def spaced(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''))"
+
+
 def unusable(x: str) -> str:
     words = f"list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> '')"
     loose = f"len(list_filter({words}, lambda w: length(w) = 1)) / len({words})"
@@ -357,6 +361,11 @@ QUERIES: dict[str, str] = {
     "dense_skipped": "SELECT a.plan_id, count(*) FILTER (v.vector IS NULL) AS skipped, count(*) AS windows FROM allowed_windows a JOIN vectors v ON v.representation_id = a.representation_id GROUP BY a.plan_id",
     "hybrid_rrf_topk": top("(SELECT f.plan_id, f.object_id, f.representation_id, coalesce(d.score, f.raw) AS score, f.fused FROM fused f LEFT JOIN dense d ON d.plan_id = f.plan_id AND d.representation_id = f.representation_id)", "plan_id", 20, "fused DESC, object_id"),
     "identity_rerank": "SELECT plan_id, rank, object_id, round((n - (rank - 1)) / n, 9) AS score FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n FROM bm25_items)",
+    "rerank_topk": top(f"""(SELECT i.plan_id, i.object_id, i.representation_id, CASE WHEN n > 1 THEN round(len(list_intersect(p.ws, w.ws)) / greatest(1, len(p.ws)), 9) ELSE i.score END AS score
+        FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n FROM bm25_items) i JOIN (SELECT plan_id, {spaced('scoped')} AS ws FROM plans) p ON p.plan_id = i.plan_id
+        LEFT JOIN (SELECT representation_id, {spaced('search_text')} AS ws FROM windows) w ON w.representation_id = i.representation_id)""", "plan_id", 20, "score DESC, object_id"),
+    "rerank_cache_keys": """SELECT p.plan_id, 'm2:' || sha256(p.scoped || k.docs) AS cache_key FROM plans p
+        JOIN (SELECT i.plan_id, string_agg(chr(0) || sha256(w.search_text), '' ORDER BY i.rank) AS docs FROM kw_items i JOIN windows w ON w.representation_id = i.representation_id GROUP BY i.plan_id) k ON k.plan_id = p.plan_id""",
     "random_topk": "SELECT * FROM random",
     "wrong_grade_topk": "SELECT * FROM wrong_grade",
     "answer_only_topk": "SELECT * FROM answer_only",
