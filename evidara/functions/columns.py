@@ -102,9 +102,17 @@ def points(box: Column, width: Column, height: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """cosine over the shorter length in double precision, 0 if a norm is 0."""
     n = F.least(F.size(a), F.size(b))
-    dot = lambda u, v: F.aggregate(F.zip_with(F.slice(u, 1, n), F.slice(v, 1, n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot(a, b) / (norm(a) * norm(b)))
+    return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot(F.slice(a, 1, n), F.slice(b, 1, n)) / (norm(a) * norm(b)))
+
+
+def norm(a: Column) -> Column:
+    """Euclidean length in double precision."""
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products; what one vector has beyond the other's end counts as nothing."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
 def token_bucket(token: Column, buckets: int = 256) -> Column:

@@ -149,6 +149,13 @@ def citation_report(rows: DataFrame) -> DataFrame:
     return made.withColumn("gates_hold", (F.col("resolution") >= 1.0) & F.coalesce(F.col("completeness") >= 0.95, F.lit(True)))
 
 
+def failing_gates(report: DataFrame, resolution: float = 1.0, completeness: float = 0.95) -> DataFrame:
+    """Gate, value, floor of the gates that a citation report fails; a completeness that was not measured fails nothing."""
+    gate = lambda name, floor: F.when(F.col(name) < floor, F.struct(F.lit(name).alias("gate"), F.col(name).alias("value"), F.lit(floor).alias("floor")))
+    found = F.array_compact(F.array(gate("resolution", resolution), gate("completeness", completeness)))
+    return report.select(F.explode(found).alias("g")).select("g.*")
+
+
 def lower_bound(successes: Column, trials: Column, confidence: float = 0.95, steps: int = 50) -> Column:
     """One-sided exact (Clopper-Pearson) lower bound of a rate, by bisection on the binomial tail.
 

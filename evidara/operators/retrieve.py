@@ -90,10 +90,12 @@ def object_topk(scores: DataFrame, k: int = K) -> DataFrame:
 
 
 def dense_scores(plan_vectors: DataFrame, vectors: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(cosine + 1) / 2 of allowed windows that have a vector."""
-    v = vectors.filter(F.col("vector").isNotNull()).select("representation_id", "vector")
-    met = allowed.select("plan_id", "representation_id", "object_id").join(v, "representation_id").join(plan_vectors, "plan_id")
-    return met.select("plan_id", "representation_id", "object_id", F.round((C.cosine(F.col("query_vector"), F.col("vector")) + 1) / 2, PLACES).alias("score"))
+    """(cosine + 1) / 2 of allowed windows that have a vector; a vector's length is computed once, before it meets others."""
+    v = vectors.filter(F.col("vector").isNotNull()).select("representation_id", "vector", C.norm(F.col("vector")).alias("size"))
+    q = plan_vectors.select("plan_id", "query_vector", C.norm(F.col("query_vector")).alias("query_size"))
+    sizes = F.col("query_size") * F.col("size")
+    met = allowed.select("plan_id", "representation_id", "object_id").join(v, "representation_id").join(q, "plan_id")
+    return met.select("plan_id", "representation_id", "object_id", F.round((F.when(sizes == 0, 0.0).otherwise(C.dot(F.col("query_vector"), F.col("vector")) / sizes) + 1) / 2, PLACES).alias("score"))
 
 
 def window_budget(scores: DataFrame) -> DataFrame:

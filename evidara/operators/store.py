@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,55 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str], update: list[st
     return t.join(s, key, "full_outer").select(*key, *(pick(c).alias(c) for c in cols))
 
 
+#: What a table takes from new rows of known keys; the links of objects and windows take nothing.
+UPDATED = {
+    "sources": ["approval_state", "has_rights", "scanned"],
+    "objects": ["approval_state", "retired"],
+    "windows": ["vector", "model", "model_version"],
+    "links": [],
+}
+
+
+def licence_problems(sources: DataFrame, licence: list[str] | None) -> DataFrame:
+    """source_id, problem of the sources that may not be loaded together under this licence, or without one.
+
+    A licence must name every source that is loaded, and a quarantined source needs one.
+    """
+    if licence is None:
+        problem = F.when(F.col("approval_state") == "quarantined", F.lit("quarantined without a licence"))
+    else:
+        problem = F.when(~F.col("source_id").isin(licence), F.lit("not named by the licence"))
+    return sources.select("source_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def union_last(parts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of all parts, of each key that of the last part that has it; a key is once in a part."""
+    cols = parts[0].columns
+    rows = reduce(DataFrame.unionByName, (p.select(*cols).withColumn("_part", F.lit(n)) for n, p in enumerate(parts)))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "_part").alias("row"))
+    return last.select("row.*")
+
+
+def load_corpus(artefacts: list[dict[str, DataFrame]], licence: list[str] | None = None) -> dict[str, DataFrame]:
+    """One corpus of artefacts (sources, objects, blocks each), or an error that names a source that may not be in it."""
+    out = {t: union_last([a[t] for a in artefacts], key) for t, key in (("sources", "source_id"), ("objects", "object_id"), ("blocks", "block_id"))}
+    bad = licence_problems(out["sources"], licence).orderBy("source_id").first()
+    if bad is not None:
+        raise PermissionError(f"{bad['source_id']}: {bad['problem']}")
+    return out
+
+
+def attach_vectors(windows: DataFrame, made: DataFrame) -> DataFrame:
+    """Windows with the vector of their text, if one was made; made: text_hash (SHA-256, each once), vector, model."""
+    return windows.withColumn("text_hash", F.sha2("search_text", 256)).join(made.select("text_hash", "vector", "model"), "text_hash", "left").drop("text_hash")
+
+
+def nested_region(rows: DataFrame) -> DataFrame:
+    """Flat rows (page, x, y, width, height) with their region as one column; the rest stays as it is."""
+    flat = ("page", "x", "y", "width", "height")
+    return rows.withColumn("region", F.struct(*flat)).drop(*flat)
+
+
 def ordered_ids(links: DataFrame, owner: str) -> DataFrame:
     """The block ids of each owner in their order."""
     return links.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "block_id"))), lambda x: x["block_id"]).alias("block_ids"))
@@ -89,6 +139,31 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str, kind: str) -> D
     return texts.select(cache_key(model, kind, F.col("text")).alias("cache_key")).distinct().join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def cached_vectors(texts: DataFrame, cache: DataFrame, model: str, kind: str, read_only: bool = True) -> DataFrame:
+    """Texts with their cached vector; a text that a read-only cache lacks is an error, in another its vector is null."""
+    if read_only:
+        miss = cache_misses(texts, cache, model, kind).first()
+        if miss is not None:
+            raise LookupError(f"not in the read-only cache: {miss['cache_key']}")
+    return texts.withColumn("cache_key", cache_key(model, kind, F.col("text"))).join(cache.select("cache_key", "vector"), "cache_key", "left")
+
+
+def sheet_problems(marked: DataFrame, cases: DataFrame) -> DataFrame:
+    """Sheet, case_id, problem of marked sheets (sheet, case_id, reviewer, verdict, note).
+
+    A sheet is one person's judgement: one that names nobody or several is refused whole (case_id null). Of the others, rows without
+    case or verdict are passed over, unknown cases and disagreement without a note are problems.
+    """
+    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = marked.select("sheet", *(clean(c).alias(c) for c in ("case_id", "reviewer", "verdict", "note")))
+    names = rows.groupBy("sheet").agg(F.count_distinct(F.when(F.col("reviewer") != "", F.col("reviewer"))).alias("reviewers"))
+    whole = names.filter("reviewers <> 1").select("sheet", F.lit(None).cast("string").alias("case_id"), F.lit("not exactly one reviewer").alias("problem"))
+    known = cases.select(F.col("case_id").cast("string").alias("case_id")).distinct().withColumn("known", F.lit(True))
+    kept = rows.filter("case_id <> '' AND verdict <> ''").join(names.filter("reviewers = 1").select("sheet"), "sheet", "left_semi").join(known, "case_id", "left")
+    problem = F.when(F.col("known").isNull(), "unknown case").when((F.lower("verdict") == "disagree") & (F.col("note") == ""), "disagreement without a note")
+    return whole.unionByName(kept.select("sheet", "case_id", problem.alias("problem")).filter("problem IS NOT NULL"))
+
+
 def correction_status(corrections: DataFrame, blocks: DataFrame) -> DataFrame:
     """Whether a reviewed correction (block_id, was, now) applies, is applied already, or meets another text."""
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))

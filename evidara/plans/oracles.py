@@ -265,6 +265,8 @@ _box = """SELECT *, w > 0 AND h > 0 AS ok, greatest(0.0, least(1.0, least(l, r)
 PARTS["boxes"] = f"SELECT id, w AS pw, h AS ph, CASE WHEN ok THEN least(x0, 1 - greatest(x1 - x0, 1e-6)) END AS x, CASE WHEN ok THEN least(y0, 1 - greatest(y1 - y0, 1e-6)) END AS y, CASE WHEN ok THEN greatest(x1 - x0, 1e-6) END AS width, CASE WHEN ok THEN greatest(y1 - y0, 1e-6) END AS height FROM ({_box})"
 PARTS["reading"] = "SELECT object_id AS document_id, page, block_type, coalesce(nullif(text, ''), latex) AS text, pos FROM blocks"
 PARTS["poor"] = "SELECT document_id, page, CASE WHEN page % 2 = 0 THEN 'paragraph' ELSE block_type END AS block_type, text, pos FROM reading WHERE NOT (page % 3 = 0 AND pos % 2 = 0 OR page % 5 = 0)"
+PARTS["sheet_rows"] = "SELECT *, CASE WHEN sheet = 'r1-3' AND case_id % 2 = 1 THEN 'r9' WHEN sheet <> 'r2-4' THEN reviewer END AS who FROM (SELECT *, reviewer || '-' || (case_id % 5) AS sheet FROM reviews)"
+PARTS["sheet_names"] = "SELECT sheet, count(DISTINCT who) AS people FROM sheet_rows GROUP BY sheet"
 PARTS["reviews"] = """SELECT doc_id AS case_id, 'r1' AS reviewer, CASE WHEN quality = 1 THEN 'agree' ELSE 'disagree' END AS verdict, CASE WHEN doc_id % 2 = 0 THEN 'seen' END AS note FROM labels
     UNION ALL SELECT doc_id, 'r2', CASE WHEN doc_id % 7 = 0 THEN 'unsure' WHEN toxic = 0 THEN 'agree' ELSE 'disagree' END, 'why' FROM labels"""
 PARTS["cells"] = "SELECT CAST(l_orderkey % 997 AS VARCHAR) AS document_id, l_linenumber - 1 AS row, l_suppkey % 5 AS col, l_returnflag AS text, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS seq FROM lineitem"
@@ -285,6 +287,17 @@ QUERIES: dict[str, str] = {
     "gold_cases": _sel(f"case_id, query, {', '.join(AXES)}, holdout", "cases"),
     "object_blocks_agg": "SELECT object_id, string_agg(block_id, '|' ORDER BY pos) AS blocks FROM blocks GROUP BY object_id",
     "upsert_merge": "SELECT object_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN 'retired' ELSE approval_state END AS approval_state, heading_path FROM objects UNION ALL SELECT object_id || '-new', 'retired', 'changed' FROM objects WHERE doc_id % 6 = 0",
+    "upsert_sources": "SELECT source_id, CASE WHEN n % 6 = 3 THEN 'retired' ELSE approval_state END AS approval_state, n % 6 <> 3 AND has_rights AS has_rights, n % 6 = 3 OR scanned AS scanned, edition FROM sources UNION ALL SELECT source_id || '-new', 'retired', false, true, 'new' FROM sources WHERE n % 6 = 0",
+    "corpus_union": "SELECT object_id, approval_state, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE heading_path END AS heading_path FROM objects WHERE doc_id % 2 = 0 OR doc_id % 3 <> 2",
+    "licence_coverage": f"SELECT source_id, 'quarantined without a licence' AS problem, 'none' AS licence FROM sources WHERE approval_state = 'quarantined' UNION ALL SELECT source_id, 'not named by the licence', 'given' FROM sources WHERE source_id NOT IN ({', '.join(repr(s) for s in T.LICENSED)})",
+    "attached_vectors": """SELECT w.representation_id, CASE WHEN m.h IS NULL THEN '' ELSE 'm1' END AS model, round(m.vector[1], 6) AS first FROM windows w
+        LEFT JOIN (SELECT x.search_text AS h, arg_max(v.vector, x.representation_id) AS vector FROM windows x JOIN vectors v ON v.representation_id = x.representation_id WHERE x.number = 1 AND v.vector IS NOT NULL GROUP BY h) m ON m.h = w.search_text""",
+    "block_regions": "SELECT block_id, page, (pos % 8) / 8 AS y, (pos % 8) / 8 + 0.125 AS bottom FROM blocks",
+    "sheet_import": """SELECT sheet, '' AS case_id, 'not exactly one reviewer' AS problem FROM sheet_names WHERE people <> 1
+        UNION ALL SELECT * FROM (SELECT n.sheet, CAST(n.case_id AS VARCHAR), CASE WHEN n.case_id % 11 = 0 OR n.case_id NOT IN (SELECT doc_id FROM documents) THEN 'unknown case' WHEN n.verdict = 'disagree' AND coalesce(n.note, '') = '' THEN 'disagreement without a note' END AS problem
+        FROM sheet_rows n JOIN sheet_names p ON p.sheet = n.sheet WHERE p.people = 1) WHERE problem IS NOT NULL""",
+    "citation_gates": """SELECT unnest(list_filter([CASE WHEN r < 1.0 THEN {'gate': 'resolution', 'value': r, 'floor': CAST(1.0 AS DOUBLE)} END, CASE WHEN k < 0.95 THEN {'gate': 'completeness', 'value': k, 'floor': CAST(0.95 AS DOUBLE)} END], lambda g: g IS NOT NULL), recursive := true)
+        FROM (SELECT round(avg(CAST(resolved AS INT)), 6) AS r, round(avg(gold_cited / gold_blocks) FILTER (answered AND gold_blocks > 0), 6) AS k FROM citations)""",
     "vector_parse": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS VARCHAR) AS DOUBLE))), 4) AS total FROM embeddings",
     "embedding_cache_misses": "SELECT DISTINCT 'm1:document:' || sha256(search_text) AS cache_key FROM windows WHERE search_text NOT IN (SELECT search_text FROM windows WHERE number = 1)",
     "html_page_text": None,

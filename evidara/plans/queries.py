@@ -183,6 +183,41 @@ def upsert_merge(c):
     return S.upsert(c.objects.select("object_id", "approval_state", "heading_path"), new, ["object_id"], ["approval_state"])
 
 
+@query
+def upsert_sources(c):
+    n, cols = F.col("n"), ["source_id", "approval_state", "has_rights", "scanned", "edition"]
+    new = c.sources.filter(n % 3 == 0).select(F.when(n % 2 == 0, F.concat("source_id", F.lit("-new"))).otherwise(F.col("source_id")).alias("source_id"), F.lit("retired").alias("approval_state"), F.lit(False).alias("has_rights"), F.lit(True).alias("scanned"), F.lit("new").alias("edition"))
+    return S.upsert(c.sources.select(*cols), new, ["source_id"], S.UPDATED["sources"])
+
+
+@query
+def corpus_union(c):
+    first, second = c.objects.filter(F.col("doc_id") % 3 != 2), c.objects.filter(F.col("doc_id") % 2 == 0).withColumn("heading_path", F.lit("second"))
+    cols = ["object_id", "approval_state", "heading_path"]
+    return S.union_last([first.select(*cols), second.select(*cols)], "object_id")
+
+
+@query
+def licence_coverage(c):
+    found = [S.licence_problems(c.sources, licence).withColumn("licence", F.lit(name)) for name, licence in (("none", None), ("given", T.LICENSED))]
+    return found[0].unionByName(found[1])
+
+
+@query
+def attached_vectors(c):
+    w = c.windows.filter("number = 1").join(c.vectors.select("representation_id", "vector"), "representation_id").filter("vector IS NOT NULL")
+    made = w.groupBy(F.sha2("search_text", 256).alias("text_hash")).agg(F.max_by("vector", "representation_id").alias("vector")).withColumn("model", F.lit("m1"))
+    got = S.attach_vectors(c.windows.select("representation_id", "search_text"), made)
+    return got.select("representation_id", F.coalesce("model", F.lit("")).alias("model"), F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
+@query
+def block_regions(c):
+    p = F.col("pos") % 8
+    flat = c.blocks.select("block_id", "page", F.lit(0.125).alias("x"), (p / 8).alias("y"), F.lit(0.75).alias("width"), F.lit(0.125).alias("height"))
+    return S.nested_region(flat).select("block_id", long("region.page").alias("page"), F.col("region.y").alias("y"), (F.col("region.y") + F.col("region.height")).alias("bottom"))
+
+
 @query
 def vector_parse(c):
     v = c.table("embeddings").select("vec_id", F.to_json("embedding").alias("raw"))
@@ -237,6 +272,16 @@ def review_import(c):
     return r.groupBy("reviewer", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("verdict") == "disagree") & F.col("note").isNull()).alias("without_note"))
 
 
+@query
+def sheet_import(c):
+    d = F.col("case_id")
+    rows = c.reviews().withColumn("sheet", F.concat_ws("-", "reviewer", (d % 5).cast("string")))
+    name = F.when((F.col("sheet") == "r1-3") & (d % 2 == 1), "r9").when(F.col("sheet") != "r2-4", F.col("reviewer"))
+    rows = rows.select("sheet", d.cast("string").alias("case_id"), name.alias("reviewer"), "verdict", "note")
+    known = c.table("documents").filter(F.col("doc_id") % 11 != 0).select(F.col("doc_id").alias("case_id"))
+    return S.sheet_problems(rows, known).withColumn("case_id", F.coalesce("case_id", F.lit("")))
+
+
 @query
 def chapter_text(c):
     own = W.searchable(c.blocks)
@@ -743,6 +788,11 @@ def citation_report(c):
     return E.citation_report(c.citations)
 
 
+@query
+def citation_gates(c):
+    return E.failing_gates(E.citation_report(c.citations))
+
+
 @query
 def clopper_pearson(c):
     n = c.table("orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "P").alias("s"), F.count(F.lit(1)).alias("all"))

@@ -14,15 +14,51 @@ from ..operators import retrieve as R
 from ..sources import testdata as T
 from ..sources import vocabulary as V
 
-LONGEST_QUERY = 2000
+LONGEST_QUERY, LONGEST_LEARNER = 2000, 128
+#: Fixed: what a request may say. The tenant is not among it.
+FIELDS = (
+    "interaction_id", "at", "token", "query", "grade", "subject", "curriculum_version", "board", "concept_ids", "teaching_action",
+    "assessment_state", "learner_state", "language", "modality", "learner_id",
+)
+#: Fixed: the whole phrase that lends unapproved sources to a pilot.
+LEND = "yes-i-accept-unapproved-content"
+
+
+def configuration(settings: dict[str, str]) -> dict:
+    """What serving starts with: floor, ceiling, manifest, tokens (token: tenant) and whether it is a pilot.
+
+    Nothing that decides an answer has a default: a missing floor, ceiling, manifest or token is an error.
+    """
+    told = {k: v.strip() for k, v in settings.items()}
+    missing = [k for k in ("floor", "ceiling", "manifest", "tokens") if not told.get(k, "").strip(",")]
+    if missing:
+        raise ValueError(f"serving needs {', '.join(missing)}")
+    tokens = {}
+    for pair in filter(None, (p.strip() for p in told["tokens"].split(","))):
+        token, _, tenant = pair.partition(":")
+        if not (token and tenant):
+            raise ValueError("tokens are token:tenant pairs between commas")
+        tokens[token] = tenant
+    if not tokens:
+        raise ValueError("serving needs tokens")
+    return {"floor": float(told["floor"]), "ceiling": float(told["ceiling"]), "manifest": told["manifest"], "tokens": tokens, "pilot": settings.get("lend") == LEND}
 
 
 def checked(requests: DataFrame, tokens: dict[str, str]) -> DataFrame:
-    """Requests with their tenant, which the token alone decides, and the status that bars them, if any."""
+    """Requests with their tenant, which the token alone decides, and the status that bars them, if any.
+
+    A request with a value in a field that is not of FIELDS, a tenant among them, is refused; such columns go.
+    """
     tenant = V.lookup(tokens, F.col("token"))
-    n = F.length(F.coalesce("query", F.lit("")))
-    status = F.when(tenant.isNull(), 401).when((n < 1) | (n > LONGEST_QUERY), 422).otherwise(200)
-    return requests.withColumn("tenant", tenant).withColumn("http", status)
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    bad = (size("query") < 1) | (size("query") > LONGEST_QUERY)
+    if "learner_id" in requests.columns:
+        bad = bad | (size("learner_id") > LONGEST_LEARNER)
+    extra = [c for c in requests.columns if c not in FIELDS]
+    for c in extra:
+        bad = bad | F.col(c).isNotNull()
+    status = F.when(tenant.isNull(), 401).when(bad, 422).otherwise(200)
+    return requests.withColumns({"_tenant": tenant, "http": status}).drop(*extra).withColumnRenamed("_tenant", "tenant")
 
 
 def answer(corpus, requests: DataFrame, tokens: dict[str, str], floor: float = 0.35, ceiling: float = 0.6, pilot: bool = False) -> DataFrame:

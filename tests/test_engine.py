@@ -286,3 +286,56 @@ def test_values_with_the_sign_between_axes(spark):
     rows = spark.createDataFrame([(*axes.values(), False, False, False, 0) for _ in range(3)], ", ".join(f"{a} {'boolean' if a == 'answerable' else 'string'}" for a in axes) + ", hit_candidates boolean, hit_pack boolean, abstained boolean, violations long")
     failing = E.failing_slices(E.slice_scores(rows).filter("slice in ('grade×modality=7×8×x', 'grade=7×8')"), 1)
     assert [r["slice"] for r in E.distinctive_failures(failing).collect()] == ["grade=7×8"]
+
+
+def test_artefacts_become_one_corpus(spark):
+    mk = lambda rows, cols: spark.createDataFrame(rows, cols)
+    s, o, b = "source_id string, approval_state string", "object_id string, text string", "block_id string, text string"
+    one = {"sources": mk([("s1", "approved")], s), "objects": mk([("o1", "old"), ("o2", "x")], o), "blocks": mk([("b1", None)], b)}
+    two = {"sources": mk([("s2", "quarantined")], s), "objects": mk([("o1", "new")], o), "blocks": mk([], b)}
+    with pytest.raises(PermissionError, match="s2: quarantined"):
+        S.load_corpus([one, two])
+    with pytest.raises(PermissionError, match="s1: not named"):
+        S.load_corpus([one, two], ["s2"])
+    got = S.load_corpus([one, two], ["s1", "s2"])
+    assert sorted(map(tuple, got["objects"].collect())) == [("o1", "new"), ("o2", "x")] and got["blocks"].collect() == [("b1", None)]
+    assert S.load_corpus([one])["sources"].count() == 1
+
+
+def test_vectors_regions_and_caches(spark):
+    windows = spark.createDataFrame([("w1", "a"), ("w2", "a"), ("w3", "b")], "representation_id string, search_text string")
+    made = spark.createDataFrame([("a", [1.0], "m")], "t string, vector array<double>, model string").withColumn("text_hash", F.sha2("t", 256))
+    assert sorted((r.representation_id, r.vector) for r in S.attach_vectors(windows, made).collect()) == [("w1", [1.0]), ("w2", [1.0]), ("w3", None)]
+    flat = spark.createDataFrame([("b", 3, 0.1, 0.2, 0.3, 0.4)], "block_id string, page int, x double, y double, width double, height double")
+    assert S.nested_region(flat).select("block_id", "region.*").collect() == flat.collect()
+    texts = spark.createDataFrame([("a",), ("b",)], "text string")
+    cache = texts.filter("text = 'a'").select(S.cache_key("m", "document", F.col("text")).alias("cache_key"), F.array(F.lit(1.0)).alias("vector"))
+    with pytest.raises(LookupError):
+        S.cached_vectors(texts, cache, "m", "document")
+    assert {r.text: r.vector for r in S.cached_vectors(texts, cache, "m", "document", read_only=False).collect()} == {"a": [1.0], "b": None}
+
+
+def test_a_sheet_has_one_reviewer(spark):
+    rows = [("one", "c1", " ann ", "agree", None), ("one", "c9", "ann", "agree", ""), ("one", "c2", "", "Disagree", " "), ("one", None, "ann", "agree", ""), ("one", "c1", "ann", "", ""), ("two", "c1", "ann", "agree", ""), ("two", "c2", "bob", "disagree", ""), ("none", "c1", None, "agree", "")]
+    marked = spark.createDataFrame(rows, "sheet string, case_id string, reviewer string, verdict string, note string")
+    got = S.sheet_problems(marked, spark.createDataFrame([("c1",), ("c2",)], "case_id string"))
+    assert {tuple(r) for r in got.collect()} == {("one", "c9", "unknown case"), ("one", "c2", "disagreement without a note"), ("two", None, "not exactly one reviewer"), ("none", None, "not exactly one reviewer")}
+
+
+def test_failing_gates_are_named(spark):
+    report = spark.createDataFrame([(0.9, 0.94), (1.0, None), (1.0, 0.95)], "resolution double, completeness double")
+    assert sorted(r.gate for r in E.failing_gates(report).collect()) == ["completeness", "resolution"]
+
+
+def test_requests_and_settings(spark):
+    from evidara.streaming import serve
+
+    rows = [("a", "q", "t", None, "x"), ("b", "", "t", None, "x"), ("c", "q" * 2001, "t", None, "x"), ("d", "q", "no", None, "x"), ("e", "q", "t", "other", "x"), ("f", "q", "t", None, "y" * 129), ("g", None, "t", None, None)]
+    got = serve.checked(spark.createDataFrame(rows, "interaction_id string, query string, token string, tenant string, learner_id string"), {"t": "mine"})
+    assert {r.interaction_id: (r.http, r.tenant) for r in got.collect()} == {"a": (200, "mine"), "b": (422, "mine"), "c": (422, "mine"), "d": (401, None), "e": (422, "mine"), "f": (422, "mine"), "g": (422, "mine")}
+    told = {"floor": "0.3", "ceiling": "0.6", "manifest": "m", "tokens": "t:mine, u:yours,"}
+    assert serve.configuration(told) == {"floor": 0.3, "ceiling": 0.6, "manifest": "m", "tokens": {"t": "mine", "u": "yours"}, "pilot": False}
+    assert serve.configuration(told | {"lend": serve.LEND})["pilot"] and not serve.configuration(told | {"lend": "yes"})["pilot"]
+    for bad in ({"floor": " "}, {"manifest": ""}, {"tokens": ", ,"}, {"tokens": "t"}, {"tokens": ":x"}, {"ceiling": "high"}):
+        with pytest.raises(ValueError):
+            serve.configuration(told | bad)
