@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .hashing import Batch, chunks
 from .scratch import small_batches
 
-DIM = 1 << 13
+DIM = 1 << 14
 #: Bound on the rows that the classifier is fitted on, shared evenly by the languages; but LEAST_OF_EACH of every language.
-SAMPLE_ROWS, LEAST_OF_EACH = 1500, 5
+SAMPLE_ROWS, LEAST_OF_EACH = 2000, 5
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -145,13 +145,15 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5, fold:
     def run(batches):
         for pdf in batches:
             for part in chunks(pdf, most=500_000):
-                yield pd.DataFrame({"x": [v.astype(np.float16).tobytes() for v in features(part["text"].tolist())], "lang": part["lang"].to_numpy()})
+                for lang, v in zip(part["lang"], features(part["text"].tolist())):
+                    at = np.flatnonzero(v)
+                    yield pd.DataFrame({"at": [at.astype("<u2").tobytes()], "x": [v[at].astype(np.float16).tobytes()], "lang": [lang]})
 
-    got = rows.mapInPandas(run, "x binary, lang string").collect() if rows is not None else []
-    got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
+    got = rows.mapInPandas(run, "at binary, x binary, lang string").collect() if rows is not None else []
+    got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["x"])))
     x = np.zeros((len(got), DIM), dtype=np.float32)
     for i, r in enumerate(got):
-        x[i] = np.frombuffer(r["x"], dtype=np.float16)
+        x[i, np.frombuffer(r["at"], dtype="<u2")] = np.frombuffer(r["x"], dtype=np.float16)
     return Model(x, [r["lang"] for r in got])
 
 
