@@ -25,8 +25,8 @@ RELATION = r"(?s)[A-Za-z0-9].*(?:[=<>≤≥→]|->|rightarrow).*[A-Za-z0-9]"
 
 
 def collapse(text: Column) -> Column:
-    """White space runs become one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space runs become one space, none at the ends, where no other space of Unicode stays either."""
+    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
 def tokens(text: Column) -> Column:

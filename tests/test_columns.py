@@ -115,6 +115,12 @@ def test_html(spark):
     assert value(spark, P.tag_bodies(F.col("t"), "p"), t=("string", html)) == ["a < b", "two\nlines & more"]
 
 
+def test_page_text_ends_without_spaces_of_any_kind(spark):
+    html = "&#5760;<p>&nbsp;&#8195;a&nbsp;b</p><b>&#8195;c &#8203;&#8239;&#8287;</b>"
+    assert value(spark, P.page_text(F.col("t")), t=("string", html)) == "a\u00a0b \u2003c \u200b"
+    assert value(spark, P.page_text(F.col("t")), t=("string", "<i>&#12288;</i>")) == ""
+
+
 def test_table_markdown(spark):
     m = lambda rows: value(spark, P.markdown(F.col("t")), t=("array<array<string>>", rows))
     assert m([["a|b", "c"], ["d"]]) == "| a\\|b | c |\n|---|---|\n| d |  |" and m([]) == ""
