@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .access import CURRICULUM, OF_OBJECT, OF_PLAN, may
 
 K1, B, PLACES, K = 1.2, 0.75, 9, 20
 #: Hybrid: constant of reciprocal rank fusion. Windows an object may fill, and how near to its best they must be.
 FUSION, BUDGET_WINDOWS, BUDGET_GAP = 60, 3, 0.02
-
-
-def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf."""
-    return rows.select(key, F.explode(C.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Rows of queries that are sent to every task.
+FEW = 100_000
 
 
 def top(rows: DataFrame, by: list[str], k: int | None, *order: Column) -> DataFrame:
@@ -56,27 +54,81 @@ def keyword_scores(plans: DataFrame, docs: DataFrame, key: str, text: Column, al
     return hit.join(mass, "plan_id").select("plan_id", key, F.round(F.col("got") / F.col("mass"), PLACES).alias("score"))
 
 
-def bm25_stats(windows: DataFrame) -> DataFrame:
-    """Term, df, w over all windows."""
-    p = postings(windows, "representation_id", F.col("search_text"))
+def frequencies(windows: DataFrame) -> DataFrame:
+    """term, df over all windows. Texts are dealt by window once, so that no word travels with its window's id."""
+    own = windows.select("representation_id", "search_text").repartition("representation_id")
+    return own.select("representation_id", F.explode(F.array_distinct(C.tokens(F.col("search_text")))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def bm25_stats(windows: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """Term, df, w over all windows; df: their ``frequencies``, if they are there already."""
+    df = frequencies(windows) if df is None else df
     n = windows.agg(F.count(F.lit(1)).alias("n"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.greatest(F.lit(0.0), raw).alias("w"))
 
 
-def bm25_scores(plans: DataFrame, windows: DataFrame, allowed: DataFrame) -> DataFrame:
-    """BM25 of allowed windows over the scoped query's ceiling; statistics over all windows. Only scores above 0."""
-    p = postings(windows, "representation_id", F.col("search_text"))
-    size = windows.select("representation_id", "object_id", F.size(C.tokens(F.col("search_text"))).alias("len"))
-    mean = size.agg(F.avg("len").alias("mean"))
-    q = weighted(query_terms(plans, "scoped"), bm25_stats(windows).select("term", "w"))
-    ceiling = q.groupBy("plan_id").agg((F.sum("w") * (K1 + 1) / K1).alias("ceiling"))
+def bm25_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """plan_id, term, w of the scoped queries, with the query's ceiling (total) and the mean length; statistics over all windows."""
+    mean = windows.agg(F.avg(F.size(C.tokens(F.col("search_text")))).alias("mean"))
+    q = weighted(query_terms(plans, "scoped"), bm25_stats(windows, df).select("term", "w"))
+    return q.join(q.groupBy("plan_id").agg((F.sum("w") * (K1 + 1) / K1).alias("total")), "plan_id").crossJoin(F.broadcast(mean))
+
+
+def keyword_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """plan_id, term, w of the raw queries, with the query's idf mass (total); statistics over all windows that have a word, as R1 has them."""
+    df = frequencies(windows) if df is None else df
+    n = windows.filter(F.size(C.tokens(F.col("search_text"))) > 0).agg(F.count_distinct("representation_id").alias("n"))
+    weights = df.crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("w"))
+    q = weighted(query_terms(plans, "query"), weights)
+    return q.join(q.groupBy("plan_id").agg(F.sum("w").alias("total")), "plan_id")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, sent to every task if they are at most FEW, which is counted first; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
+def matched(plans: DataFrame, terms: DataFrame, windows: DataFrame, objects: DataFrame) -> DataFrame:
+    """plan_id, representation_id, object_id, len, tf and what ``terms`` holds, of every term that a plan's query shares with a window it may see.
+
+    objects: ``access.scoped``. A window meets only queries that may see it, and stays in the task of its object, where all of an object's
+    scores are then summed and ranked without another shuffle.
+    """
+    own = windows.select("object_id", "representation_id", "search_text").join(objects, "object_id")
+    own = own.withColumn("tokens", C.tokens(F.col("search_text")))
+    words = own.select("object_id", "representation_id", *CURRICULUM, *OF_OBJECT, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    asked = words.join(few(terms.select("term").distinct()), "term", "left_semi")
+    tf = asked.groupBy("object_id", "representation_id", "len", *CURRICULUM, *OF_OBJECT, "term").agg(F.count(F.lit(1)).alias("tf"))
+    q = terms.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id")
+    return tf.join(few(q), [*CURRICULUM, "term"]).filter(may())
+
+
+def matched_pairs(terms: DataFrame, windows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The same for given pairs (plan_id, representation_id), which should be few windows a plan."""
+    own = windows.select("object_id", "representation_id", "search_text").join(allowed.select("plan_id", "representation_id"), "representation_id")
+    own = own.withColumn("tokens", C.tokens(F.col("search_text")))
+    words = own.select("plan_id", "object_id", "representation_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    return words.groupBy("plan_id", "object_id", "representation_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).join(terms, ["plan_id", "term"])
+
+
+def bm25_of(hits: DataFrame) -> DataFrame:
+    """BM25 over the scoped query's ceiling, of ``matched`` terms. Only scores above 0."""
     norm = K1 * (1 - B + B * F.col("len") / F.col("mean"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    hit = p.join(q, "term").join(allowed.select("plan_id", "representation_id"), ["plan_id", "representation_id"]).join(size, "representation_id").crossJoin(F.broadcast(mean))
-    got = hit.groupBy("plan_id", "representation_id", "object_id").agg(F.sum(part).alias("got")).join(ceiling, "plan_id")
-    return got.select("plan_id", "representation_id", "object_id", F.round(F.col("got") / F.col("ceiling"), PLACES).alias("score")).filter("score > 0")
+    got = hits.groupBy("plan_id", "representation_id", "object_id").agg(F.sum(part).alias("got"), F.max("total").alias("total"))
+    return got.select("plan_id", "representation_id", "object_id", F.round(F.col("got") / F.col("total"), PLACES).alias("score")).filter("score > 0")
+
+
+def keyword_of(hits: DataFrame) -> DataFrame:
+    """Share of the raw query's idf mass that a window holds, of ``matched`` terms."""
+    got = hits.groupBy("plan_id", "representation_id", "object_id").agg(F.sum("w").alias("got"), F.max("total").alias("total"))
+    return got.select("plan_id", "representation_id", "object_id", F.round(F.col("got") / F.col("total"), PLACES).alias("score"))
+
+
+def bm25_scores(plans: DataFrame, windows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """R5 of given pairs; statistics over all windows."""
+    return bm25_of(matched_pairs(bm25_terms(plans, windows), windows, allowed))
 
 
 def best_window(scores: DataFrame) -> DataFrame:
@@ -91,13 +143,34 @@ def object_topk(scores: DataFrame, k: int = K) -> DataFrame:
 
 def dense_scores(plan_vectors: DataFrame, vectors: DataFrame, allowed: DataFrame) -> DataFrame:
     """(cosine + 1) / 2 of allowed windows that have a vector; a vector's length is computed once, before it meets others."""
-    v = vectors.filter(F.col("vector").isNotNull()).select("representation_id", "vector", C.norm(F.col("vector")).alias("size"))
-    q = plan_vectors.select("plan_id", "query_vector", C.norm(F.col("query_vector")).alias("query_size"))
+    v, q = _sized(plan_vectors, vectors)
+    return _dense(allowed.select("plan_id", "representation_id", "object_id").join(v.drop("object_id"), "representation_id").join(q, "plan_id"))
+
+
+def dense_matched(plans: DataFrame, plan_vectors: DataFrame, vectors: DataFrame, objects: DataFrame) -> DataFrame:
+    """R7 of all windows that a plan may see. objects: ``access.scoped``. As in ``matched``, all of an object's scores are in one task."""
+    v, q = _sized(plan_vectors, vectors)
+    q = q.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id")
+    return _dense(v.join(objects, "object_id").join(few(q), CURRICULUM).filter(may()))
+
+
+def _sized(plan_vectors: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    v = vectors.filter(F.col("vector").isNotNull()).select("representation_id", "object_id", "vector", C.norm(F.col("vector")).alias("size"))
+    return v, plan_vectors.select("plan_id", "query_vector", C.norm(F.col("query_vector")).alias("query_size"))
+
+
+def _dense(met: DataFrame) -> DataFrame:
     sizes = F.col("query_size") * F.col("size")
-    met = allowed.select("plan_id", "representation_id", "object_id").join(v, "representation_id").join(q, "plan_id")
     return met.select("plan_id", "representation_id", "object_id", F.round((F.when(sizes == 0, 0.0).otherwise(C.dot(F.col("query_vector"), F.col("vector")) / sizes) + 1) / 2, PLACES).alias("score"))
 
 
+def skipped(plans: DataFrame, vectors: DataFrame, objects: DataFrame) -> DataFrame:
+    """plan_id, skipped, windows: of the windows that a plan may see, how many have no vector, counted for all objects alike before plans meet them."""
+    kinds = vectors.join(objects, "object_id").groupBy(*CURRICULUM, *OF_OBJECT).agg(F.count_if(F.col("vector").isNull()).alias("without"), F.count(F.lit(1)).alias("n"))
+    met = kinds.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), CURRICULUM).filter(may())
+    return met.groupBy("plan_id").agg(F.sum("without").alias("skipped"), F.sum("n").alias("windows"))
+
+
 def window_budget(scores: DataFrame) -> DataFrame:
     """At most BUDGET_WINDOWS windows an object, each within BUDGET_GAP of its best."""
     w = Window.partitionBy("plan_id", "object_id")

@@ -36,26 +36,43 @@ class Bench(T.Corpus):
     def allowed_windows(self) -> DataFrame:
         return cut(A.authorised_windows(self.allowed, self.windows))
 
+    @cached_property
+    def scoped(self) -> DataFrame:
+        return cut(A.scoped(self.objects, self.sources, T.LICENSED))
+
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        return cut(R.frequencies(self.windows))
+
+    @cached_property
+    def bm25_terms(self) -> DataFrame:
+        return cut(R.bm25_terms(self.plans, self.windows, self.frequencies))
+
     @cached_property
     def bm25(self) -> DataFrame:
-        return cut(R.bm25_scores(self.plans, self.windows, self.allowed_windows))
+        """All scores, which no query but their own writes out."""
+        return R.bm25_of(R.matched(self.plans, self.bm25_terms, self.windows, self.scoped))
 
     @cached_property
     def bm25_items(self) -> DataFrame:
         return cut(R.object_topk(self.bm25))
 
     @cached_property
-    def keyword_windows(self) -> DataFrame:
-        got = R.keyword_scores(self.plans, self.windows, "representation_id", F.col("search_text"), self.allowed_windows.select("plan_id", "representation_id"))
-        return cut(got.join(self.windows.select("representation_id", "object_id"), "representation_id").select("plan_id", "representation_id", "object_id", "score"))
+    def keyword_terms(self) -> DataFrame:
+        return cut(R.keyword_terms(self.plans, self.windows, self.frequencies))
 
     @cached_property
     def keyword_items(self) -> DataFrame:
-        return cut(R.object_topk(self.keyword_windows))
+        return cut(R.object_topk(R.keyword_of(R.matched(self.plans, self.keyword_terms, self.windows, self.scoped))))
 
     @cached_property
     def dense(self) -> DataFrame:
-        return cut(R.dense_scores(self.plan_vectors, self.vectors, self.allowed_windows))
+        """All scores, which no query but their own writes out."""
+        return R.dense_matched(self.plans, self.plan_vectors, self.vectors, self.scoped)
+
+    @cached_property
+    def dense_items(self) -> DataFrame:
+        return cut(R.dense_topk(self.dense))
 
     @cached_property
     def query_plans(self) -> DataFrame:
@@ -71,7 +88,10 @@ class Bench(T.Corpus):
 
     @cached_property
     def siblings(self) -> DataFrame:
-        return cut(D.siblings(self.packed, self.bm25, self.keyword_windows, FLOOR))
+        of = cut(self.packed.select("plan_id", "object_id").join(self.windows.select("object_id", "representation_id"), "object_id"))
+        seen = R.matched_pairs(self.keyword_terms, self.windows, of).select("plan_id", "representation_id")
+        other = seen.unionByName(self.keyword_items.select("plan_id", "representation_id")).distinct()
+        return cut(D.siblings(self.packed, R.bm25_of(R.matched_pairs(self.bm25_terms, self.windows, of)), other, FLOOR))
 
     @cached_property
     def packs(self) -> DataFrame:
@@ -568,7 +588,7 @@ def window_keyword_topk(c):
 
 @query
 def bm25_stats(c):
-    return R.bm25_stats(c.windows).select("term", "df", F.round("w", 6).alias("w"))
+    return R.bm25_stats(c.windows, c.frequencies).select("term", "df", F.round("w", 6).alias("w"))
 
 
 @query
@@ -593,17 +613,18 @@ def window_budget(c):
 
 @query
 def dense_topk(c):
-    return R.dense_topk(c.dense)
+    return c.dense_items
 
 
 @query
 def dense_skipped(c):
-    return c.allowed_windows.join(c.vectors.select("representation_id", "vector"), "representation_id").groupBy("plan_id").agg(F.count_if(F.col("vector").isNull()).alias("skipped"), F.count(F.lit(1)).alias("windows"))
+    return R.skipped(c.plans, c.vectors, c.scoped)
 
 
 @query
 def hybrid_rrf_topk(c):
-    return R.hybrid_topk(c.bm25_items, R.dense_topk(c.dense), c.dense)
+    shown = c.bm25_items.select("plan_id", "representation_id", "object_id").unionByName(c.dense_items.select("plan_id", "representation_id", "object_id")).distinct()
+    return R.hybrid_topk(c.bm25_items, c.dense_items, R.dense_scores(c.plan_vectors, c.vectors, shown))
 
 
 @query
@@ -647,7 +668,7 @@ def query_plans(c):
 
 @query
 def top_objects(c):
-    return D.top_objects(R.dense_topk(c.dense)).select("plan_id", "object_rank", "object_id", "representation_id", "score")
+    return D.top_objects(c.dense_items).select("plan_id", "object_rank", "object_id", "representation_id", "score")
 
 
 @query

@@ -13,6 +13,7 @@ from ..operators import decide as D
 from ..operators import retrieve as R
 from ..sources import testdata as T
 from ..sources import vocabulary as V
+from ..sources.stage import cut
 
 LONGEST_QUERY, LONGEST_LEARNER = 2000, 128
 #: Fixed: what a request may say. The tenant is not among it.
@@ -73,11 +74,9 @@ def answer(corpus, requests: DataFrame, tokens: dict[str, str], floor: float = 0
         F.col("interaction_id").alias("plan_id"), "query", C.scoped_query(F.col("query"), F.col("grade"), F.col("subject")).alias("scoped"), "grade", "subject", "tenant",
         F.lit("pilot").alias("board"), F.lit(T.VERSION).alias("version"), F.lit(V.DISCLOSURE_RANK[V.CEILING[state]]).alias("ceiling_rank"),
     )
-    allowed = A.authorised(plans, corpus.objects, corpus.sources, licence)
-    windows = A.authorised_windows(allowed, corpus.windows)
-    items = R.object_topk(R.bm25_scores(plans, corpus.windows, windows))
-    words = R.keyword_scores(plans, corpus.windows, "representation_id", F.col("search_text"), windows.select("plan_id", "representation_id"))
-    other = R.object_topk(words.join(corpus.windows.select("representation_id", "object_id"), "representation_id"))
+    objects, df = A.scoped(corpus.objects, corpus.sources, licence), corpus.frequencies
+    items = cut(R.object_topk(R.bm25_of(R.matched(plans, cut(R.bm25_terms(plans, corpus.windows, df)), corpus.windows, objects))))
+    other = cut(R.object_topk(R.keyword_of(R.matched(plans, cut(R.keyword_terms(plans, corpus.windows, df)), corpus.windows, objects))))
     decisions = D.gate(plans, items, other, corpus.windows, corpus.objects, floor, ceiling)
     packed = D.admitted(items, decisions).groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "representation_id"))), lambda x: x["representation_id"]), "|").alias("items"))
     out = rows.join(decisions.withColumnRenamed("plan_id", "interaction_id"), "interaction_id", "left").join(packed.withColumnRenamed("plan_id", "interaction_id"), "interaction_id", "left")

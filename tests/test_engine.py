@@ -4,6 +4,9 @@ import html
 import math
 import pathlib
 import random
+import re
+import shutil
+import uuid
 
 import pandas as pd
 import pytest
@@ -75,6 +78,56 @@ def small(spark):
     return o, s, p
 
 
+def seen_windows(spark):
+    o, s, p = small(spark)
+    p = p.withColumn("scoped", F.concat(F.lit("class 10 science, "), "query"))
+    w = o.select(F.explode(F.array(F.lit("1"), F.lit("2"))).alias("n"), "*").select(F.concat_ws(":", "object_id", "n").alias("representation_id"), "object_id", F.when(F.col("n") == "1", F.col("text")).otherwise(F.concat("text", F.lit(" Topic0w1, science; nothing else"))).alias("search_text"))
+    return p, w, A.scoped(o, s, ["s3"]), A.authorised_windows(A.authorised(p, o, s, ["s3"]), w)
+
+
+@pytest.mark.parametrize("few", [0, R.FEW])
+def test_windows_meet_only_queries_that_may_see_them(spark, monkeypatch, few):
+    monkeypatch.setattr(R, "FEW", few)
+    p, w, objects, allowed = seen_windows(spark)
+    q = R.bm25_terms(p, w)
+    rows = lambda df: sorted((r.plan_id, r.representation_id, r.object_id, r.score) for r in df.collect())
+    hits = R.matched(p, q, w, objects)
+    assert hits.join(allowed, ["plan_id", "representation_id"], "left_anti").count() == 0 < hits.count()
+    assert rows(R.bm25_of(hits)) == rows(R.bm25_scores(p, w, allowed))
+    got = R.keyword_of(R.matched(p, R.keyword_terms(p, w), w, objects))
+    want = R.keyword_scores(p, w, "representation_id", F.col("search_text"), allowed.select("plan_id", "representation_id"))
+    assert [(a, b, d) for a, b, _, d in rows(got)] == sorted((r.plan_id, r.representation_id, r.score) for r in want.collect())
+
+
+def test_scores_are_ranked_where_they_are_made(spark):
+    """What plans may see, plans times their share of the corpus, is never dealt out: texts go to their objects, and k rows of a plan to it."""
+    p, w, objects, _ = seen_windows(spark)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    [spark.conf.set(k, v) for k, v in zip(was, ("false", "-1"), strict=True)]
+    try:
+        path = "/tmp/" + uuid.uuid4().hex
+        for name, df in (("w", w), ("o", objects), ("q", R.bm25_terms(p, w)), ("p", p)):
+            df.write.parquet(f"{path}/{name}")
+        w, objects, q, p = (spark.read.parquet(f"{path}/{name}") for name in "woqp")
+        v = w.select("representation_id", "object_id", F.array(F.lit(1.0)).alias("vector"))
+        for scores in (R.bm25_of(R.matched(p, q, w, objects)), R.dense_matched(p, p.select("plan_id", F.array(F.lit(1.0)).alias("query_vector")), v, objects)):
+            plan = R.object_topk(scores)._jdf.queryExecution().executedPlan().toString()
+            dealt = [re.sub(r"#\d+", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)]
+            assert [x for x in dealt if x.startswith("plan_id") and "object_id" not in x] and not [x for x in dealt if "plan_id" in x and ("object_id" in x or "representation_id" in x)], plan
+    finally:
+        [spark.conf.set(k, v) for k, v in was.items()]
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def test_skipped_windows_are_counted_for_all_objects_alike(spark):
+    p, w, objects, allowed = seen_windows(spark)
+    v = w.select("representation_id", "object_id", F.when(F.col("representation_id").endswith("1"), F.array(F.lit(1.0))).alias("vector"))
+    want = allowed.join(v.select("representation_id", "vector"), "representation_id").groupBy("plan_id").agg(F.count_if(F.col("vector").isNull()).alias("skipped"), F.count(F.lit(1)).alias("windows"))
+    assert {tuple(r) for r in R.skipped(p, v, objects).collect()} == {tuple(r) for r in want.collect()} != set()
+    q = p.select("plan_id", F.array(F.lit(0.5)).alias("query_vector"))
+    assert {tuple(r) for r in R.dense_matched(p, q, v, objects).collect()} == {tuple(r) for r in R.dense_scores(q, v, allowed).collect()} != set()
+
+
 def test_broken_retrievers_are_caught(spark):
     o, s, p = small(spark)
     allowed = A.authorised(p, o, s, []).cache()
