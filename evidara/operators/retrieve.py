@@ -229,36 +229,33 @@ def rerank(items: DataFrame, plans: DataFrame, texts: DataFrame, scorer, k: int
 def random_topk(allowed: DataFrame, seed: str, k: int = K) -> DataFrame:
     """A ranking that a hash of seed, plan and object shuffles."""
     key = F.sha2(F.concat_ws("|", F.lit(seed), "plan_id", "object_id"), 256)
-    n = F.count(F.lit(1)).over(Window.partitionBy("plan_id"))
-    ranked = top(allowed.select("plan_id", "object_id", n.alias("n"), key.alias("key")), ["plan_id"], k, F.asc("key"))
+    n = allowed.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = top(allowed.select("plan_id", "object_id", key.alias("key")), ["plan_id"], k, F.asc("key")).join(n, "plan_id")
     return ranked.select("plan_id", "object_id", F.round(1 - (F.col("rank") - 1) / F.col("n"), PLACES).alias("score"), "rank")
 
 
-def overlap(plans: DataFrame, objects: DataFrame) -> DataFrame:
-    """plan_id, object_id, share of the query's terms that an object has; no filter is applied."""
-    terms = objects.select("object_id", F.explode(F.array_distinct(C.tokens(F.concat_ws(" ", "heading_path", "text")))).alias("term"))
+def overlap(plans: DataFrame, objects: DataFrame, *more: str) -> DataFrame:
+    """plan_id, object_id, share of the query's terms that an object has, and more of the object; no filter is applied. An object's rows stay in one task."""
+    own = objects.select("object_id", *more, F.concat_ws(" ", "heading_path", "text").alias("whole")).repartition("object_id")
+    terms = own.select("object_id", *more, F.explode(F.array_distinct(C.tokens(F.col("whole")))).alias("term"))
     q = query_terms(plans, "query")
     n = q.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
-    return terms.join(q, "term").groupBy("plan_id", "object_id").agg(F.count(F.lit(1)).alias("hit")).join(n, "plan_id").select("plan_id", "object_id", (F.col("hit") / F.col("n")).alias("base"))
+    met = terms.join(few(q.join(n, "plan_id")), "term").groupBy("plan_id", "object_id", *more).agg(F.count(F.lit(1)).alias("hit"), F.max("n").alias("n"))
+    return met.select("plan_id", "object_id", *more, (F.col("hit") / F.col("n")).alias("base"))
 
 
 def broken_topk(plans: DataFrame, objects: DataFrame, kind: str, k: int = K) -> DataFrame:
     """Retrievers that must be caught: they see all and prefer a wrong grade, protected types, or other tenants."""
-    base = overlap(plans, objects)
     p = plans.select("plan_id", F.col("grade").alias("plan_grade"), "tenant")
+    best = lambda rows: top(rows.select("plan_id", "object_id", F.round("score", PLACES).alias("score")), ["plan_id"], k, *by_score("object_id"))
     if kind == "wrong_grade":
-        wide = base.join(objects.select("object_id", "grade"), "object_id").join(p, "plan_id")
-        rows = wide.withColumn("score", F.col("base") + F.when(F.col("grade") != F.col("plan_grade"), 1).otherwise(0))
-    else:
-        # Liked objects without overlap all score alike, so of each scope only the k smallest ids can be among the k best.
-        if kind == "answer_only":
-            liked = objects.filter(F.col("object_type").isin("solution", "rubric", "answer")).select("object_id", F.lit("").alias("scope"))
-        else:
-            liked = objects.filter(F.col("tenant_scope").isNotNull()).select("object_id", F.col("tenant_scope").alias("scope"))
-        first = top(liked, ["scope"], k, F.asc("object_id")).drop("rank")
-        extra = p.join(F.broadcast(first), F.col("scope") != F.col("tenant")).select("plan_id", "object_id")
-        seen = base.join(liked.withColumnRenamed("object_id", "o"), F.col("object_id") == F.col("o")).join(p, "plan_id").filter(F.col("scope") != F.col("tenant")).select("plan_id", "object_id")
-        bonus = extra.unionByName(seen).distinct().withColumn("bonus", F.lit(2))
-        rows = base.join(bonus, ["plan_id", "object_id"], "full_outer").withColumn("score", F.coalesce("base", F.lit(0.0)) + F.coalesce("bonus", F.lit(0)))
-    rows = rows.select("plan_id", "object_id", F.round("score", PLACES).alias("score"))
-    return top(rows, ["plan_id"], k, *by_score("object_id"))
+        return best(overlap(plans, objects, "grade").join(few(p), "plan_id").withColumn("score", F.col("base") + F.when(F.col("grade") != F.col("plan_grade"), 1).otherwise(0)))
+    liked = F.when(F.col("object_type").isin("solution", "rubric", "answer"), "") if kind == "answer_only" else F.col("tenant_scope")
+    objects = objects.withColumn("scope", liked)
+    seen = best(overlap(plans, objects, "scope").join(few(p), "plan_id").withColumn("score", F.col("base") + F.when(F.col("scope") != F.col("tenant"), 2).otherwise(0)))
+    # Liked objects without overlap all score alike, so of each scope only the k smallest ids can be among the k best. One with overlap
+    # scores more than this, so its row here comes after its own, or after the k that leave that out.
+    first = top(objects.filter(F.col("scope").isNotNull()).select("object_id", "scope"), ["scope"], k, F.asc("object_id")).drop("rank")
+    extra = p.join(F.broadcast(first), F.col("scope") != F.col("tenant")).select("plan_id", "object_id", F.lit(2.0).alias("score"))
+    rows = seen.drop("rank").unionByName(extra).groupBy("plan_id", "object_id").agg(F.max("score").alias("score"))
+    return best(rows)

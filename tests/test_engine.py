@@ -110,6 +110,10 @@ def test_scores_are_ranked_where_they_are_made(spark):
             df.write.parquet(f"{path}/{name}")
         w, objects, q, p = (spark.read.parquet(f"{path}/{name}") for name in "woqp")
         v = w.select("representation_id", "object_id", F.array(F.lit(1.0)).alias("vector"))
+        o = small(spark)[0]
+        for kind in ("wrong_grade", "answer_only", "cross_tenant"):
+            plan = R.broken_topk(p, o, kind)._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"Join \[plan_id#\d+, object_id", plan) and len(re.findall(r"Exchange hashpartitioning\(plan_id#\d+, object_id", plan)) <= 1, plan
         for scores in (R.bm25_of(R.matched(p, q, w, objects)), R.dense_matched(p, p.select("plan_id", F.array(F.lit(1.0)).alias("query_vector")), v, objects)):
             plan = R.object_topk(scores)._jdf.queryExecution().executedPlan().toString()
             dealt = [re.sub(r"#\d+", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)]
@@ -128,6 +132,13 @@ def test_skipped_windows_are_counted_for_all_objects_alike(spark):
     assert {tuple(r) for r in R.dense_matched(p, q, v, objects).collect()} == {tuple(r) for r in R.dense_scores(q, v, allowed).collect()} != set()
 
 
+def test_the_report_of_all_retrievers_is_planned_one_by_one(spark):
+    from evidara.plans import queries as Q
+
+    plan = Q.queries()["broken_detection"](spark, DATA)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("\n") < 100 and "documents" not in plan
+
+
 def test_broken_retrievers_are_caught(spark):
     o, s, p = small(spark)
     allowed = A.authorised(p, o, s, []).cache()
