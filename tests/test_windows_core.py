@@ -89,6 +89,30 @@ def test_chains_of_any_length_and_cycles(spark):
         assert [[b for _, b in sorted(got[k])] for k in sorted(got) if k[0] == o] == plain([r for r in rows if r[0] == o])
 
 
+def test_windows_deal_blocks_once(spark):
+    rows = spark.createDataFrame(corpus(), BLOCKS)
+    objects = spark.createDataFrame([("o1", "Heading")], "object_id string, heading_path string")
+    for made in (W.represent(rows, objects, ["word"]), W.block_groups(rows)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_objects_of_more_than_a_batch_and_repeated_ids(spark):
+    rows = [("big", f"big:{i}", i, "caption" if i % 3 == 2 else "paragraph", f"text {i}", None, f"big:{i - 2}" if i % 3 == 2 else None) for i in range(500)]
+    rows += [(f"s{i}", f"s{i}:0", 0, "paragraph", "alone", None, None) for i in range(40)]
+    objects = spark.createDataFrame([("big", "Heading"), ("s1", "One"), ("s1", "Two"), ("none", "No blocks")], "object_id string, heading_path string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = W.represent(spark.createDataFrame(rows, BLOCKS).coalesce(1), objects, ["example"]).collect()
+    finally:
+        spark.conf.set(key, before)
+    big = sorted((r.number, r.block_ids) for r in got if r.object_id == "big")
+    assert [ids for _, ids in big] == plain([r for r in rows if r[0] == "big"])
+    assert sorted((r.object_id, r.heading_path) for r in got if r.object_id != "big") == [("s1", "One"), ("s1", "Two")]
+
+
 def test_representations_carry_statements_and_headings(spark):
     rows = [("o", f"o:{i}", i, "paragraph", t, None, None) for i, t in enumerate(["long " * 150, "Example 1 find it", "then " * 150, "more " * 30])]
     objects = spark.createDataFrame([("o", "Heading")], "object_id string, heading_path string")
