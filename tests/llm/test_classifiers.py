@@ -1,4 +1,7 @@
 import random
+import tracemalloc
+
+import numpy as np
 
 from evidara.llm import langid, toxicity
 
@@ -24,6 +27,30 @@ def rows(n, seed=1):
     return out
 
 
+def test_language_machines_on_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(3)
+    dense = (rng.random((90, 500)) * (rng.random((90, 500)) < 0.05)).astype(np.float32)
+    dense[7] = 0
+    row, at = np.nonzero(dense)
+    sparse = langid.Sparse(row.astype(np.int32), at.astype("<u2"), dense[row, at], dense.shape)
+    langs = [["a", "b", "c", "d"][i % 4] for i in range(90)]
+    one, two = langid.Model(dense, langs), langid.Model(sparse, langs)
+    assert one.groups == two.groups and one.pairs == two.pairs
+    assert np.allclose(one.w, two.w, atol=1e-5) and np.allclose(one.b, two.b, atol=1e-5)
+
+
+def test_language_sample_stays_sparse_on_the_driver(spark):
+    docs = spark.createDataFrame([r[:3] for r in rows(600)], "doc_id long, text string, lang string")
+    langid.train(docs)
+    tracemalloc.start()
+    try:
+        langid.train(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 400 * langid.DIM * 4 / 2
+
+
 def test_language_id(spark):
     data = rows(600)
     odd = [(1000, None, "en"), (1001, "", "en"), (1002, "123 %$ \n", None), (1003, "the of and " * 30000, None), (1003, "the of and " * 30000, None)]
