@@ -5,10 +5,11 @@ Scores are rounded to PLACES before they rank, which is far below any threshold'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.stage import cut
 from .access import CURRICULUM, OF_OBJECT, OF_PLAN, may
 
 K1, B, PLACES, K = 1.2, 0.75, 9, 20
@@ -68,25 +69,43 @@ def bm25_stats(windows: DataFrame, df: DataFrame | None = None) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.greatest(F.lit(0.0), raw).alias("w"))
 
 
-def bm25_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = None) -> DataFrame:
-    """plan_id, term, w of the scoped queries, with the query's ceiling (total) and the mean length; statistics over all windows."""
-    mean = windows.agg(F.avg(F.size(C.tokens(F.col("search_text")))).alias("mean"))
-    q = weighted(query_terms(plans, "scoped"), bm25_stats(windows, df).select("term", "w"))
-    return q.join(q.groupBy("plan_id").agg((F.sum("w") * (K1 + 1) / K1).alias("total")), "plan_id").crossJoin(F.broadcast(mean))
+def facts(windows: DataFrame) -> Row:
+    """Of all windows, in one pass: n, their number; worded, how many have a word; mean, their mean length in words."""
+    size = F.size(C.tokens(F.col("search_text")))
+    return windows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(size > 0, F.col("representation_id"))).alias("worded"), F.avg(size).alias("mean")).first()
 
 
-def keyword_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = None) -> DataFrame:
+def _terms(plans: DataFrame, text: str, weights: DataFrame) -> DataFrame:
+    """plan_id, term, w, total: as ``weighted``, with the sum of a query's weights. Statistics come as numbers, not as joins, of which each takes its share of the driver."""
+    most = weights.agg(F.coalesce(F.max("w"), F.lit(1.0))).first()[0]
+    q = query_terms(plans.filter(F.col("plan_id").isNotNull()), text).join(weights, "term", "left").select("plan_id", "term", F.coalesce("w", F.lit(most)).alias("w"))
+    return q.withColumn("total", F.sum("w").over(Window.partitionBy("plan_id")))
+
+
+def bm25_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = None, known: Row | None = None) -> DataFrame:
+    """plan_id, term, w of the scoped queries, with the query's ceiling (total) and the mean length; statistics over all windows.
+
+    df, known: their ``frequencies`` and ``facts``, if they are there already.
+    """
+    df, known = cut(frequencies(windows)) if df is None else df, facts(windows) if known is None else known
+    raw = F.log(1 + (F.lit(known.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    q = _terms(plans, "scoped", df.select("term", F.greatest(F.lit(0.0), raw).alias("w")))
+    return q.withColumns({"total": F.col("total") * (K1 + 1) / K1, "mean": F.lit(known.mean).cast("double")})
+
+
+def keyword_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = None, known: Row | None = None) -> DataFrame:
     """plan_id, term, w of the raw queries, with the query's idf mass (total); statistics over all windows that have a word, as R1 has them."""
-    df = frequencies(windows) if df is None else df
-    n = windows.filter(F.size(C.tokens(F.col("search_text"))) > 0).agg(F.count_distinct("representation_id").alias("n"))
-    weights = df.crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("w"))
-    q = weighted(query_terms(plans, "query"), weights)
-    return q.join(q.groupBy("plan_id").agg(F.sum("w").alias("total")), "plan_id")
+    df, known = cut(frequencies(windows)) if df is None else df, facts(windows) if known is None else known
+    return _terms(plans, "query", df.select("term", F.log(1 + F.lit(known.worded) / (1 + F.col("df"))).alias("w")))
 
 
 def few(rows: DataFrame) -> DataFrame:
     """rows, sent to every task if they are at most FEW, which is counted first; else they are joined by a shuffle."""
-    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+    return F.broadcast(rows) if is_few(rows) else rows
+
+
+def is_few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
 
 
 def matched(plans: DataFrame, terms: DataFrame, windows: DataFrame, objects: DataFrame) -> DataFrame:
@@ -98,18 +117,25 @@ def matched(plans: DataFrame, terms: DataFrame, windows: DataFrame, objects: Dat
     own = windows.select("object_id", "representation_id", "search_text").join(objects, "object_id")
     own = own.withColumn("tokens", C.tokens(F.col("search_text")))
     words = own.select("object_id", "representation_id", *CURRICULUM, *OF_OBJECT, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    asked = words.join(few(terms.select("term").distinct()), "term", "left_semi")
+    # Written, so that they are joined once and not again to be counted and to be sent.
+    q = cut(terms.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id"))
+    sent = F.broadcast if is_few(q) else lambda rows: rows
+    asked = words.join(sent(q.select("term")), "term", "left_semi")
     tf = asked.groupBy("object_id", "representation_id", "len", *CURRICULUM, *OF_OBJECT, "term").agg(F.count(F.lit(1)).alias("tf"))
-    q = terms.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id")
-    return tf.join(few(q), [*CURRICULUM, "term"]).filter(may())
+    return tf.join(sent(q), [*CURRICULUM, "term"]).filter(may())
 
 
-def matched_pairs(terms: DataFrame, windows: DataFrame, allowed: DataFrame) -> DataFrame:
-    """The same for given pairs (plan_id, representation_id), which should be few windows a plan."""
+def counted(windows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """plan_id, object_id, representation_id, len, term, tf: all words of given pairs (plan_id, representation_id), which should be few windows a plan."""
     own = windows.select("object_id", "representation_id", "search_text").join(allowed.select("plan_id", "representation_id"), "representation_id")
     own = own.withColumn("tokens", C.tokens(F.col("search_text")))
     words = own.select("plan_id", "object_id", "representation_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return words.groupBy("plan_id", "object_id", "representation_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).join(terms, ["plan_id", "term"])
+    return words.groupBy("plan_id", "object_id", "representation_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def matched_pairs(terms: DataFrame, windows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """What ``matched`` has, for given pairs."""
+    return counted(windows, allowed).join(terms, ["plan_id", "term"])
 
 
 def bm25_of(hits: DataFrame) -> DataFrame:
@@ -150,7 +176,7 @@ def dense_scores(plan_vectors: DataFrame, vectors: DataFrame, allowed: DataFrame
 def dense_matched(plans: DataFrame, plan_vectors: DataFrame, vectors: DataFrame, objects: DataFrame) -> DataFrame:
     """R7 of all windows that a plan may see. objects: ``access.scoped``. As in ``matched``, all of an object's scores are in one task."""
     v, q = _sized(plan_vectors, vectors)
-    q = q.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id")
+    q = cut(q.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id"))
     return _dense(v.join(objects, "object_id").join(few(q), CURRICULUM).filter(may()))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -44,9 +44,13 @@ class Bench(T.Corpus):
     def frequencies(self) -> DataFrame:
         return cut(R.frequencies(self.windows))
 
+    @cached_property
+    def facts(self) -> Row:
+        return R.facts(self.windows)
+
     @cached_property
     def bm25_terms(self) -> DataFrame:
-        return cut(R.bm25_terms(self.plans, self.windows, self.frequencies))
+        return cut(R.bm25_terms(self.plans, self.windows, self.frequencies, self.facts))
 
     @cached_property
     def bm25(self) -> DataFrame:
@@ -59,7 +63,7 @@ class Bench(T.Corpus):
 
     @cached_property
     def keyword_terms(self) -> DataFrame:
-        return cut(R.keyword_terms(self.plans, self.windows, self.frequencies))
+        return cut(R.keyword_terms(self.plans, self.windows, self.frequencies, self.facts))
 
     @cached_property
     def keyword_items(self) -> DataFrame:
@@ -89,9 +93,11 @@ class Bench(T.Corpus):
     @cached_property
     def siblings(self) -> DataFrame:
         of = cut(self.packed.select("plan_id", "object_id").join(self.windows.select("object_id", "representation_id"), "object_id"))
-        seen = R.matched_pairs(self.keyword_terms, self.windows, of).select("plan_id", "representation_id")
-        other = seen.unionByName(self.keyword_items.select("plan_id", "representation_id")).distinct()
-        return cut(D.siblings(self.packed, R.bm25_of(R.matched_pairs(self.bm25_terms, self.windows, of)), other, FLOOR))
+        words = cut(R.counted(self.windows, of))
+        seen = words.join(self.keyword_terms, ["plan_id", "term"]).select("plan_id", "representation_id")
+        other = cut(seen.unionByName(self.keyword_items.select("plan_id", "representation_id")).distinct())
+        scores = cut(R.bm25_of(words.join(self.bm25_terms, ["plan_id", "term"])))
+        return cut(D.siblings(self.packed, scores, other, FLOOR))
 
     @cached_property
     def packs(self) -> DataFrame:

@@ -75,8 +75,8 @@ def answer(corpus, requests: DataFrame, tokens: dict[str, str], floor: float = 0
         F.lit("pilot").alias("board"), F.lit(T.VERSION).alias("version"), F.lit(V.DISCLOSURE_RANK[V.CEILING[state]]).alias("ceiling_rank"),
     )
     objects, df = A.scoped(corpus.objects, corpus.sources, licence), corpus.frequencies
-    items = cut(R.object_topk(R.bm25_of(R.matched(plans, cut(R.bm25_terms(plans, corpus.windows, df)), corpus.windows, objects))))
-    other = cut(R.object_topk(R.keyword_of(R.matched(plans, cut(R.keyword_terms(plans, corpus.windows, df)), corpus.windows, objects))))
+    items = cut(R.object_topk(R.bm25_of(R.matched(plans, cut(R.bm25_terms(plans, corpus.windows, df, corpus.facts)), corpus.windows, objects))))
+    other = cut(R.object_topk(R.keyword_of(R.matched(plans, cut(R.keyword_terms(plans, corpus.windows, df, corpus.facts)), corpus.windows, objects))))
     decisions = D.gate(plans, items, other, corpus.windows, corpus.objects, floor, ceiling)
     packed = D.admitted(items, decisions).groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "representation_id"))), lambda x: x["representation_id"]), "|").alias("items"))
     out = rows.join(decisions.withColumnRenamed("plan_id", "interaction_id"), "interaction_id", "left").join(packed.withColumnRenamed("plan_id", "interaction_id"), "interaction_id", "left")
