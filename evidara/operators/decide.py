@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources import vocabulary as V
+from ..sources.stage import cut
 from .retrieve import top
 
 DEPTH, MIN_SHARED, PACK = 3, 2, 5
@@ -50,7 +51,7 @@ def gate(plans: DataFrame, primary: DataFrame, other: DataFrame, windows: DataFr
     side = lambda run, n: top_objects(run, depth).join(blocks, "representation_id").select("plan_id", "object_id", F.col("representation_id").alias(f"r{n}"), F.col("block_ids").alias(f"b{n}"))
     both = side(primary, 1).join(side(other, 2), ["plan_id", "object_id"]).filter(same_passage(F.col("r1"), F.col("r2"), F.col("b1"), F.col("b2")))
     kind = objects.select("object_id", F.col("object_type").isin(V.TEACHING_TYPES).alias("teaches"))
-    agreed = both.join(kind, "object_id", "left").groupBy("plan_id").agg(F.count(F.lit(1)).alias("corroboration"), F.bool_or(F.coalesce("teaches", F.lit(False))).alias("anchored"))
+    agreed = cut(both.join(kind, "object_id", "left").groupBy("plan_id").agg(F.count(F.lit(1)).alias("corroboration"), F.bool_or(F.coalesce("teaches", F.lit(False))).alias("anchored")))
     best = primary.groupBy("plan_id").agg(F.max_by("score", -F.col("rank")).alias("top_score"))
     d = plans.select("plan_id").join(best, "plan_id", "left").join(agreed, "plan_id", "left")
     d = d.select("plan_id", F.col("top_score").isNotNull().alias("any"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), F.coalesce("corroboration", F.lit(0)).cast("long").alias("corroboration"), F.coalesce("anchored", F.lit(False)).alias("anchored"))

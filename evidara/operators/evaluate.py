@@ -127,11 +127,13 @@ def spans_resolve(packs: DataFrame, spans: DataFrame, blocks: DataFrame) -> Data
 def citation_cases(cases: DataFrame, statuses: DataFrame, packs: DataFrame, resolved: DataFrame, gold: DataFrame) -> DataFrame:
     """A10: per case: answered, resolved, gold blocks, gold blocks cited, cited blocks."""
     plan = F.concat(F.lit("plan-"), "case_id")
-    cited = packs.select("plan_id", F.explode("block_ids").alias("block_id")).distinct()
-    g = gold.select(plan.alias("plan_id"), "block_id").distinct()
-    n = lambda df, name: df.groupBy("plan_id").agg(F.count(F.lit(1)).alias(name))
+    side = lambda df, block, gold, cited: df.select("plan_id", block.alias("block_id"), F.lit(gold).alias("gold"), F.lit(cited).alias("cited"))
+    both = side(gold.withColumn("plan_id", plan), F.col("block_id"), True, False).unionByName(side(packs, F.explode("block_ids"), False, True))
+    both = both.groupBy("plan_id", "block_id").agg(F.bool_or("gold").alias("gold"), F.bool_or("cited").alias("cited"))
+    met = F.col("gold") & F.col("cited") & F.col("block_id").isNotNull()
+    n = both.groupBy("plan_id").agg(F.count_if("gold").alias("gold_blocks"), F.count_if("cited").alias("cited"), F.count_if(met).alias("gold_cited"))
     rows = cases.select("case_id", plan.alias("plan_id"), "holdout").join(statuses.select("plan_id", "status", "items"), "plan_id")
-    rows = rows.join(resolved, "plan_id", "left").join(n(g, "gold_blocks"), "plan_id", "left").join(n(cited, "cited"), "plan_id", "left").join(n(g.join(cited, ["plan_id", "block_id"]), "gold_cited"), "plan_id", "left")
+    rows = rows.join(resolved, "plan_id", "left").join(n, "plan_id", "left")
     rows = rows.na.fill(0, ["gold_blocks", "cited", "gold_cited"])
     answered = (F.col("status") != "abstain") & (F.col("items") > 0)
     return rows.select("case_id", "holdout", answered.alias("answered"), F.coalesce("resolved", F.lit(True)).alias("resolved"), "gold_blocks", "gold_cited", F.col("cited").alias("cited_blocks"))

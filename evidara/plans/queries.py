@@ -84,7 +84,10 @@ class Bench(T.Corpus):
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return cut(D.gate(self.plans, self.bm25_items, self.keyword_items, self.windows, self.objects, FLOOR, CEILING))
+        shown = cut(self.bm25_items.select("object_id", "representation_id").unionByName(self.keyword_items.select("object_id", "representation_id")).distinct())
+        blocks = cut(self.windows.select("representation_id", "block_ids").join(shown, "representation_id", "left_semi"))
+        kinds = cut(self.objects.select("object_id", "object_type").join(shown, "object_id", "left_semi"))
+        return cut(D.gate(self.plans, self.bm25_items, self.keyword_items, blocks, kinds, FLOOR, CEILING))
 
     @cached_property
     def packed(self) -> DataFrame:
@@ -103,6 +106,12 @@ class Bench(T.Corpus):
     def packs(self) -> DataFrame:
         return cut(D.pack_blocks(self.packed, self.siblings, self.windows))
 
+    @cached_property
+    def cited(self) -> DataFrame:
+        """The blocks that packs cite, so that all others are met once."""
+        ids = cut(self.packs.select(F.explode("block_ids").alias("block_id")).distinct())
+        return cut(self.blocks.select("block_id", "page", "text", "latex").join(R.few(ids), "block_id", "left_semi"))
+
     @cached_property
     def filled(self) -> DataFrame:
         return cut(D.slot_fill(self.packed, self.query_plans))
@@ -113,7 +122,7 @@ class Bench(T.Corpus):
 
     @cached_property
     def spans(self) -> DataFrame:
-        return cut(D.pack_spans(self.packs, self.blocks))
+        return cut(D.pack_spans(self.packs, self.cited))
 
     @cached_property
     def licensed(self) -> DataFrame:
@@ -139,7 +148,7 @@ class Bench(T.Corpus):
 
     @cached_property
     def citations(self) -> DataFrame:
-        return E.citation_cases(self.cases, self.statuses, self.packs, E.spans_resolve(self.packs, self.spans, self.blocks), self.gold)
+        return E.citation_cases(self.cases, self.statuses, self.packs, cut(E.spans_resolve(self.packs, self.spans, self.cited)), self.gold)
 
     def layout(self) -> tuple[DataFrame, DataFrame]:
         """Two readings of every document: the blocks, and what a poorer parser would have made of them."""
@@ -700,9 +709,10 @@ def slot_fill(c):
 
 @query
 def evidence_pack(c):
-    text = D.pack_texts(c.packs, c.blocks)
+    text = cut(D.pack_texts(c.packs, c.cited))
+    own = cut(c.objects.select("object_id", "source_id", "heading_path").join(R.few(c.packs.select("object_id").distinct()), "object_id", "left_semi"))
     rows = c.packs.join(c.filled, ["plan_id", "rank", "object_id"]).join(c.spans, ["plan_id", "rank", "object_id"]).join(text, ["plan_id", "rank", "object_id"], "left")
-    rows = rows.join(c.objects.select("object_id", "source_id", "heading_path"), "object_id")
+    rows = rows.join(own, "object_id")
     packs = c.statuses.select("plan_id", "status").join(rows, "plan_id", "left")
     return packs.select("plan_id", "status", "rank", "object_id", "slot_id", "role", "source_id", "heading_path", "page", bar("block_ids").alias("blocks"), "score", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_digest"))
 
@@ -805,7 +815,7 @@ def calibrate_budget(c):
 
 @query
 def spans_resolve(c):
-    return E.spans_resolve(c.packs, c.spans, c.blocks)
+    return E.spans_resolve(c.packs, c.spans, c.cited)
 
 
 @query
