@@ -129,13 +129,16 @@ class Bench(T.Corpus):
         return A.licensed(self.objects, self.sources, T.LICENSED)
 
     def violations(self, items: DataFrame) -> DataFrame:
-        return E.violations(items, self.plans, self.objects, self.sources, A.authorised_pairs(items, self.plans, self.scoped), self.licensed)
+        # Of the objects only those that were returned; these and what is allowed are planned apart.
+        ids = R.few(cut(items.select("object_id").distinct()))
+        own = cut(self.objects.drop("text", "content_hash", "heading_path").join(ids, "object_id", "left_semi"))
+        allowed = cut(A.authorised_pairs(items, self.plans, self.scoped))
+        return E.violations(items, self.plans, own, self.sources, allowed, cut(A.licensed(own, self.sources, T.LICENSED)))
 
     def results(self, items: DataFrame) -> DataFrame:
         if "representation_id" not in items.columns:  # retrievers of objects cite the object's first window
             first = self.windows.filter("number = 1").select("object_id", "representation_id")
             items = items.join(first, "object_id", "left")
-        # Planned apart: what fills the driver is plans with many exchanges at once.
         return E.case_results(self.cases, items, self.windows, self.gold, cut(self.violations(items)), FLOOR)
 
     @cached_property
@@ -639,8 +642,8 @@ def dense_skipped(c):
 
 @query
 def hybrid_rrf_topk(c):
-    shown = c.bm25_items.select("plan_id", "representation_id", "object_id").unionByName(c.dense_items.select("plan_id", "representation_id", "object_id")).distinct()
-    return R.hybrid_topk(c.bm25_items, c.dense_items, R.dense_scores(c.plan_vectors, c.vectors, shown))
+    shown = cut(c.bm25_items.select("plan_id", "representation_id", "object_id").unionByName(c.dense_items.select("plan_id", "representation_id", "object_id")).distinct())
+    return R.hybrid_topk(c.bm25_items, c.dense_items, cut(R.dense_scores(c.plan_vectors, c.vectors, shown)))
 
 
 @query

@@ -62,7 +62,7 @@ class Corpus:
     def sources(self) -> DataFrame:
         n = F.substring("source", 4, 9).cast("int")
         state = F.when(n < 16, "approved").when(n < 18, "quarantined").when(n == 18, "retired").otherwise("withdrawn")
-        return (
+        return cut(
             self.table("documents").select("source").distinct().withColumn("n", n)
             .select(
                 F.col("source").alias("source_id"), state.alias("approval_state"), (F.col("n") % 5 != 3).alias("has_rights"), (F.col("n") % 7 != 6).alias("scanned"),

@@ -403,3 +403,44 @@ def test_requests_and_settings(spark):
     for bad in ({"floor": " "}, {"manifest": ""}, {"tokens": ", ,"}, {"tokens": "t"}, {"tokens": ":x"}, {"ceiling": "high"}):
         with pytest.raises(ValueError):
             serve.configuration(told | bad)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_weighed_without_joining_statistics(spark):
+    p, w, _, _ = seen_windows(spark)
+    for q in (R.bm25_terms(p, w), R.keyword_terms(p, w)):
+        plan = planned(q)
+        assert "NestedLoop" not in plan and len(re.findall(r"Exchange ", plan)) <= 3, plan
+    assert R.facts(w.limit(0)).mean is None and R.bm25_terms(p.limit(0), w.limit(0)).count() == 0
+    no_id = p.limit(1).withColumn("plan_id", F.lit(None).cast("string"))
+    assert R.bm25_terms(no_id, w).count() == 0
+
+
+@pytest.mark.parametrize("name, table", [("hybrid_rrf_topk", "embeddings"), ("evidence_pack", "documents"), ("pack_spans", "documents"), ("citation_gates", "documents"), ("violations", "documents")])
+def test_shared_steps_are_written_before_the_plans_that_join_them(spark, name, table):
+    """The driver's memory is filled by plans with many exchanges at once; what such a plan joins is read from steps that hold only what it needs."""
+    from evidara.plans import queries as Q
+
+    c = Q.bench(spark, DATA)
+    df = c.violations(c.bm25_items) if name == "violations" else Q.Q[name](c)
+    assert f"{table}.parquet" not in planned(df), planned(df)
+    plan = c.bm25._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation ", plan)) == 4, plan  # windows, what may be seen, and the written terms to choose words and to score
+
+
+def test_packs_meet_only_the_blocks_they_cite_and_the_gate_only_what_was_returned(spark, monkeypatch):
+    from evidara.plans import queries as Q
+
+    c = Q.Bench(spark, DATA)
+    ids = {x for r in c.packs.select("block_ids").collect() for x in r.block_ids}
+    assert {r.block_id for r in c.cited.collect()} == ids != set() and len(ids) < c.blocks.count()
+    given = []
+    gate = D.gate
+    monkeypatch.setattr(D, "gate", lambda *a, **k: given.append(a) or gate(*a, **k))
+    del c.__dict__["decisions"]
+    assert c.decisions.count() == c.plans.count()
+    shown = {r.representation_id for items in given[0][1:3] for r in items.collect()}
+    assert {r.representation_id for r in given[0][3].collect()} == shown and "documents.parquet" not in planned(given[0][4])
