@@ -101,7 +101,12 @@ def keyword_terms(plans: DataFrame, windows: DataFrame, df: DataFrame | None = N
 
 def few(rows: DataFrame) -> DataFrame:
     """rows, sent to every task if they are at most FEW, which is counted first; else they are joined by a shuffle."""
-    return F.broadcast(rows) if is_few(rows) else rows
+    return F.broadcast(rows) if is_few(rows) else shuffled(rows)
+
+
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows, joined by a shuffle. Spark guesses rows' size from that of their files, where objects take a few bytes each, and would gather them in the driver."""
+    return rows.hint("merge")
 
 
 def is_few(rows: DataFrame) -> bool:
@@ -177,7 +182,7 @@ def dense_matched(plans: DataFrame, plan_vectors: DataFrame, vectors: DataFrame,
     """R7 of all windows that a plan may see. objects: ``access.scoped``. As in ``matched``, all of an object's scores are in one task."""
     v, q = _sized(plan_vectors, vectors)
     q = cut(q.join(plans.select("plan_id", *CURRICULUM, *OF_PLAN), "plan_id"))
-    return _dense(v.join(objects, "object_id").join(few(q), CURRICULUM).filter(may()))
+    return _dense(v.join(shuffled(objects), "object_id").join(few(q), CURRICULUM).filter(may()))
 
 
 def _sized(plan_vectors: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,7 @@ from evidara.operators import parse as P
 from evidara.operators import retrieve as R
 from evidara.operators import store as S
 from evidara.sources import vocabulary as V
+from evidara.sources.stage import cut
 from evidara.sources.testdata import containing
 
 DATA = "/root/testdata/sf0.001"
@@ -444,3 +445,39 @@ def test_packs_meet_only_the_blocks_they_cite_and_the_gate_only_what_was_returne
     assert c.decisions.count() == c.plans.count()
     shown = {r.representation_id for items in given[0][1:3] for r in items.collect()}
     assert {r.representation_id for r in given[0][3].collect()} == shown and "documents.parquet" not in planned(given[0][4])
+
+
+@pytest.mark.parametrize("few", [0, R.FEW])
+def test_dense_scores_gather_no_objects_in_the_driver(spark, monkeypatch, few):
+    """What plans may see grows with the corpus while its files stay small, so Spark would take it for a small table and broadcast it."""
+    p, w, objects, allowed = seen_windows(spark)
+    objects = cut(objects)
+    monkeypatch.setattr(R, "FEW", few)
+    v = w.select("representation_id", "object_id", F.array(F.length("search_text").cast("float"), F.lit(7.0).cast("float")).alias("vector"))
+    q = p.select("plan_id", F.array(F.lit(1.0), F.length("query").cast("double")).alias("query_vector"))
+    got = R.dense_matched(p, q, v, objects)
+    plan = planned(got)
+    assert len(re.findall("BroadcastExchange", plan)) == (few > 0), plan
+    rows = lambda df: sorted((r.plan_id, r.representation_id, r.object_id, r.score) for r in df.collect())
+    assert rows(got) == rows(R.dense_scores(q, v, allowed)) != []
+
+
+def test_cuts_return_what_the_driver_has_freed(spark):
+    """Blocks of memory that are free, but not at the end of the C library's heap, stay with the driver until it is asked for them."""
+    java, pid = spark.sparkContext._jvm.java.lang, spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", pathlib.Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    rows = spark.range(3)
+    cut(rows)
+    field = java.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    memory = field.get(None)
+    blocks = [memory.allocateMemory(100_000) for _ in range(4000)]
+    for x in blocks:
+        memory.setMemory(x, 100_000, 1)
+    for x in blocks[:-1]:
+        memory.freeMemory(x)
+    before = held()
+    assert cut(rows).count() == 3
+    after = held()
+    memory.freeMemory(blocks[-1])
+    assert after < before - 200, (before, after)
